@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import decontaminate, packing, token_output
+from spanforge.llm import decontaminate, packing, pii, quality, token_counts, token_output, toxicity
+
+#: The key of the demonstration query; a real run passes its own.
+DEMO_KEY = "demonstration key"
 
 #: Words of ``[^\x20\x09-\x0D]+`` and of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of ASCII-lower-cased text, in DuckDB.
 LOWER_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -19,6 +22,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(_table(spark, sf_dir, "documents"), key=DEMO_KEY, keep=["doc_id", "text"])
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(_table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +60,43 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(token_output.write(_table(spark, sf_dir, "documents")))
 
 
+def _share_sql(a: str, b: str) -> str:
+    return f"CASE WHEN {b} > 0 THEN 10000 * {a} // {b} ELSE 0 END"
+
+
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {WORDS_SQL.format("t")} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+win AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) AS t(i)),
+dup AS (SELECT r, g FROM win GROUP BY r, g HAVING count(*) > 1),
+cov AS (SELECT r, count(DISTINCT p) AS n FROM win JOIN dup USING (r, g), unnest([i, i + 1, i + 2]) AS t(p) GROUP BY r),
+m AS (SELECT r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+      CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+      CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN cov USING (r)),
+s AS (SELECT r, unnest([{{'m': 'symbols', 'v': {_share_sql("n_symbols", "word_chars")}}}, {{'m': 'dup_lines', 'v': {_share_sql("n_dup_lines * 12", "n_words")}}},
+      {{'m': 'repeats', 'v': {_share_sql("n_repeat_words", "n_words")}}}, {{'m': 'short', 'v': {_share_sql("n_words", "word_chars")}}},
+      {{'m': 'long', 'v': CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END}}]) AS x, lang, source FROM m),
+b AS (SELECT r, lang, source, x.m AS k, x.v AS v, length(bin(greatest(x.v, 1))) - 1 AS p FROM s),
+u AS (SELECT r, lang, source, k, v, CASE WHEN v < 16 THEN v ELSE (p - 3) * 16 + v // (1 << greatest(p - 4, 0)) - 16 END AS bk FROM b),
+h AS (SELECT 'a' AS level, lang, source, k, bk, count(*) AS n FROM u GROUP BY ALL
+      UNION ALL SELECT 'b', lang, NULL, k, bk, count(*) FROM u GROUP BY ALL
+      UNION ALL SELECT 'c', NULL, NULL, k, bk, count(*) FROM u GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, k ORDER BY bk) AS upto, sum(n) OVER (PARTITION BY level, lang, source, k) AS total FROM h),
+q AS (SELECT level, lang, source, k, total, min(bk) FILTER (upto >= ceil(total * 500 / 1000.0)) AS b50, min(bk) FILTER (upto >= ceil(total * 900 / 1000.0)) AS b90 FROM c GROUP BY ALL),
+e AS (SELECT level, lang, source, k, total, CASE WHEN b50 < 16 THEN b50 ELSE (b50 % 16 + 17) * (1 << greatest(b50 // 16 - 1, 0)) - 1 END AS q50,
+      CASE WHEN b90 < 16 THEN b90 ELSE (b90 % 16 + 17) * (1 << greatest(b90 // 16 - 1, 0)) - 1 END AS q90 FROM q),
+f AS (SELECT level, lang, source, k, CASE WHEN total >= 200 THEN greatest(q90 + 8 * (q90 - q50), {"{floor}"}) END AS lim FROM e),
+g AS (SELECT a.lang, a.source, a.k, coalesce(a.lim, b.lim, c.lim, {"{floor_a}"}) AS lim
+      FROM f a LEFT JOIN f b ON b.level = 'b' AND b.lang IS NOT DISTINCT FROM a.lang AND b.k = a.k LEFT JOIN f c ON c.level = 'c' AND c.k = a.k WHERE a.level = 'a'),
+v AS (SELECT u.r, bool_and(u.v <= g.lim) AS good, {", ".join(f"CAST(max(g.lim) FILTER (u.k = '{m}') AS BIGINT) AS max_{m}" for m in quality.MEASURES)}
+      FROM u JOIN g ON u.lang IS NOT DISTINCT FROM g.lang AND u.source IS NOT DISTINCT FROM g.source AND u.k = g.k GROUP BY u.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND good AS kept, {", ".join(f"max_{m}" for m in quality.MEASURES)}
+FROM m JOIN v USING (r)
+"""
+_FLOOR_SQL = "CASE {0} " + " ".join(f"WHEN '{m}' THEN {n}" for m, n in quality.FLOORS.items()) + " END"
+OP1_SQL = OP1_SQL.replace("{floor_a}", _FLOOR_SQL.format("a.k")).replace("{floor}", _FLOOR_SQL.format("k"))
+
 OP8_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {ALNUM_SQL.format(LOWER_SQL.format("coalesce(text, '')"))} AS w FROM documents),
 b AS (SELECT item_id, {ALNUM_SQL.format(LOWER_SQL.format("coalesce(text, '')"))} AS w FROM benchmark),
@@ -55,11 +113,16 @@ FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op4_pii_pseudonyms": op4_pii_pseudonyms,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
     "op9_token_output": op9_token_output,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": OP1_SQL,
     "op8_decontamination": OP8_SQL,
 }
