@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import decontaminate, packing, pii, quality, token_counts, token_output, toxicity
+from spanforge.llm import decontaminate, ngram_join, packing, pii, quality, token_counts, token_output, toxicity
 
 #: The key of the demonstration query; a real run passes its own.
 DEMO_KEY = "demonstration key"
@@ -40,6 +40,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(_table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -97,6 +101,17 @@ FROM m JOIN v USING (r)
 _FLOOR_SQL = "CASE {0} " + " ".join(f"WHEN '{m}' THEN {n}" for m, n in quality.FLOORS.items()) + " END"
 OP1_SQL = OP1_SQL.replace("{floor_a}", _FLOOR_SQL.format("a.k")).replace("{floor}", _FLOOR_SQL.format("k"))
 
+OP5_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL.format(LOWER_SQL.format("coalesce(text, '')"))} AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i : i + 3], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS t(i)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.r != b.r GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+least_id AS (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (r) JOIN least_id USING (r)
+"""
+
 OP8_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {ALNUM_SQL.format(LOWER_SQL.format("coalesce(text, '')"))} AS w FROM documents),
 b AS (SELECT item_id, {ALNUM_SQL.format(LOWER_SQL.format("coalesce(text, '')"))} AS w FROM benchmark),
@@ -115,6 +130,7 @@ FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_pii_pseudonyms": op4_pii_pseudonyms,
+    "op5_ngram_join": op5_ngram_join,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,
     "op8_decontamination": op8_decontamination,
@@ -124,5 +140,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1_SQL,
+    "op5_ngram_join": OP5_SQL,
     "op8_decontamination": OP8_SQL,
 }
