@@ -26,7 +26,8 @@ Steps, all on data packed into binary columns and handled by numpy in bulk:
    nodes that could by their sizes and unique tokens still link. The last round takes all
    pairs left, so the components are exact, yet a group of near copies costs about
    its size and not its square.
-5. Components by alternating large-star and small-star steps, on tables.
+5. Components: of a bounded number of edges in one task, of more by alternating large-star
+   and small-star steps on tables.
 
 A node is the first 64 bits of a 128-bit digest of its set.
 
@@ -48,14 +49,17 @@ from pyspark.sql import functions as F
 
 from spanforge.llm import kernels as K
 
-MAP_BITS = 26
+MAP_BITS = 27
 MAP_TOKENS = 6 << 20
-FREQUENT = 128
+FREQUENT = 4096
 FREQUENT_TOKENS = 1 << 20
 LONG = 256
 TASK_TOKENS = 2 << 20
 GROUP_TOKENS = 3 << 20
 FILTER_NODES = 4 << 20
+LOCAL_EDGES = 4 << 20
+MOST_STARS = 6
+REST_PAIRS = 50_000
 _LOW = np.uint64((1 << 40) - 1)
 
 
@@ -96,8 +100,9 @@ class Order:
         self.marks, self.frequent, self.parts, self.complete = marks, frequent, parts, complete
 
     def classes(self, tokens: np.ndarray) -> np.ndarray:
-        at = place(tokens)
-        out = (self.marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        out = np.ones(len(tokens), np.uint8)
+        for at in places(tokens):
+            out &= self.marks[at >> 3] >> (at & 7).astype(np.uint8)
         if len(self.frequent):
             key = counting_key(tokens, self.parts)
             i = np.minimum(np.searchsorted(self.frequent, key), len(self.frequent) - 1)
@@ -114,9 +119,10 @@ def counting_key(tokens: np.ndarray, parts: int) -> np.ndarray:
     return part_of(tokens, parts) << np.uint64(40) | (tokens & _LOW)
 
 
-def place(tokens: np.ndarray) -> np.ndarray:
-    """The bit of a token in the bit map, by its lower 40 bits."""
-    return (((tokens & _LOW) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+def places(tokens: np.ndarray) -> list[np.ndarray]:
+    """The two bits of a token in the bit map, by its lower 40 bits."""
+    low = tokens & _LOW
+    return [((low * np.uint64(m)) >> np.uint64(64 - MAP_BITS)).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
 
 
 def digests(rows: DataFrame, n: int) -> DataFrame:
@@ -172,7 +178,7 @@ def frequencies(rows: DataFrame, n: int, parts: int) -> Order:
         out = []
         for k in np.unique(level).tolist():
             some = low[level == k]
-            packed = place(some).astype("<u4").tobytes()
+            packed = np.concatenate(places(some)).astype("<u4").tobytes()
             keys = (some | np.uint64(part) << np.uint64(40)).astype("<u8").tobytes() if 2**k >= FREQUENT else b""
             out.append((k, len(some), packed, keys))
         columns = list(zip(*out, strict=True)) or [()] * 4
@@ -286,6 +292,34 @@ def alive(buckets: DataFrame, percent: int) -> DataFrame:
     return buckets.join(kinds, F.col("bucket") == F.col("_b")).where(partner).select(*buckets.columns)
 
 
+def unique_counts(sets: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
+    """``node, u``: how many of a node's tokens no other of the given nodes has, exactly."""
+    pair = np.dtype([("token", "<u8"), ("node", "<i8")])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(1)]
+            if not tokens:
+                continue
+            rows = np.empty(sum(map(len, tokens)), pair)
+            rows["token"], rows["node"] = np.concatenate(tokens), np.repeat(batch.column(0).to_numpy(), [len(t) for t in tokens])
+            where = part_of(rows["token"], parts).astype(np.int64)
+            by = np.argsort(where, kind="stable")
+            edge = np.searchsorted(where[by], np.arange(parts + 1))
+            rows, some = rows[by], np.flatnonzero(np.diff(edge))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[edge[p] : edge[p + 1]].tobytes() for p in some], pa.binary())], ["part", "packed"])
+
+    def count(table: pa.Table) -> pa.Table:
+        rows = np.concatenate([np.frombuffer(x.as_py(), pair) for x in table.column("packed")])
+        _, first, times = np.unique(rows["token"], return_index=True, return_counts=True)
+        nodes, many = np.unique(rows["node"][first[times == 1]], return_counts=True)
+        return pa.table([pa.array(nodes), pa.array(many)], ["node", "u"])
+
+    some = sets.join(nodes, "node", "left_semi").select("node", "tokens")
+    counted = some.mapInArrow(run, "part int, packed binary").groupBy("part").applyInArrow(count, "node long, u long")
+    return counted.groupBy("node").agg(F.sum("u").cast("int").alias("u"))
+
+
 def needed_sets(rows: DataFrame, n: int, nodes: DataFrame) -> DataFrame:
     """``node, tokens`` (packed) of the given nodes, one row each."""
     spark, wanted = rows.sparkSession, None
@@ -337,9 +371,39 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, label``: each linked node's least reachable node, by alternating large and small stars."""
+def components(links: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """``node, label``: each linked node's least reachable node.
+
+    Up to ``local`` edges (a bounded table) one task finds them by vectorised hooking and pointer jumping; beyond that,
+    alternating large and small stars do, on tables.
+    """
     edges = K.saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    if edges.count() <= local:
+        return edges.coalesce(1).mapInArrow(_hooked, "node long, label long")
+    return _stars_of(edges)
+
+
+def _hooked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges of a task."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not held:
+        return
+    u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v, root = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        a, b = root[u], root[v]
+        if (a == b).all():
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not ((further := root[root]) == root).all():
+            root = further
+    for i in range(0, len(nodes), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + (1 << 16)]), pa.array(nodes[root[i : i + (1 << 16)]])], ["node", "label"])
+
+
+def _stars_of(edges: DataFrame) -> DataFrame:
+    """Components by alternating large-star and small-star steps."""
 
     def state(e: DataFrame):
         r = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -348,9 +412,8 @@ def components(links: DataFrame) -> DataFrame:
     before = state(edges)
     while before[0]:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(m.select("u", F.col("m").alias("v"))).distinct()
         edges = K.saved(small, "edges")
@@ -381,6 +444,12 @@ def _stars(buckets: DataFrame, percent: int, salt: int) -> DataFrame:
     return near.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
+def _rest_size(buckets: DataFrame) -> int:
+    """The number of pairs of different components within buckets."""
+    parts = buckets.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    return int(parts.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0)
+
+
 def _rest(buckets: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components within a bucket that could link."""
     other = buckets.select("bucket", *(F.col(c).alias(f"_{c}") for c in ("node", "n", "u", "label")))
@@ -399,24 +468,25 @@ def _links(rows: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame
     buckets = K.saved(alive(index(rows, n, percent, order, parts), percent), "buckets")
     nodes = buckets.select("node").distinct()
     sets = K.saved(needed_sets(rows, n, K.saved(nodes, "nodes")), "sets")
-    links, labels, tested = None, None, None
-    for turn in range(4):
-        open_ = buckets if labels is None else K.saved(_mixed(alive(_mixed(_labelled(buckets.select("bucket", "node", "n", "u"), labels)), percent)), "open")
-        open_ = _labelled(open_, None) if labels is None else open_
-        pairs = _stars(open_, percent, turn) if turn < 3 else _rest(open_, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = K.saved(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn and open_.isEmpty():
-                break
-            continue
-        tested = pairs if tested is None else tested.union(pairs)
+    open_, links, labels, turn = _labelled(buckets, None), None, None, 0
+    while True:
+        last = turn > MOST_STARS or turn > 0 and _rest_size(open_) <= REST_PAIRS + 8 * open_.count()
+        pairs = K.saved(_rest(open_, percent) if last else _stars(open_, percent, turn), "pairs")
         more = K.saved(verified(pairs, sets, percent), "links")
         links = more if links is None else links.union(more)
         labels = K.saved(components(links), "labels")
-        buckets = open_.select("bucket", "node", "n", "u")
-    return labels
+        if last:
+            return labels
+        open_ = _mixed(_labelled(open_.select("bucket", "node", "n", "u"), labels))
+        if not turn:
+            # against the nodes still open alone, more tokens are unique, and the bound is sharper
+            open_ = K.saved(open_, "open")
+            sharper = unique_counts(sets, open_.select("node").distinct(), parts)
+            open_ = open_.drop("u").join(sharper, "node", "left").withColumn("u", F.coalesce("u", F.lit(0))).select("bucket", "node", "n", "u", "label")
+        open_ = K.saved(_mixed(alive(open_, percent)), "open")
+        if open_.isEmpty():
+            return labels
+        turn += 1
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
