@@ -7,12 +7,33 @@ code points, folded once from left to right.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MATCH = "struct<start:int,end:int,value:string>"
 
 
+def built_once(make: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the expression that ``make`` builds from plain values, for as long as the JVM lives.
+
+    Large expressions take thousands of calls to the JVM to build; column names do not change what they are.
+    """
+    kept: dict[tuple, tuple[object, Column]] = {}
+
+    @wraps(make)
+    def get(*key) -> Column:
+        jvm = SparkContext._gateway
+        if key not in kept or kept[key][0] is not jvm:
+            kept[key] = (jvm, make(*key))
+        return kept[key][1]
+
+    return get
+
+
 def empty(kind: str) -> Column:
     """A typed empty array."""
     return F.array().cast(f"array<{kind}>")

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.config import PREFIXES, MaskingMode
-from spanforge.functions.regex import empty, piece
+from spanforge.functions.regex import built_once, empty, piece
 from spanforge.operators.patterns import SPAN, compare
+from spanforge.operators.resolver import held
 
 REPLACEMENT = "struct<start:int,end:int,label:string,original:string,replacement:string>"
 _KEYED = "struct<start:int,end:int,label:string,original:string,prefix:string,norm:string>"
@@ -78,11 +79,30 @@ def masked(text: Column, plan: Column) -> Column:
 def with_masked(df: DataFrame, spans_col: str = "spans", text_col: str = "text", mode: MaskingMode | str = MaskingMode.REPLACE, plan: str = "replacements", out: str = "masked_text") -> DataFrame:
     """The frame with its masking plan and masked text. Null texts stay null; texts without spans are passed on."""
     MaskingMode(mode)
-    some = F.size(spans_col) > 0
-    df = df.withColumn("_keys", F.when(some, keyed(F.col(text_col), F.col(spans_col))).otherwise(empty(_KEYED)))
-    df = df.withColumn("_firsts", first_of_each(F.col("_keys")))
-    df = df.withColumn(plan, replacements(F.col("_keys"), F.col("_firsts"), mode)).drop("_keys", "_firsts")
-    return df.withColumn(out, F.when(F.size(plan) > 0, masked(F.col(text_col), F.col(plan))).otherwise(F.col(text_col)))
+    df = df.withColumn("_keys", _keys(text_col, spans_col))
+    df = df.withColumn("_firsts", _firsts("_keys"))
+    df = df.withColumn(plan, _plan("_keys", "_firsts", str(mode))).drop("_keys", "_firsts")
+    return df.withColumn(out, _masked(text_col, plan))
+
+
+@built_once
+def _keys(text_col: str, spans_col: str) -> Column:
+    return keyed(F.col(text_col), F.col(spans_col))
+
+
+@built_once
+def _firsts(keys_col: str) -> Column:
+    return first_of_each(F.col(keys_col))
+
+
+@built_once
+def _plan(keys_col: str, firsts_col: str, mode: str) -> Column:
+    return held(replacements(F.col(keys_col), F.col(firsts_col), mode))
+
+
+@built_once
+def _masked(text_col: str, plan_col: str) -> Column:
+    return F.when(F.size(plan_col) > 0, masked(F.col(text_col), F.col(plan_col))).otherwise(F.col(text_col))
 
 
 def vault(plan: Column) -> Column:

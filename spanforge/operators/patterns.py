@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions.checksums import valid_fiscal_code, valid_iban, valid_vat_number
-from spanforge.functions.regex import empty, scan_if
+from spanforge.functions.regex import built_once, empty, scan_if
 from spanforge.operators.rules import RULES, Rule
 
 #: A span. ``ord`` is its place among spans as they were found; ``checksum_valid`` is set for fiscal codes alone.
@@ -28,6 +28,17 @@ def span(start: Column, end: Column, label: Column | str, source: Column | str,
     )
 
 
+FIELDS = ("start", "end", "label", "source", "score", "ord", "checksum_valid")
+
+
+def changed(s: Column, **new: Column) -> Column:
+    """A span with some fields replaced, spelt out field by field.
+
+    ``s`` should be a plain variable or column: ``withField`` would repeat whatever it is once a field, and so would this.
+    """
+    return F.struct(*(new.get(f, s[f]).alias(f) for f in FIELDS))
+
+
 def is_certified_mail(value: Column) -> Column:
     """True for addresses of certified electronic mail."""
     low = F.lower(value)
@@ -62,7 +73,7 @@ def detect_patterns(text: Column) -> Column:
     parts = [rule_spans(text, rule, i) for i, rule in enumerate(RULES)]
     interesting = text.rlike(r"(?U)\d|@|(?i:id-)")
     ordered = F.array_sort(F.concat(*parts), _by_place)
-    return F.when(interesting, F.transform(ordered, lambda s, i: s.withField("ord", i))).otherwise(empty(SPAN))
+    return F.when(interesting, F.transform(ordered, lambda s, i: changed(s, ord=i))).otherwise(empty(SPAN))
 
 
 def _by_place(a: Column, b: Column) -> Column:
@@ -80,4 +91,9 @@ def compare(a: Column, b: Column, *keys) -> Column:
 
 def with_raw_spans(df: DataFrame, text_col: str = "text", out: str = "raw_spans") -> DataFrame:
     """The frame with the pattern spans of a text column."""
-    return df.withColumn(out, detect_patterns(F.col(text_col)))
+    return df.withColumn(out, _detected(text_col))
+
+
+@built_once
+def _detected(text_col: str) -> Column:
+    return detect_patterns(F.col(text_col))

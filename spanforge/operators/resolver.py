@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.config import ALIASES, COMMON_WORDS, PRIORITY, TRIMMED, VEHICLES
-from spanforge.functions.regex import empty, piece, quoted, scan
-from spanforge.operators.patterns import SPAN, compare, span
+from spanforge.functions.regex import built_once, empty, piece, quoted, scan
+from spanforge.operators.patterns import SPAN, changed, compare, span
 from spanforge.operators.rules import NAME_LIKE, URL_LIKE
 
 MAX_GAP = 3
@@ -62,7 +62,7 @@ def trim_separators(text: Column, spans: Column) -> Column:
         value = _value(text, s)
         left = F.char_length(value) - F.char_length(F.regexp_replace(value, f"^[{TRIMMED}]+", ""))
         right = F.char_length(value) - F.char_length(F.regexp_replace(value, f"[{TRIMMED}]+\\z", ""))
-        moved = s.withField("start", s["start"] + left).withField("end", F.greatest(s["end"] - right, s["start"] + left))
+        moved = changed(s, start=s["start"] + left, end=F.greatest(s["end"] - right, s["start"] + left))
         return F.when(s["source"].isin("opf", "gliner"), moved).otherwise(s)
 
     return F.filter(F.transform(spans, trimmed), lambda s: ~s["source"].isin("opf", "gliner") | (s["start"] < s["end"]))
@@ -84,22 +84,30 @@ def merge_adjacent(text: Column, ordered: Column) -> Column:
     The merged span takes its source and score from the member that is first among the greatest by (priority, length,
     score). ``ordered`` must be in canonical order.
     """
-    none = F.lit(None).cast(SPAN)
-    zero = F.struct(empty(SPAN).alias("out"), none.alias("cur"), F.lit(0).alias("p"), F.lit(0).alias("n"))
+    weighed = F.transform(ordered, lambda s: F.struct(s.alias("s"), normalized_label(s["label"]).alias("label"), priority(s["source"]).alias("p"), (s["end"] - s["start"]).alias("n")))
+    zero = F.struct(empty(SPAN).alias("out"), F.lit(None).cast(_OPEN).alias("cur"))
 
-    def step(acc: Column, s: Column) -> Column:
-        cur = acc["cur"]
-        p, n = priority(s["source"]), s["end"] - s["start"]
-        fresh = s.withField("label", normalized_label(s["label"])).withField("checksum_valid", F.lit(None).cast("string"))
-        joins = cur.isNotNull() & (s["start"] <= cur["end"] + MAX_GAP) & (normalized_label(s["label"]) == cur["label"]) & ~F.contains(F.substring(text, cur["end"] + 1, F.greatest(s["start"] - cur["end"], F.lit(0))), F.lit("\n"))
-        wins = (p > acc["p"]) | (p == acc["p"]) & ((n > acc["n"]) | (n == acc["n"]) & (s["score"] > cur["score"]))
-        wide = F.when(wins, cur.withField("source", s["source"]).withField("score", s["score"])).otherwise(cur).withField("end", F.greatest(cur["end"], s["end"]))
-        joined = F.struct(acc["out"].alias("out"), wide.alias("cur"), F.when(wins, p).otherwise(acc["p"]).alias("p"), F.when(wins, n).otherwise(acc["n"]).alias("n"))
-        done = F.when(cur.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(cur)))
-        return F.when(joins, joined).otherwise(F.struct(done.alias("out"), fresh.alias("cur"), p.alias("p"), n.alias("n")))
+    def step(acc: Column, x: Column) -> Column:
+        cur, s = acc["cur"], x["s"]
+        near = cur.isNotNull() & (s["start"] <= cur["end"] + MAX_GAP) & (x["label"] == cur["label"])
+        joins = near & ~F.contains(F.substring(text, cur["end"] + 1, F.greatest(s["start"] - cur["end"], F.lit(0))), F.lit("\n"))
+        rank = lambda y, score: F.struct(y["p"], y["n"], score)
+        new = F.struct(s["start"].alias("start"), s["end"].alias("end"), x["label"].alias("label"), F.struct(x["p"].alias("p"), x["n"].alias("n"), s["score"].alias("score"), s["source"].alias("source")).alias("best"))
+        best = F.when(rank(x, s["score"]) > rank(cur["best"], cur["best"]["score"]), new["best"]).otherwise(cur["best"])
+        wide = F.struct(cur["start"].alias("start"), F.greatest(cur["end"], s["end"]).alias("end"), cur["label"].alias("label"), best.alias("best"))
+        out = F.when(joins | cur.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(_closed(cur))))
+        return F.struct(out.alias("out"), F.when(joins, wide).otherwise(new).alias("cur"))
 
-    merged = F.aggregate(ordered, zero, step, lambda acc: F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["cur"]))))
-    return F.transform(merged, lambda s, i: s.withField("ord", i))
+    merged = F.aggregate(weighed, zero, step, lambda acc: F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(_closed(acc["cur"])))))
+    return F.transform(merged, lambda s, i: changed(s, ord=i))
+
+
+_OPEN = "struct<start:int,end:int,label:string,best:struct<p:int,n:int,score:double,source:string>>"
+
+
+def _closed(group: Column) -> Column:
+    """A group of neighbours as a span."""
+    return span(group["start"], group["end"], group["label"], group["best"]["source"], group["best"]["score"])
 
 
 def keep_disjoint(spans: Column) -> Column:
@@ -110,7 +118,7 @@ def keep_disjoint(spans: Column) -> Column:
         return F.when(F.exists(acc, lambda k: (c["start"] < k["end"]) & (k["start"] < c["end"])), acc).otherwise(F.concat(acc, F.array(c)))
 
     kept = F.aggregate(by_rank, empty(SPAN), step)
-    return F.transform(F.array_sort(kept, lambda a, b: compare(a, b, "start", "ord")), lambda s, i: s.withField("ord", i))
+    return F.transform(F.array_sort(kept, lambda a, b: compare(a, b, "start", "ord")), lambda s, i: changed(s, ord=i))
 
 
 def drop_misread(text: Column, spans: Column) -> Column:
@@ -122,7 +130,7 @@ def drop_misread(text: Column, spans: Column) -> Column:
         bad = (s["label"] == "PERSONA") & v.rlike(r"(?U)\d") | (s["label"] == "URL") & ~v.rlike(URL_LIKE) | (s["label"] == "PATENTE") & F.regexp_replace(F.lower(v), r"(?U)^\s+|\s+$", "").isin(*VEHICLES)
         return ~bad
 
-    named = lambda s: s.withField("label", F.when((s["label"] == "ACCOUNT_NUMBER") & _value(text, s).rlike(NAME_LIKE), "PERSONA").otherwise(s["label"]))
+    named = lambda s: changed(s, label=F.when((s["label"] == "ACCOUNT_NUMBER") & _value(text, s).rlike(NAME_LIKE), "PERSONA").otherwise(s["label"]))
     return F.transform(F.filter(spans, fine), named)
 
 
@@ -136,29 +144,62 @@ def other_occurrences(text: Column, spans: Column) -> Column:
     found = F.flatten(F.transform(first, lambda x: F.transform(scan(text, quoted(x["norm"])), lambda m: span(m["start"], m["end"], x["s"]["label"], x["s"]["source"], x["s"]["score"]))))
     new = F.filter(found, lambda f: ~F.exists(spans, lambda s: (s["start"] == f["start"]) & (s["end"] == f["end"])))
     once = F.aggregate(new, empty(SPAN), lambda acc, f: F.when(F.exists(acc, lambda k: (k["start"] == f["start"]) & (k["end"] == f["end"])), acc).otherwise(F.concat(acc, F.array(f))))
-    return F.transform(once, lambda f, i: f.withField("ord", F.size(spans) + i))
+    return F.transform(once, lambda f, i: changed(f, ord=F.size(spans) + i))
 
 
 def resolve(df: DataFrame, spans_col: str, text_col: str = "text", out: str = "spans") -> DataFrame:
     """The frame with resolved spans: lines split, separators trimmed, common words dropped, neighbours merged, overlaps
     settled. No spans at all, before or after, give an empty array."""
-    text, a, b = F.col(text_col), F.col("_clean"), F.col("_merged")
-    none = empty(SPAN)
-    df = df.withColumn("_clean", F.when(F.size(spans_col) > 0, canonical(drop_common_words(text, trim_separators(text, split_lines(text, F.col(spans_col)))))).otherwise(none))
-    df = df.withColumn("_merged", F.when(F.size(a) > 0, merge_adjacent(text, a)).otherwise(none))
-    return df.withColumn(out, F.when(F.size(b) > 1, keep_disjoint(b)).otherwise(b)).drop("_clean", "_merged")
+    df = df.withColumn("_clean", _cleaned(text_col, spans_col))
+    df = df.withColumn("_merged", _merged(text_col, "_clean"))
+    return df.withColumn(out, _settled("_merged")).drop("_clean", "_merged")
+
+
+@built_once
+def _cleaned(text_col: str, spans_col: str) -> Column:
+    text = F.col(text_col)
+    return canonical(drop_common_words(text, trim_separators(text, split_lines(text, F.col(spans_col)))))
+
+
+@built_once
+def _merged(text_col: str, spans_col: str) -> Column:
+    return merge_adjacent(F.col(text_col), F.col(spans_col))
+
+
+@built_once
+def _settled(spans_col: str) -> Column:
+    return keep_disjoint(F.col(spans_col))
+
+
+@built_once
+def _read_right(text_col: str, spans_col: str) -> Column:
+    return held(drop_misread(F.col(text_col), F.col(spans_col)))
+
+
+@built_once
+def _further(text_col: str, spans_col: str) -> Column:
+    text, s = F.col(text_col), F.col(spans_col)
+    wordy = F.exists(s, lambda x: _value(text, x).rlike(r"(?U)\S\s+\S"))
+    return held(F.when(wordy, other_occurrences(text, s)).otherwise(empty(SPAN)))
+
+
+def held(value: Column) -> Column:
+    """The value, but no filter on it is pushed below and it is not computed again where it is used twice.
+
+    Predicates on spans would otherwise be rewritten into predicates on the whole detection, evaluated once more a row.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
 def with_resolved(df: DataFrame, raw_col: str, text_col: str = "text", out: str = "spans") -> DataFrame:
     """The frame with final spans: resolved, misreadings dropped, all occurrences covered, and resolved again if any was added."""
-    text, s, more = F.col(text_col), F.col("_once"), F.col("_more")
+    s, more = F.col("_once"), F.col("_more")
     df = resolve(df, raw_col, text_col, "_first")
-    df = df.withColumn("_once", F.when(F.size("_first") > 0, drop_misread(text, F.col("_first"))).otherwise(F.col("_first"))).drop("_first")
-    wordy = F.exists(s, lambda x: _value(text, x).rlike(r"(?U)\S\s+\S"))
-    df = df.withColumn("_more", F.when((F.size(s) > 0) & wordy, other_occurrences(text, s)).otherwise(empty(SPAN)))
+    df = df.withColumn("_once", _read_right(text_col, "_first")).drop("_first")
+    df = df.withColumn("_more", _further(text_col, "_once"))
     df = df.withColumn("_both", F.when(F.size(more) > 0, F.concat(s, more)).otherwise(empty(SPAN)))
     df = resolve(df, "_both", text_col, "_again")
-    return df.withColumn(out, F.when(F.size(more) > 0, F.col("_again")).otherwise(s)).drop("_once", "_more", "_both", "_again")
+    return df.withColumn(out, held(F.when(F.size(more) > 0, F.col("_again")).otherwise(s))).drop("_once", "_more", "_both", "_again")
 
 
 def category_counts(spans: Column) -> Column:
@@ -167,7 +208,7 @@ def category_counts(spans: Column) -> Column:
     return F.map_from_entries(F.transform(F.array_distinct(labels), lambda x: F.struct(x, F.size(F.filter(labels, lambda y: y == x)))))
 
 
-def source_counts(spans: Column) -> Column:
-    """How many spans each layer gave, and all."""
+def source_counts(spans: Column, *more: Column) -> Column:
+    """How many spans each layer gave, and all; further fields may follow."""
     many = lambda name: F.size(F.filter(spans, lambda s: s["source"] == name))
-    return F.struct(many("opf").alias("opf_spans"), many("gliner").alias("gliner_spans"), many("pattern").alias("pattern_spans"), F.size(spans).alias("merged_unique_spans"))
+    return F.struct(many("opf").alias("opf_spans"), many("gliner").alias("gliner_spans"), many("pattern").alias("pattern_spans"), F.size(spans).alias("merged_unique_spans"), *more)
