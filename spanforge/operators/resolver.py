@@ -188,7 +188,7 @@ def held(value: Column) -> Column:
 
     Predicates on spans would otherwise be rewritten into predicates on the whole detection, evaluated once more a row.
     """
-    return F.when(F.monotonically_increasing_id() >= 0, value)
+    return F.when(F.rand(0) >= 0, value)
 
 
 def with_resolved(df: DataFrame, raw_col: str, text_col: str = "text", out: str = "spans") -> DataFrame:

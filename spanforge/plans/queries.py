@@ -377,7 +377,7 @@ def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ocr_positional_boxes",
-    f"SELECT c_custkey, round(min(10 + 100.0 * before / total), 1) AS x0, 5.0 AS y0, round(max(10 + 100.0 * (before + length(text) + CASE WHEN last THEN 0 ELSE 1 END) / total), 1) AS x1, 25.0 AS y1 FROM (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY c_custkey ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(length(text)) OVER (PARTITION BY c_custkey) + count(*) OVER (PARTITION BY c_custkey) - 1 AS total, number = max(number) OVER (PARTITION BY c_custkey) AS last FROM ({_WORDS})) WHERE before <= 10 AND before + length(text) >= 2 GROUP BY c_custkey",
+    f"SELECT c_custkey, round(min(10 + 100.0 * before / total), 1) AS x0, CAST(5 AS DOUBLE) AS y0, round(max(10 + 100.0 * (before + length(text) + CASE WHEN last THEN 0 ELSE 1 END) / total), 1) AS x1, CAST(25 AS DOUBLE) AS y1 FROM (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY c_custkey ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(length(text)) OVER (PARTITION BY c_custkey) + count(*) OVER (PARTITION BY c_custkey) - 1 AS total, number = max(number) OVER (PARTITION BY c_custkey) AS last FROM ({_WORDS})) WHERE before <= 10 AND before + length(text) >= 2 GROUP BY c_custkey",
 )
 def ocr_positional_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = ocr.with_offsets(ocr.words(_rows(spark, sf_dir), "c_custkey", "page", "line"), "c_custkey")
@@ -452,7 +452,7 @@ _CELL_SQL = "'3' || lpad(CAST(c_custkey AS VARCHAR), 9, '0')"
 for _suffix, _content in (
     (".json", f"'{{\"b\": \"tel ' || {_CELL} || '\", \"a\": [1, \"x\"]}}'"),
     (".xml", f"'<r k=\"x\"><b>tel ' || {_CELL} || '</b>tail</r>'"),
-    (".rtf", f"'{{\\\\\\\\rtf1\\\\\\\\ansi tel ' || {_CELL} || '\\\\\\\\par x}}'"),
+    (".rtf", f"'{{\\\\rtf1\\\\ansi tel ' || {_CELL} || '\\\\par x}}'"),
     (".txt", f"'tel ' || {_CELL} || '\\nx'"),
 ):
     _t = {".json": "'tel ' || {v} || chr(10) || 'x'", ".xml": "'x' || chr(10) || 'tel ' || {v}", ".rtf": "'tel ' || {v} || 'x'", ".txt": "'tel ' || {v} || chr(10) || 'x'"}[_suffix]
