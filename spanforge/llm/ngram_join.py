@@ -49,8 +49,8 @@ from pyspark.sql import functions as F
 
 from spanforge.llm import kernels as K
 
-MAP_BITS = 27
-MAP_TOKENS = 6 << 20
+MAP_BITS = 28
+MAP_TOKENS = 12 << 20
 FREQUENT = 4096
 FREQUENT_TOKENS = 1 << 20
 LONG = 256
@@ -222,6 +222,17 @@ def entries(tokens: np.ndarray, order: Order, percent: int) -> tuple[np.ndarray,
     return np.concatenate(out), unique
 
 
+def living(n: np.ndarray, u: np.ndarray, percent: int) -> np.ndarray:
+    """Marks of the members of a bucket that could link with another member, by sizes and unique tokens alone."""
+    kinds, which, many = np.unique(n.astype(np.int64) << 32 | u, return_inverse=True, return_counts=True)
+    x, y = kinds >> 32, kinds & 0xFFFFFFFF
+    both = np.minimum.outer(x - y, x - y)
+    whole = np.maximum(x[:, None] + y[None, :], x[None, :] + y[:, None])
+    near = 100 * both >= percent * whole
+    near[np.diag_indices(len(kinds))] &= many > 1
+    return near.any(1)[which]
+
+
 def index(rows: DataFrame, n: int, percent: int, order, parts: int) -> DataFrame:
     """Buckets of two or more nodes: ``bucket, node, n, u``; equal buckets appear once."""
 
@@ -269,9 +280,15 @@ def index(rows: DataFrame, n: int, percent: int, order, parts: int) -> DataFrame
         name = K.mix(np.add.reduceat(K.mix(rows["node"].view("<u8") ^ np.uint64(0xA24BAED4963EE407)), first) + size.astype(np.uint64)) if len(rows) else np.zeros(0, np.uint64)
         keep = np.flatnonzero(size > 1)
         keep = keep[np.unique(name[keep], return_index=True)[1]]
-        take = np.arange(size[keep].sum()) + np.repeat(first[keep] - np.concatenate([[0], np.cumsum(size[keep])[:-1]]).astype(np.int64), size[keep]) if len(keep) else np.zeros(0, np.int64)
-        rows = rows[take]
-        return pa.table([pa.array(np.repeat(name[keep].view(np.int64), size[keep])), pa.array(rows["node"].astype(np.int64)), pa.array(rows["n"].astype(np.int32)), pa.array(rows["u"].astype(np.int32))], ["bucket", "node", "n", "u"])
+        held, names = [np.zeros(0, ENTRY)], [np.zeros(0, np.uint64)]
+        for b in keep.tolist():
+            members = rows[first[b] : first[b] + size[b]]
+            members = members[living(members["n"], members["u"], percent)]
+            if len(members):
+                held.append(members)
+                names.append(np.full(len(members), name[b]))
+        rows, name = np.concatenate(held), np.concatenate(names)
+        return pa.table([pa.array(name.view(np.int64)), pa.array(rows["node"].astype(np.int64)), pa.array(rows["n"].astype(np.int32)), pa.array(rows["u"].astype(np.int32))], ["bucket", "node", "n", "u"])
 
     met = rows.select("text").mapInArrow(run, "part int, packed binary").groupBy("part").applyInArrow(meet, "bucket long, node long, n int, u int")
     return met.distinct()
@@ -465,7 +482,7 @@ def _links(rows: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame
         return None
     parts = max(8, min(1 << 20, total // GROUP_TOKENS))
     order = spark.sparkContext.broadcast(frequencies(rows, n, parts))
-    buckets = K.saved(alive(index(rows, n, percent, order, parts), percent), "buckets")
+    buckets = K.saved(index(rows, n, percent, order, parts), "buckets")
     nodes = buckets.select("node").distinct()
     sets = K.saved(needed_sets(rows, n, K.saved(nodes, "nodes")), "sets")
     open_, links, labels, turn = _labelled(buckets, None), None, None, 0
@@ -481,7 +498,9 @@ def _links(rows: DataFrame, found: DataFrame, n: int, percent: int) -> DataFrame
         if not turn:
             # against the nodes still open alone, more tokens are unique, and the bound is sharper
             open_ = K.saved(open_, "open")
-            sharper = unique_counts(sets, open_.select("node").distinct(), parts)
+            some = K.saved(open_.select("node").distinct(), "nodes")
+            many = open_.select("node", "n").distinct().agg(F.sum("n")).first()[0] or 0
+            sharper = unique_counts(sets, some, max(8, many // GROUP_TOKENS))
             open_ = open_.drop("u").join(sharper, "node", "left").withColumn("u", F.coalesce("u", F.lit(0))).select("bucket", "node", "n", "u", "label")
         open_ = K.saved(_mixed(alive(open_, percent)), "open")
         if open_.isEmpty():
