@@ -72,7 +72,7 @@ def with_layer(df: DataFrame, factory: Factory, source: str, out: str, *, text_c
     whole = F.array(F.struct(F.lit(0).alias("start"), F.char_length(F.col(text_col)).alias("end")))
     df = df.withColumn("_w", F.when(F.char_length(text_col) > threshold, windows(F.col(text_col), size, overlap)).otherwise(whole) if threshold >= 0 and size > 0 else whole)
     df = df.withColumn("_texts", F.when(text.isNotNull(), F.transform("_w", lambda w: piece(F.col(text_col), w["start"], w["end"]))).otherwise(empty("string")))
-    df = df.withColumn("_p", _array_predictor(factory)(F.col("_texts")))
+    df = df.withColumn("_p", _array_predictor(factory).asNondeterministic()(F.col("_texts")))
     spans = F.flatten(F.zip_with("_p", "_w", lambda p, w: to_spans(F.coalesce(p, empty(PREDICTION)), source, w["start"])))
     ordered = F.transform(spans, lambda s, i: changed(s, ord=i))
     if source == "gliner":

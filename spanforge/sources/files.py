@@ -1,8 +1,8 @@
 """Folders of files as DataFrames, and rebuilt files out of them.
 
 A folder is read with ``binaryFile``: one row a file, in parallel, without a driver-side loop.
-Plain text is decoded by the JVM; other formats pass through one Arrow UDF. A file that can
-not be read is a row with an error, not a failed job.
+All formats pass through one Arrow UDF, marked as not deterministic so that it runs once a file and is
+never moved into other expressions. A file that can not be read is a row with an error, not a failed job.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def extract(df: DataFrame, formats: dict[str, Format] | None = None) -> DataFram
                 rows.append((None, [], "[]", str(e) or type(e).__name__))
         return pd.DataFrame(rows, columns=["text", "warnings", "ocr_words", "error"])
 
-    return df.withColumn("_x", run("path", "content")).select(*df.columns, "_x.*")
+    return df.withColumn("_x", run.asNondeterministic()("path", "content")).select(*df.columns, "_x.*")
 
 
 def rebuild(df: DataFrame, keep_metadata: bool = False, formats: dict[str, Format] | None = None) -> DataFrame:
@@ -74,7 +74,7 @@ def rebuild(df: DataFrame, keep_metadata: bool = False, formats: dict[str, Forma
         return pd.DataFrame(rows, columns=["content", "suffix", "warnings", "metadata_stripped", "error"])
 
     kept = [c for c in df.columns if c not in ("content", "warnings", "error")]
-    done = df.withColumn("_y", run("path", "content", "replacements"))
+    done = df.withColumn("_y", run.asNondeterministic()("path", "content", "replacements"))
     return done.select(*kept, output_name("path", F.col("_y.suffix")).alias("output_name"), F.col("_y.content").alias("output"), F.concat("warnings", "_y.warnings").alias("warnings"), F.col("_y.metadata_stripped").alias("metadata_stripped"), F.coalesce("error", "_y.error").alias("error"))
 
 
