@@ -79,7 +79,7 @@ def report_lines(report: Column) -> Column:
     yes = F.when(report["metadata_stripped"], "True").otherwise("False")
     by = F.array_sort(F.map_entries(report["entities_found"]["by_category"]))
     head = F.array(
-        F.lit("AI Privacy Anonymizer - Report Compliance GDPR"),
+        F.lit("Report Compliance GDPR"),
         F.concat(F.lit("File sorgente: "), text(report["source_file"])),
         F.concat(F.lit("File output: "), text(report["output_file"])),
         F.concat(F.lit("Processato: "), text(report["processed_at"])),
