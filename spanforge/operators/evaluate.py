@@ -48,7 +48,8 @@ def audit(spans: Column, config: Config, *, source_file: Column | None = None, o
 
 def counts_by(df: DataFrame, *keys: str, spans_col: str = "spans") -> DataFrame:
     """Spans by keys and label over all documents; counted map-side before the shuffle."""
-    return df.select(*keys, F.explode(spans_col).alias("s")).groupBy(*keys, F.col("s.label").alias("label")).agg(F.count("*").alias("n_spans"))
+    labels = F.explode(F.transform(spans_col, lambda s: s["label"])).alias("label")
+    return df.select(*keys, labels).groupBy(*keys, "label").agg(F.count("*").alias("n_spans"))
 
 
 def escaped_html(text: Column) -> Column:

@@ -211,7 +211,7 @@ def counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("counts_rollup", f"WITH {_FOUND} SELECT lang, label, count(*) AS n_spans FROM found JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, label)")
 def counts_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _analyzed(spark, sf_dir).select("lang", F.explode("spans").alias("s")).select("lang", F.col("s.label").alias("label"))
+    rows = _analyzed(spark, sf_dir).select("lang", F.explode(F.transform("spans", lambda s: s["label"])).alias("label"))
     return rows.rollup("lang", "label").agg(F.count("*").alias("n_spans"))
 
 

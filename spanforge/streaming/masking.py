@@ -25,8 +25,8 @@ def masked_stream(engine: Engine, df: DataFrame, text_col: str = "text") -> Data
 
 def windowed_counts(masked: DataFrame, time_col: str, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Spans by label and event-time window; rows later than ``late`` are dropped."""
-    rows = masked.withWatermark(time_col, late).select(time_col, F.explode("spans").alias("s"))
-    return rows.groupBy(F.window(time_col, window).alias("w"), F.col("s.label").alias("label")).agg(F.count("*").alias("n_spans")).select("w.start", "w.end", "label", "n_spans")
+    rows = masked.withWatermark(time_col, late).select(time_col, F.explode(F.transform("spans", lambda s: s["label"])).alias("label"))
+    return rows.groupBy(F.window(time_col, window).alias("w"), "label").agg(F.count("*").alias("n_spans")).select("w.start", "w.end", "label", "n_spans")
 
 
 def to_folder(df: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
