@@ -9,10 +9,18 @@ documents and on all machines, without a table and without a shuffle. ``invert``
 it for whoever holds the key.
 
 Formats: e-mail addresses, payment card numbers (13 to 19 digits with a right check
-digit), North American phone numbers, IPv4 addresses, IBANs (mod 97), social security
-numbers, calendar dates (year first, or day or month first with a four-digit year), and
-secrets (access key ids, values of password, token, secret and key assignments). A
-candidate that fails its validation stays as it is.
+digit), phone numbers of ten digits in North American notation (any area code), IPv4
+addresses, IBANs (mod 97), social security numbers, calendar dates (year first, or day or
+month first with a four-digit year), and secrets (access key ids, values of password,
+token, secret and key assignments). A candidate that fails its validation stays as it is.
+
+A card number may have other digits beside it. In a run of digit groups, values of the
+other formats are taken first; then of what is left the longest stretches between
+separators that have a right check digit. A stretch within a run has at least four digits
+in each group but its last, or lists of small numbers would be full of them. A pseudonym
+with which another stretch of its run would be read as the card is passed over for the
+next, so that ``invert`` reads the same stretches; beside other digits a card may therefore
+have another pseudonym than alone.
 
 Cases: null stays null; a text without such values is passed on untouched; repeated
 rows are treated alike; an empty table gives no rows; other columns pass through, one
@@ -79,6 +87,37 @@ def luhn_digit(digits: str) -> int:
     return -total % 10
 
 
+def luhn_valid(text: str) -> bool:
+    """Whether the last digit is the check digit of those before it."""
+    digits = re.sub(r"\D", "", text)
+    return luhn_digit(digits[:-1]) == int(digits[-1])
+
+
+def card_places(run: str) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """Begin and end of the card numbers in a run of digits and separators, the longest taken first, and the stretches
+    that would have been taken in place of each if their check digit had been right."""
+    places = {m.span(): sum(map(str.isdigit, m[0])) for m in CARD.finditer(run)}
+    groups = [m.span() for m in re.finditer(r"\d+", run)]
+    for i, (begin, _) in enumerate(groups):
+        n = 0
+        for first, end in groups[i:]:
+            n += end - first
+            if 13 <= n <= 19:
+                places[begin, end] = n
+            if n > 19 or end - first < 4:
+                break
+    used, failed, found = bytearray(len(run)), {}, []
+    for begin, end in sorted(places, key=lambda p: (-places[p], p)):
+        if any(used[begin:end]):
+            continue
+        if luhn_valid(run[begin:end]):
+            used[begin:end] = b"\1" * (end - begin)
+            found.append((begin, end, [(i, j) for i in range(begin - LONGEST, end) for j in failed.get(i, ()) if j > begin]))
+        else:
+            failed.setdefault(begin, []).append(end)
+    return sorted(found)
+
+
 def iban_check(country: str, rest: str) -> int:
     """The two check digits of an IBAN as a number."""
     return 98 - int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
@@ -114,7 +153,7 @@ class Pseudonyms:
 
     def __init__(self, key: bytes, back: bool = False):
         self.feistel, self.back = Feistel(key), back
-        self.memo: dict[tuple[str, str], str | None] = {}
+        self.memo: dict[tuple[str, str], object] = {}
 
     def _permute(self, x: int, size: int, kind: str) -> int:
         return self.feistel.apply(x, size, kind.encode(), self.back)
@@ -131,23 +170,24 @@ class Pseudonyms:
             return both + dot + top
         return self._string(local, "email") + "@" + domain
 
-    def card(self, m: re.Match) -> str | None:
-        digits = re.sub(r"\D", "", m["card"])
-        if not 13 <= len(digits) <= 19 or digits[0] == "0" or luhn_digit(digits[:-1]) != int(digits[-1]):
-            return None
-        low = 10 ** (len(digits) - 2)
-        body = str(self._permute(int(digits[:-1]) - low, 9 * low, "card") + low)
-        return _layout(m["card"], body + str(luhn_digit(body)))
+    def cards(self, run: str) -> list[tuple[int, int, str]]:
+        """Begin, end and pseudonym of each card number in a run of digits and separators."""
+        chars, found = list(run), card_places(run)
+        for begin, end, rivals in reversed(found) if self.back else found:
+            digits = [c for c in chars[begin:end] if c.isdigit()]
+            n = len(digits) - 1
+            x = int("".join(digits[:-1]))
+            while True:
+                x = self._permute(x, 10**n, "card")
+                body = f"{x:0{n}d}"
+                chars[begin:end] = _layout(run[begin:end], body + str(luhn_digit(body)))
+                if not any(luhn_valid("".join(chars[i:j])) for i, j in rivals):
+                    break
+        return [(begin, end, "".join(chars[begin:end])) for begin, end, _ in found]
 
     def phone(self, m: re.Match) -> str | None:
         digits = re.sub(r"\D", "", m["phone"])
-        head, d = digits[:-10], digits[-10:]
-        if d[0] < "2" or d[3] < "2":
-            return None
-        x = (((int(d[0]) - 2) * 100 + int(d[1:3])) * 8 + int(d[3]) - 2) * 10**6 + int(d[4:])
-        x, tail = divmod(self._permute(x, 64 * 10**8, "phone"), 10**6)
-        x, e = divmod(x, 8)
-        return _layout(m["phone"], f"{head}{x // 100 + 2}{x % 100:02d}{e + 2}{tail:06d}")
+        return _layout(m["phone"], f"{digits[:-10]}{self._permute(int(digits[-10:]), 10**10, 'phone'):010d}")
 
     def ip(self, m: re.Match) -> str | None:
         octets = [int(o) for o in m["ip"].split(".")]
@@ -210,35 +250,60 @@ class Pseudonyms:
 
     def replace(self, text: str, counts: dict[str, int] | None = None) -> str:
         """The text with all validated values replaced."""
-
-        def one(m: re.Match) -> str:
-            kind = m.lastgroup if m.lastgroup in KINDS else "secret"
-            memo = (kind, m[0])
-            if memo not in self.memo:
-                if len(self.memo) > 100_000:
-                    self.memo.clear()
-                self.memo[memo] = getattr(self, kind)(m)
-            new = self.memo[memo]
-            if new is None:
-                return m[0]
-            if counts is not None:
-                counts[kind] = counts.get(kind, 0) + 1
-            return new
-
-        return "\n".join(PATTERN.sub(one, line) if TRIGGER.search(line) else line for line in text.split("\n"))
+        return "\n".join(self._line(line, counts) if TRIGGER.search(line) else line for line in text.split("\n"))
+
+    def _line(self, line: str, counts: dict[str, int] | None) -> str:
+        out, done, at = [], 0, 0
+        while m := PATTERN.search(line, at):
+            at = m.end()
+            for begin, end, kind, new in self._run(line, m) if m.lastgroup == "card" else self._value(m):
+                out += line[done:begin], new
+                done, at = end, max(at, end)
+                if counts is not None:
+                    counts[kind] = counts.get(kind, 0) + 1
+        return "".join(out) + line[done:]
+
+    def _known(self, kind: str, text: str, make: Callable[[], object]) -> object:
+        if (kind, text) not in self.memo:
+            if len(self.memo) > 100_000:
+                self.memo.clear()
+            self.memo[kind, text] = make()
+        return self.memo[kind, text]
+
+    def _value(self, m: re.Match) -> list[tuple[int, int, str, str]]:
+        """Begin, end, kind and pseudonym of the value matched, or nothing where it fails its validation."""
+        kind = m.lastgroup if m.lastgroup in KINDS else "secret"
+        new = self._known(kind, m[0], lambda: getattr(self, kind)(m))
+        return [] if new is None else [(*m.span(), kind, new)]
+
+    def _run(self, line: str, m: re.Match) -> list[tuple[int, int, str, str]]:
+        """The same for all values in a run of digits: those of other formats, which may end beyond it, and the cards between them."""
+        found, at = [], m.start()
+        while (other := OTHERS.search(line, at, m.end() + REACH)) and other.start() < m.end():
+            at = other.end()
+            found += self._value(other)
+        cards, at = [], m.start()
+        for begin, end in [*(f[:2] for f in found), (m.end(), m.end())]:
+            part = line[at:begin]
+            cards += [(at + i, at + j, "card", new) for i, j, new in self._known("card", part, lambda: self.cards(part))]
+            at = end
+        return sorted(found + cards)
 
 
 TRIGGER = re.compile(r"[0-9@=:]")
-PATTERN = re.compile(
+DIGITS = r"(?<![\w.-])\d(?:[ -]?\d){12,%s}(?![\w]|-\d)"
+#: One card number; characters of the longest; characters that a value which begins in a run of digits may take beyond it.
+CARD, LONGEST, REACH = re.compile(DIGITS % "18"), 37, 1000
+VALUES = (
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<phone>(?<![\w.+-])(?:(?:\+1|1)[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<date>(?<![\w./-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?![\w]|[-/.]\d))"
-    r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|-\d))"
     r"|(?P<secret>(?<!\w)(?P<key>(?:AKIA|ASIA)[A-Z0-9]{16})(?!\w)|(?P<assigned>(?i:password|passwd|pwd|secret|token|api_?key)[\"']?\s?[=:]\s?[\"']?)(?P<value>[A-Za-z0-9_\-./+]{6,128}))"
 )
+PATTERN, OTHERS = re.compile(VALUES + f"|(?P<card>{DIGITS % ''})"), re.compile(VALUES)
 
 
 def pseudonymize(docs: DataFrame, *, key: bytes | str, text_col: str = "text", keep: list[str] | None = None, count_col: str | None = "n_values", back: bool = False) -> DataFrame:
