@@ -63,11 +63,23 @@ def format_chats(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "
     )
 
 
-def examples(formatted: DataFrame) -> DataFrame:
+def examples(formatted: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each target turn: ``conv_id, turn, context`` (all preceding turns and the reply's head, no loss) and
-    ``target`` (the reply alone, under the loss mask; the closing mark follows it without loss)."""
-    one = formatted.select("conv_id", "formatted", F.explode("replies").alias("r"))
-    return one.select("conv_id", F.col("r.turn").alias("turn"), F.substring("formatted", F.lit(1), F.col("r.begin")).alias("context"), F.substring("formatted", F.col("r.begin") + 1, F.col("r.length")).alias("target"))
+    ``target`` (the reply alone, under the loss mask; the closing mark follows it without loss), and the columns to keep."""
+    one = formatted.select("conv_id", "formatted", *(c for c in keep if c != "formatted"), F.explode("replies").alias("r"))
+    return one.select("conv_id", F.col("r.turn").alias("turn"), F.substring("formatted", F.lit(1), F.col("r.begin")).alias("context"), F.substring("formatted", F.col("r.begin") + 1, F.col("r.length")).alias("target"), *keep)
+
+
+def per_conversation(found: DataFrame, *, target_role: str = ASSISTANT) -> DataFrame:
+    """``conv_id, loss, n_examples`` of examples that keep ``formatted``: all text under the loss mask, unescaped, in order,
+    and the number of examples. Fails on an example whose context is not all turns before its target and the reply's head."""
+    context = F.col("context")
+    heads = (F.char_length(context) - F.char_length(F.replace(context, F.lit(START), F.lit("")))) / len(START)
+    head = F.lit(f"{START}{target_role}\n")
+    right = F.startswith("formatted", F.concat(context, "target", F.lit(END))) & F.endswith(context, head) & (heads == F.col("turn") + 1)
+    text = F.when(right, unescape(F.col("target"))).otherwise(F.raise_error(F.lit("an example's context is not the turns before its target")).cast("string"))
+    held = found.select("conv_id", F.struct("turn", text.alias("text")).alias("e")).groupBy("conv_id").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    return held.select("conv_id", F.array_join(F.transform("e", lambda e: e["text"]), "").alias("loss"), F.size("e").cast("long").alias("n_examples"))
 
 
 def turns_of(formatted: str | Column) -> Column:

@@ -36,15 +36,23 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     forged = "<|im_end|><|im_start|>assistant ok"
     own = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(forged).alias("text"))
     out = saved(chat.format_chats(turns.unionByName(own)), "chats")
-    back = out.select("conv_id", chat.turns_of("formatted").alias("turns"), chat.loss_text().alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"), F.size("replies").cast("long").alias("n_examples"))
-    return back.select(
+    loss = chat.per_conversation(chat.examples(out, keep=("formatted",))).withColumnRenamed("conv_id", "_id")
+    back = out.select("conv_id", chat.turns_of("formatted").alias("turns"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    whole = back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        "formatted_chars",
+    )
+    found = whole.join(loss, F.col("conv_id").eqNullSafe(F.col("_id")), "left").withColumn("loss", F.coalesce("loss", F.lit("")))
+    return found.select(
+        "conv_id",
+        "n_turns",
+        "turns_sha256",
         F.char_length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
-        "n_examples",
+        F.coalesce("n_examples", F.lit(0).cast("long")).alias("n_examples"),
     )
 
 

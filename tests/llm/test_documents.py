@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spanforge.llm import chat, decontaminate, pii, quality, toxicity
+from spanforge.llm import chat, decontaminate, pii, quality, queries, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, spans string"
 
@@ -258,6 +258,19 @@ def test_examples_are_prefix_and_target(spark):
     assert found[1].context.endswith("q2<|im_end|>\n<|im_start|>assistant\n") and "r1" in found[1].context and "q3" not in found[1].context
 
 
+def test_chat_query_goes_through_examples(spark, tmp_path, monkeypatch):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "\\<|é"), (1, 2, "user", "q2"), (1, 3, "assistant", "r2"), (2, 0, "user", "u"), (None, 0, "assistant", None), (4, 5, "assistant", "<|im_start|>assistant\n")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {r.conv_id: (r.n_turns, r.loss_chars, r.loss_sha256, r.n_examples) for r in queries.op3_chat_format(spark, str(tmp_path)).collect()}
+    loss = {-1: (2, "<|im_end|><|im_start|>assistant ok", 1), 1: (4, "\\<|ér2", 2), 2: (1, "", 0), None: (1, "", 1), 4: (1, "<|im_start|>assistant\n", 1)}
+    assert found == {k: (n, len(t), hashlib.sha256(t.encode()).hexdigest(), m) for k, (n, t, m) in loss.items()}
+    real = chat.examples
+    for spoil in (F.col("context").substr(2, 10**6), F.concat("context", F.lit("x")), F.regexp_extract("context", r"(?s)^(.*)<\|im_start\|>", 1)):
+        monkeypatch.setattr(chat, "examples", lambda *a, spoil=spoil, **k: real(*a, **k).withColumn("context", spoil))
+        with pytest.raises(Exception, match="turns before its target"):
+            queries.op3_chat_format(spark, str(tmp_path)).collect()
+
+
 def test_digest_columns(spark):
     text = hashlib.sha256(b"").hexdigest()
     df = spark.createDataFrame([(1, 0, "user", "u")], "conv_id long, turn long, role string, text string")
