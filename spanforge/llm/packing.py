@@ -4,9 +4,10 @@ A fixed number of bins is open at a time, kept in a bitset keyed by free space:
 lowest set bit from a piece's length on is the fullest open bin that takes it. Where
 none does, a new bin opens; beyond the fixed number the fullest open bin closes first.
 
-Every task packs the rows of its own partition in one pass, in memory that does not
-grow with the partition, so packing needs no shuffle; sequence ids carry the partition.
-Only the bins open at a partition's end stay part-filled.
+Texts are encoded where they lie. Their pieces, narrow rows of numbers, are then dealt
+evenly to as many tasks as their tokens need (``TASK_TOKENS`` each), however the input is
+split; every task packs its pieces in one pass, in memory that does not grow with them.
+Sequence ids carry the task. Only the bins open at a task's end stay part-filled.
 
 Cases: a null or empty text is one end id; a text that is longer than a sequence is cut
 into pieces, the remainder first, so that all later pieces fill a sequence each;
@@ -22,10 +23,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanforge.llm import kernels as K
 from spanforge.llm.tokenize import END_ID, default_path, encoder
 
+TASK_TOKENS = 4 << 20
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -79,18 +83,26 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
     K.set_batches(docs.sparkSession)
     path = tokenizer or default_path()
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        bins, base, enc = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 36, encoder(path)
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
         for batch in batches:
             names, rows = batch.column(0).to_pylist(), []
             for r, ids, _ in enc.texts(batch.column(1)):
                 ids = np.append(ids, np.uint32(END_ID))
                 for k, (start, length) in enumerate(pieces(len(ids), capacity)):
-                    number, offset = bins.place(length)
-                    rows.append((names[r], k, start, length, zlib.crc32(ids[start : start + length].astype("<u4").tobytes()), base + number, offset))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(columns)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+                    rows.append((names[r], k, start, length, zlib.crc32(ids[start : start + length].astype("<u4").tobytes())))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(columns)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        bins, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 36
+        for batch in batches:
+            placed = [bins.place(n) for n in batch.column(3).to_pylist()]
+            columns = [[base + number for number, _ in placed], [offset for _, offset in placed]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], [*batch.schema.names, "sequence_id", "offset"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)
+    found = K.saved(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(cut, PIECES), "pieces")
+    tasks = max(1, (found.agg(F.sum("length")).first()[0] or 0) // TASK_TOKENS)
+    return (found.repartition(tasks) if tasks > 1 else found.coalesce(1)).mapInArrow(place, SCHEMA)

@@ -141,6 +141,22 @@ def test_token_output(spark):
     assert token_output.read(token_output.write(docs(spark, []))).count() == 0
 
 
+def test_packing_does_not_depend_on_the_split(spark):
+    rnd = random.Random(6)
+    rows = [(i, "word " * rnd.randint(50, 900)) for i in range(400)]
+    n = check_packing(rows, packing.pack(docs(spark, rows).repartition(100)).collect())
+    assert n <= 1.05 * -(-sum(len(plain(t)) for _, t in rows) // 2048)
+
+
+def test_packing_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TASK_TOKENS", 20_000)
+    rows = [(i, "word " * (i * 37 % 900)) for i in range(200)]
+    found = packing.pack(docs(spark, rows).repartition(50)).collect()
+    n = check_packing(rows, found)
+    assert len({r.sequence_id >> 36 for r in found}) == sum(len(plain(t)) for _, t in rows) // 20_000
+    assert n <= 1.15 * -(-sum(len(plain(t)) for _, t in rows) // 2048)
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_attribution_by_brute_force(rule):
     rnd = random.Random(5)
