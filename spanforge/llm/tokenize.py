@@ -58,7 +58,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tag = np.zeros(1 << SLOT_BITS, np.uint64)
         self.at = np.zeros(1 << SLOT_BITS, np.int32)
         self.many = np.zeros(1 << SLOT_BITS, np.int32)

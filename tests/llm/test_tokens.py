@@ -36,6 +36,19 @@ def test_cached_encoding_is_plain_encoding(texts):
         assert ids.tolist() == e.plain(texts[r]) and step.sum() == len(texts[r])
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", " ", "  ", "\n", "ab", "é", "日", "<|", "|>", "endoftext", " x"]), max_size=12).map("".join), max_size=5))
+def test_special_tokens_are_as_the_library_has_them(texts):
+    from tokenizers import Tokenizer
+
+    unaltered = Tokenizer.from_file(default_path())
+    e = encoder(default_path())
+    for r, ids, step in e.texts(pa.array([*texts, "<|endoftext|>"], pa.string()), True):
+        text = [*texts, "<|endoftext|>"][r]
+        assert ids.tolist() == unaltered.encode(text, add_special_tokens=False).ids and step.sum() == len(text)
+    assert ids.tolist() == [50256]
+
+
 def test_cache_survives_wrapping(monkeypatch):
     from spanforge.llm import tokenize
 
