@@ -341,7 +341,7 @@ def expand_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("chunk_windows")
 def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents").select("doc_id", "text").where("char_length(text) > 4000")
+    df = table(spark, sf_dir, "documents").select("doc_id", "text")
     return df.select("doc_id", F.inline(windows(F.col("text"))))
 
 

@@ -176,6 +176,15 @@ def test_layers_and_occurrences(spark):
     assert detectors.plain_prediction({"start": 1, "end": 2}) is None
 
 
+def test_window_query_covers_every_document(spark, tmp_path):
+    from spanforge.plans import queries
+
+    rows = {1: "short", 2: "", 3: "a b " * 500, 4: "word " * 1500}
+    spark.createDataFrame(list(rows.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = sorted(tuple(r) for r in queries.QUERIES["chunk_windows"](spark, str(tmp_path)).collect())
+    assert found == [(i, *w) for i, t in rows.items() for w in python_windows(t, 1500, 100)]
+
+
 def python_windows(text, size, overlap):
     n, out, start = len(text), [], 0
     if n <= size:
