@@ -158,16 +158,17 @@ def set_batches(spark, rows: int = 1024) -> None:
 def shared_dir(spark) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the session names none (as in tests on one machine) one is made and set.
+    Where the session names none, one is made and set if all of Spark runs in this process; on a cluster that is an error,
+    as a machine's own folder would hold only its part of a table.
     """
-    try:
-        found = spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # noqa: BLE001  unset
-        found = None
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
@@ -189,6 +190,33 @@ def saved(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """The tables that one job writes in the shared folder, so that those can go which its result does not read."""
+
+    def __init__(self, spark):
+        self.spark, self.held = spark, []
+
+    def save(self, df, name: str):
+        """As ``saved``."""
+        path = fresh(self.spark, name)
+        df.write.parquet(path)
+        self.held.append((out := self.spark.read.schema(df.schema).parquet(path), path))
+        return out
+
+    def drop_all_but(self, *kept) -> None:
+        """Delete all tables but these, once nothing that is yet to be read is made from them."""
+        for df, path in self.held:
+            if not any(df is k for k in kept):
+                delete(self.spark, path)
+        self.held = [(df, path) for df, path in self.held if any(df is k for k in kept)]
+
+
+def delete(spark, path: str) -> None:
+    """Delete a folder of the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def filesystem(uri: str):
     """A pyarrow file system and the path within it; a bare path is local."""
     from pyarrow import fs

@@ -4,11 +4,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.llm import ngram_join, warc
-from spanforge.llm.kernels import fresh
+from spanforge.llm import kernels, ngram_join, warc
+from spanforge.llm.kernels import Tables, fresh
 
 SCHEMA = "doc_id long, text string, node string, label string"
 
@@ -55,44 +56,101 @@ def corpus(seed, size=40):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "frequent"), [(1, 4096), (2, 2), (3, 4)])
-def test_join_by_brute_force(spark, monkeypatch, seed, frequent):
-    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+@pytest.mark.parametrize(("seed", "bounds"), [(1, {}), (2, {"frequent": 2}), (3, {"frequent": 4}), (5, {"map_bits": 6, "frequent": 8})])
+def test_join_by_brute_force(spark, seed, bounds):
     rows = corpus(seed)
-    found = ngram_join.groups(docs(spark, rows), words=4, percent=85)
+    found = ngram_join.groups(docs(spark, rows), words=4, percent=85, **bounds)
     assert sorted(map(tuple, found.collect())) == brute_groups(rows, 4, 85)
 
 
-def test_join_without_unique_tokens_known(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "MAP_TOKENS", 20)  # the bit map holds only the more frequent tokens
-    monkeypatch.setattr(ngram_join, "FILTER_NODES", 1)
+def test_join_bounds_never_decide(spark, monkeypatch):
     rows = corpus(5)
-    assert sorted(map(tuple, ngram_join.groups(docs(spark, rows), words=5, percent=80).collect())) == brute_groups(rows, 5, 80)
-
-
-def test_last_round_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "REST_PAIRS", -(10**9))
-    monkeypatch.setattr(ngram_join, "MOST_STARS", 2)
-    rows = corpus(6, 25)
-    assert sorted(map(tuple, ngram_join.groups(docs(spark, rows), words=4, percent=85).collect())) == brute_groups(rows, 4, 85)
+    for name, value in (("SEEN", 1), ("NODE_BITS", 15), ("LOCAL_EDGES", 0), ("FREQUENT_TOKENS", 3), ("TASK_TOKENS", 50), ("GROUP_TOKENS", 100)):
+        monkeypatch.setattr(ngram_join, name, value)
+    found = ngram_join.groups(docs(spark, rows), words=5, percent=80, frequent=3)
+    assert sorted(map(tuple, found.collect())) == brute_groups(rows, 5, 80)
+
+
+@pytest.mark.parametrize("rest", [-1, 10**9])
+def test_join_of_near_copies(spark, monkeypatch, rest):
+    """A large group of near copies about the threshold, with more stars and with none after the first."""
+    monkeypatch.setattr(ngram_join, "REST_PAIRS", rest)
+    rnd = random.Random(11)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rnd.randint(0, 5)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    assert sorted(map(tuple, ngram_join.groups(docs(spark, rows), words=4, percent=85, frequent=20).collect())) == brute_groups(rows, 4, 85)
+
+
+def test_join_of_long_texts(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    passage, rows = [word() for _ in range(3000)], []
+    for i in range(12):
+        w = [word() for _ in range(6000)] + passage
+        rows.append((2 * i, " ".join(w)))
+        for _ in range(150 if i % 2 else 60):
+            w[rnd.randrange(len(w))] = word()
+        rows.append((2 * i + 1, " ".join(w)))
+    assert sorted(map(tuple, ngram_join.groups(docs(spark, rows), words=4, percent=85, frequent=5).collect())) == brute_groups(rows, 4, 85)
+
+
+@pytest.mark.parametrize("size", [1, 2, 15, 16, 17, 100, 127, 128, 1000])
+def test_index_meets_all_linked_sets(size):
+    """Sets just at the threshold share an entry, whatever the classes of their tokens."""
+    rnd = np.random.default_rng(size)
+    for percent in (80, 85, 100):
+        for frequent in (0.0, 0.5, 1.0):
+            for _ in range(20):
+                x = np.unique(rnd.integers(0, 2**63, size).astype(np.uint64))
+                keep = -(-percent * len(x) // 100)
+                new = int(keep * 100 / percent) - keep if rnd.random() < 0.5 else 0
+                y = np.unique(np.concatenate([rnd.permutation(x)[: keep + (len(x) - keep if new else 0)], rnd.integers(0, 2**63, new if new else 0).astype(np.uint64)]))
+                both = len(np.intersect1d(x, y))
+                if both == len(x) == len(y) or 100 * both < percent * (len(x) + len(y) - both):
+                    continue  # equal sets are one node
+                often = np.sort(np.union1d(x, y)[rnd.random(len(np.union1d(x, y))) < frequent])
+                order = ngram_join.Order(np.full(1024, 255, np.uint8), often & ngram_join._LOW, 1, 8192)
+                a, b = ngram_join.entries(x, order, percent)[0], ngram_join.entries(y, order, percent)[0]
+                assert len(np.intersect1d(a, b)), (size, percent, frequent)
 
 
 def test_join_edges(spark):
     assert ngram_join.groups(docs(spark, [])).count() == 0
-    assert [tuple(r) for r in ngram_join.groups(docs(spark, [(3, None), (4, "")])).collect()] == [(3, 0, 3), (4, 0, 4)]
+    assert sorted(tuple(r) for r in ngram_join.groups(docs(spark, [(3, None), (4, "")])).collect()) == [(3, 0, 3), (4, 0, 4)]
     same = [(7, "a b c d e f"), (7, "a b c d e f"), (9, "A b c d e f"), (None, "a b c d e f")]
     assert {r.component_id for r in ngram_join.groups(docs(spark, same)).collect()} == {7}
-    kept = ngram_join.one_of_each(docs(spark, same))
-    assert {r.doc_id for r in kept.collect()} == {7, None} and kept.columns == docs(spark, []).columns
     with pytest.raises(ValueError):
         ngram_join.groups(docs(spark, same), percent=40)
 
 
+def test_one_row_of_each_component(spark):
+    text = "a b c d e f g h"
+    rows = [(7, text), (7, text), (9, text.upper()), (None, text), (5, "one two three four five six"), (5, "p q r s t u v"), (6, "P q r s t u v"), (4, None), (4, None), (8, " "), (None, "z y x w v")]
+    d = docs(spark, rows).selectExpr("*", "1 as key", "2 as stays", "3 as many", "array(4) as bucket")
+    kept = ngram_join.one_of_each(d)
+    assert kept.columns == d.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(7, text), (5, "one two three four five six"), (5, "p q r s t u v"), (4, None), (4, None), (8, " "), (None, "z y x w v")], key=str)
+    words = spark.createDataFrame([("b", text), ("a", text)], "doc_id string, text string")
+    assert [r.doc_id for r in ngram_join.one_of_each(words).collect()] == ["a"]
+
+
+def test_tables_of_a_join_are_deleted(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(kernels, "shared_dir", lambda _: f"file://{tmp_path}")
+    found = ngram_join.groups(docs(spark, corpus(1, 5)))
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"digests", "components"} and found.count()
+
+
 @pytest.mark.parametrize("local", [0, 10**6])
 def test_components(spark, local):
     rnd = random.Random(7)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)]
-    found = {r.node: r.label for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long"), local).collect()}
+    name = lambda i: i.to_bytes(16, "big")
+    table = spark.createDataFrame([(name(a), name(b)) for a, b in edges], "a binary, b binary")
+    found = {bytes(r.node): bytes(r.label) for r in ngram_join.components(table, Tables(spark), local).collect()}
     root = {}
 
     def find(i):
@@ -103,7 +161,7 @@ def test_components(spark, local):
     for a, b in edges:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    assert found == {i: find(i) for e in edges if e[0] != e[1] for i in e}
+    assert found == {name(i): name(find(i)) for e in edges if e[0] != e[1] for i in e}
 
 
 MAGIC = "WARC/1.0\r\n"
