@@ -425,12 +425,15 @@ def _may_link(x: str, y: str, percent: int) -> str:
     return f"{x}label != {y}label and {could_link(f'{x}n', f'{x}u', f'{y}n', f'{y}u', percent)} and {100 + percent}L * ({differ}) <= {100 - percent}L * ({x}n + {y}n)"
 
 
-def _stars(buckets: DataFrame, centres: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Each bucket's centre against its members of other components. First the centre is the node with most shared tokens."""
+def _stars(buckets: DataFrame, centres: DataFrame, percent: int, turn: int, tables: K.Tables) -> DataFrame:
+    """Each bucket's centre against its members of other components. First the centre is the node with most shared tokens.
+
+    The centres are a table of their own, so that the join stands alone in its stage and skewed buckets can be split.
+    """
     rank = [] if turn else [(F.col("n") - F.col("u")).alias("shared")]
     kept = ["node", "n", "u", "label", *SKETCH]
     centre = centres.groupBy("bucket").agg(F.max(F.struct(*rank, F.xxhash64("node", F.lit(turn)).alias("h"), *kept)).alias("c"))
-    near = buckets.join(centre, "bucket").where(F.expr(_may_link("", "c.", percent)))
+    near = buckets.join(tables.save(centre, "centres"), "bucket").where(F.expr(_may_link("", "c.", percent)))
     return near.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
@@ -473,7 +476,7 @@ def _links(rows: DataFrame, found: DataFrame, n: int, percent: int, tables: K.Ta
         if last:
             pairs = _rest(now, percent)
         else:
-            pairs = _stars(now, now.where("label != main") if turn else now, percent, turn)
+            pairs = _stars(now, now.where("label != main") if turn else now, percent, turn, tables)
         more = tables.save(verified(tables.save(pairs, "pairs"), sets, percent), "links")
         links = more if links is None else links.union(more)
         labels = tables.save(components(links, tables), "labels")
