@@ -143,6 +143,14 @@ def hash_windows(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix((s[end] - s[begin]) * up[begin] + np.uint64(k)), before
 
 
+def free_name(columns, wanted: str) -> str:
+    """A column name like ``wanted`` that is not among the columns (Spark ignores case)."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def set_batches(spark, rows: int = 1024) -> None:
     """Keep Arrow batches small, so that batches of very long texts fit in memory.
 

@@ -4,11 +4,17 @@ Base measures of a text are computed by built-in functions alone. For each (lang
 source) the shares of junk (symbols, repeated lines, repeated words, and words that are too
 short or too long on average) go into quantile sketches: counts of integer buckets whose
 bounds grow geometrically, so that sketches of any parts of the data merge by addition
-and a quantile is known to within the bucket's relative width. A group's upper limit is its
-own quantile plus a multiple of its spread, never below a floor that any clean text may
-reach, so that rules follow each group instead of one fixed cutoff for all. Groups with
-few texts take their language's sketch, and languages with few texts the whole corpus's;
-the coarser sketches are sums of the finer ones.
+and a quantile is known to within the bucket's relative width, 1/128.
+
+A group's upper limit is its own median plus a multiple of the distance from its lower
+quartile to its median. Both lie in the clean part of the texts as long as less than half
+of them are junk, so junk does not raise the limit that is to reject it, and a group whose
+texts are alike has a tighter limit than one whose texts vary. Where that distance is next
+to nothing (most texts have no symbols at all) a least spread stands for it. Lest a source
+that is mostly junk set its own limit, that reaches beyond its language's median at most
+``reach`` times as far as the language's own limit does, and at least one ``reach``-th as
+far; a language's is held to the corpus's likewise. Groups of few texts take their language's limit, and languages of few
+texts the whole corpus's; the coarser sketches are sums of the finer ones.
 
 Shuffles: narrow rows only. Sketch buckets are summed map-side, so a source with a third
 of all rows sends no more than any other. The limits, one row a group, are broadcast
@@ -25,36 +31,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.llm import kernels as K
 from spanforge.llm.kernels import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURES = ("symbols", "dup_lines", "repeats", "short", "long")
-#: Limits are never below these (parts in 10,000; for short and long: 10,000 times words a letter, and letters a word over 100).
-FLOORS = {"symbols": 1000, "dup_lines": 3000, "repeats": 3000, "short": 5000, "long": 1500}
+#: The least spread (parts in 10,000; for short and long: 10,000 times words a letter, and letters a word times 100).
+LEAST_SPREAD = {"symbols": 50, "dup_lines": 400, "repeats": 400, "short": 40, "long": 12}
+#: Sketch buckets to each doubling; lesser whole numbers have one each.
+SUB = 128
 MAX_BROADCAST_GROUPS = 100_000
 
 
 def measures(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The documents with the columns of ``BASE``."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = [c for c in docs.columns if c not in BASE]
-    out = docs.select(*kept, text.alias("_t")).withColumns(
+    t, w, lines, h = (K.free_name(docs.columns, c) for c in ("_t", "_w", "_l", "_h"))
+    out = docs.select(*kept, F.coalesce(docs[text_col].cast("string"), F.lit("")).alias(t)).withColumns(
         {
-            "_w": F.regexp_extract_all("_t", F.lit(f"({WORD})"), F.lit(1)),
-            "_l": F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD)),
-            "n_symbols": F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("bigint"),
+            w: F.regexp_extract_all(t, F.lit(f"({WORD})"), F.lit(1)),
+            lines: F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)),
+            "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("bigint"),
         }
     )
     out = out.select(
         *kept,
-        F.size("_w").cast("bigint").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("bigint").alias("word_chars"),
+        F.size(w).cast("bigint").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
         "n_symbols",
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("n_dup_lines"),
-        _window_hashes(F.col("_w")).alias("_h"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
+        _window_hashes(F.col(w)).alias(h),
     )
-    return out.select(*kept, *BASE[:4], F.when(F.size("_h") == F.size(F.array_distinct("_h")), F.lit(0)).otherwise(_covered("_h")).cast("bigint").alias("n_repeat_words"))
+    return out.select(*kept, *BASE[:4], F.when(F.size(h) == F.size(F.array_distinct(h)), F.lit(0)).otherwise(_covered(h)).cast("bigint").alias("n_repeat_words"))
 
 
 def _window_hashes(words: Column) -> Column:
@@ -92,17 +101,17 @@ def _shares() -> dict[str, Column]:
 
 
 def bucket(value: Column) -> Column:
-    """The sketch bucket of a whole number: 0 to 15 alone, then sixteen to each doubling, so within 1/16 of the value."""
+    """The sketch bucket of a whole number: those below SUB alone, then SUB to each doubling, so within 1/SUB of the value."""
+    low = SUB.bit_length() - 1
     power = F.length(F.bin(F.greatest(value, F.lit(1).cast("bigint")))) - 1
-    step = F.pow(F.lit(2.0), (power - 4).cast("double")).cast("bigint")
-    return F.when(value < 16, value).otherwise((power - 3) * 16 + (F.floor(value / step) - 16)).cast("int")
+    step = F.pow(F.lit(2.0), (power - low).cast("double")).cast("bigint")
+    return F.when(value < SUB, value).otherwise((power - low + 1) * SUB + (F.floor(value / step) - SUB)).cast("int")
 
 
 def upper(b: Column) -> Column:
     """The greatest whole number of a bucket."""
-    octave = F.floor(b / 16)
-    step = F.pow(F.lit(2.0), (octave - 1).cast("double"))
-    return F.when(b < 16, b).otherwise((F.pmod(b, F.lit(16)) + 17) * step - 1).cast("bigint")
+    step = F.pow(F.lit(2.0), (F.floor(b / SUB) - 1).cast("double"))
+    return F.when(b < SUB, b).otherwise((F.pmod(b, F.lit(SUB)) + SUB + 1) * step - 1).cast("bigint")
 
 
 def sketch(measured: DataFrame, groups: list[str]) -> DataFrame:
@@ -131,24 +140,32 @@ def quantiles(sketches: DataFrame, groups: list[str], qs: dict[str, float]) -> D
     return found.select(*groups, "measure", "total", *(at(q).alias(name) for name, q in qs.items()))
 
 
-def limits(measured: DataFrame, *, groups: tuple[str, str] = ("lang", "source"), least: int = 200, spread: int = 8) -> DataFrame:
-    """One row a (language, source): an upper limit for each measure, ``q90 + spread * (q90 - q50)`` and at least its floor."""
+def limits(measured: DataFrame, *, groups: tuple[str, str] = ("lang", "source"), least: int = 50, spread: int = 8, reach: int = 4) -> DataFrame:
+    """One row a (language, source): an upper limit for each measure.
+
+    ``q50 + spread * (q50 - q25)`` of the group, held between one ``reach``-th and ``reach`` times the distance of its
+    language's limit from the language's median; the language's limit where it has fewer than ``least`` texts.
+    """
     lang, source = groups
     fine = sketch(measured, [lang, source])
     middle = merge(fine, [lang])
     coarse = merge(middle, [])
-    qs = {"q50": 0.5, "q90": 0.9}
-    floors = F.create_map(*(F.lit(x) for pair in FLOORS.items() for x in pair))
+    floors = F.create_map(*(F.lit(x) for pair in LEAST_SPREAD.items() for x in pair))
 
     def rows(sketches: DataFrame, keys: list[str], level: str) -> DataFrame:
-        q = quantiles(sketches, keys, qs)
-        limit = F.greatest(F.col("q90") + spread * (F.col("q90") - F.col("q50")), F.element_at(floors, F.col("measure")).cast("bigint"))
-        return q.select(*keys, "measure", F.when(F.col("total") >= least, limit).alias(level))
-
-    a, b, c = rows(fine, [lang, source], "_a"), rows(middle, [lang], "_b").withColumnsRenamed({lang: "_lang", "measure": "_m"}), rows(coarse, [], "_c").withColumnRenamed("measure", "_n")
-    joined = a.join(b, a[lang].eqNullSafe(b["_lang"]) & (a["measure"] == b["_m"]), "left").join(c, a["measure"] == c["_n"], "left")
-    level = F.coalesce("_a", "_b", "_c", F.element_at(floors, F.col("measure")).cast("bigint"))
-    return joined.groupBy(lang, source).pivot("measure", list(MEASURES)).agg(F.first(level)).withColumnsRenamed({m: f"max_{m}" for m in MEASURES})
+        q = quantiles(sketches, keys, {"q25": 0.25, "q50": 0.5})
+        own = F.col("q50") + spread * F.greatest(F.col("q50") - F.col("q25"), F.element_at(floors, F.col("measure")).cast("bigint"))
+        return q.select(*keys, "measure", (F.col("total") >= least).alias(f"_{level}_many"), F.col("q50").alias(f"_{level}_mid"), own.alias(f"_{level}"))
+
+    a, b, c = rows(fine, [lang, source], "a"), rows(middle, [lang], "b").withColumnsRenamed({lang: "_lang", "measure": "_m"}), rows(coarse, [], "c").withColumnRenamed("measure", "_n")
+    joined = a.join(b, a[lang].eqNullSafe(b["_lang"]) & (a["measure"] == b["_m"])).join(c, a["measure"] == c["_n"])
+
+    def within(level: str, mid: str, limit: str) -> Column:
+        most, least_of = F.expr(f"{mid} + {reach} * ({limit} - {mid})"), F.expr(f"{mid} + ({limit} - {mid}) div {reach}")
+        return F.when(F.col(f"_{level}_many"), F.greatest(F.least(f"_{level}", most), least_of)).otherwise(F.col(limit))
+
+    joined = joined.withColumn("_b", within("b", "_c_mid", "_c")).withColumn("_b_mid", F.when(F.col("_b_many"), F.col("_b_mid")).otherwise(F.col("_c_mid")))
+    return joined.groupBy(lang, source).pivot("measure", list(MEASURES)).agg(F.first(within("a", "_b_mid", "_b"))).withColumnsRenamed({m: f"max_{m}" for m in MEASURES})
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, str] = ("lang", "source"), **options) -> DataFrame:

@@ -111,25 +111,26 @@ s AS (SELECT r, unnest([{{'m': 'symbols', 'v': {_share_sql("n_symbols", "word_ch
       {{'m': 'repeats', 'v': {_share_sql("n_repeat_words", "n_words")}}}, {{'m': 'short', 'v': {_share_sql("n_words", "word_chars")}}},
       {{'m': 'long', 'v': CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END}}]) AS x, lang, source FROM m),
 b AS (SELECT r, lang, source, x.m AS k, x.v AS v, length(bin(greatest(x.v, 1))) - 1 AS p FROM s),
-u AS (SELECT r, lang, source, k, v, CASE WHEN v < 16 THEN v ELSE (p - 3) * 16 + v // (1 << greatest(p - 4, 0)) - 16 END AS bk FROM b),
+u AS (SELECT r, lang, source, k, v, CASE WHEN v < 128 THEN v ELSE (p - 6) * 128 + v // (1 << greatest(p - 7, 0)) - 128 END AS bk FROM b),
 h AS (SELECT 'a' AS level, lang, source, k, bk, count(*) AS n FROM u GROUP BY ALL
       UNION ALL SELECT 'b', lang, NULL, k, bk, count(*) FROM u GROUP BY ALL
       UNION ALL SELECT 'c', NULL, NULL, k, bk, count(*) FROM u GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, k ORDER BY bk) AS upto, sum(n) OVER (PARTITION BY level, lang, source, k) AS total FROM h),
-q AS (SELECT level, lang, source, k, total, min(bk) FILTER (upto >= ceil(total * 500 / 1000.0)) AS b50, min(bk) FILTER (upto >= ceil(total * 900 / 1000.0)) AS b90 FROM c GROUP BY ALL),
-e AS (SELECT level, lang, source, k, total, CASE WHEN b50 < 16 THEN b50 ELSE (b50 % 16 + 17) * (1 << greatest(b50 // 16 - 1, 0)) - 1 END AS q50,
-      CASE WHEN b90 < 16 THEN b90 ELSE (b90 % 16 + 17) * (1 << greatest(b90 // 16 - 1, 0)) - 1 END AS q90 FROM q),
-f AS (SELECT level, lang, source, k, CASE WHEN total >= 200 THEN greatest(q90 + 8 * (q90 - q50), {"{floor}"}) END AS lim FROM e),
-g AS (SELECT a.lang, a.source, a.k, coalesce(a.lim, b.lim, c.lim, {"{floor_a}"}) AS lim
-      FROM f a LEFT JOIN f b ON b.level = 'b' AND b.lang IS NOT DISTINCT FROM a.lang AND b.k = a.k LEFT JOIN f c ON c.level = 'c' AND c.k = a.k WHERE a.level = 'a'),
+q AS (SELECT level, lang, source, k, total, min(bk) FILTER (upto >= ceil(total * 250 / 1000.0)) AS b25, min(bk) FILTER (upto >= ceil(total * 500 / 1000.0)) AS b50 FROM c GROUP BY ALL),
+e AS (SELECT level, lang, source, k, total, CASE WHEN b25 < 128 THEN b25 ELSE (b25 % 128 + 129) * (1 << greatest(b25 // 128 - 1, 0)) - 1 END AS q25,
+      CASE WHEN b50 < 128 THEN b50 ELSE (b50 % 128 + 129) * (1 << greatest(b50 // 128 - 1, 0)) - 1 END AS q50 FROM q),
+f AS (SELECT level, lang, source, k, total >= 50 AS many, q50 AS mid, q50 + 8 * greatest(q50 - q25, {{spread}}) AS lim FROM e),
+f2 AS (SELECT b.lang, b.k, CASE WHEN b.many THEN b.mid ELSE c.mid END AS mid, CASE WHEN b.many THEN greatest(least(b.lim, c.mid + 4 * (c.lim - c.mid)), c.mid + (c.lim - c.mid) // 4) ELSE c.lim END AS lim
+       FROM f b JOIN f c ON c.level = 'c' AND c.k = b.k WHERE b.level = 'b'),
+g AS (SELECT a.lang, a.source, a.k, CASE WHEN a.many THEN greatest(least(a.lim, b.mid + 4 * (b.lim - b.mid)), b.mid + (b.lim - b.mid) // 4) ELSE b.lim END AS lim
+      FROM f a JOIN f2 b ON b.lang IS NOT DISTINCT FROM a.lang AND b.k = a.k WHERE a.level = 'a'),
 v AS (SELECT u.r, bool_and(u.v <= g.lim) AS good, {", ".join(f"CAST(max(g.lim) FILTER (u.k = '{m}') AS BIGINT) AS max_{m}" for m in quality.MEASURES)}
       FROM u JOIN g ON u.lang IS NOT DISTINCT FROM g.lang AND u.source IS NOT DISTINCT FROM g.source AND u.k = g.k GROUP BY u.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND good AS kept, {", ".join(f"max_{m}" for m in quality.MEASURES)}
 FROM m JOIN v USING (r)
 """
-_FLOOR_SQL = "CASE {0} " + " ".join(f"WHEN '{m}' THEN {n}" for m, n in quality.FLOORS.items()) + " END"
-OP1_SQL = OP1_SQL.replace("{floor_a}", _FLOOR_SQL.format("a.k")).replace("{floor}", _FLOOR_SQL.format("k"))
+OP1_SQL = OP1_SQL.replace("{spread}", "CASE k " + " ".join(f"WHEN '{m}' THEN {n}" for m, n in quality.LEAST_SPREAD.items()) + " END")
 
 OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
