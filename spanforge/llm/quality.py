@@ -12,8 +12,8 @@ of them are junk, so junk does not raise the limit that is to reject it, and a g
 texts are alike has a tighter limit than one whose texts vary. Where that distance is next
 to nothing (most texts have no symbols at all) a least spread stands for it. Lest a source
 that is mostly junk set its own limit, that reaches beyond its language's median at most
-``reach`` times as far as the language's own limit does, and at least one ``reach``-th as
-far; a language's is held to the corpus's likewise. Groups of few texts take their language's limit, and languages of few
+``reach`` times as far as the language's own limit does, and at least as far as the least
+spread allows; a language's is held to the corpus's likewise. Groups of few texts take their language's limit, and languages of few
 texts the whole corpus's; the coarser sketches are sums of the finer ones.
 
 Shuffles: narrow rows only. Sketch buckets are summed map-side, so a source with a third
@@ -143,8 +143,8 @@ def quantiles(sketches: DataFrame, groups: list[str], qs: dict[str, float]) -> D
 def limits(measured: DataFrame, *, groups: tuple[str, str] = ("lang", "source"), least: int = 50, spread: int = 8, reach: int = 4) -> DataFrame:
     """One row a (language, source): an upper limit for each measure.
 
-    ``q50 + spread * (q50 - q25)`` of the group, held between one ``reach``-th and ``reach`` times the distance of its
-    language's limit from the language's median; the language's limit where it has fewer than ``least`` texts.
+    ``q50 + spread * (q50 - q25)`` of the group; at most ``reach`` times as far above its language's median as the
+    language's limit, and at least ``spread`` least spreads; the language's limit where it has fewer than ``least`` texts.
     """
     lang, source = groups
     fine = sketch(measured, [lang, source])
@@ -161,8 +161,8 @@ def limits(measured: DataFrame, *, groups: tuple[str, str] = ("lang", "source"),
     joined = a.join(b, a[lang].eqNullSafe(b["_lang"]) & (a["measure"] == b["_m"])).join(c, a["measure"] == c["_n"])
 
     def within(level: str, mid: str, limit: str) -> Column:
-        most, least_of = F.expr(f"{mid} + {reach} * ({limit} - {mid})"), F.expr(f"{mid} + ({limit} - {mid}) div {reach}")
-        return F.when(F.col(f"_{level}_many"), F.greatest(F.least(f"_{level}", most), least_of)).otherwise(F.col(limit))
+        most, fewest = F.expr(f"{mid} + {reach} * ({limit} - {mid})"), F.col(mid) + spread * F.element_at(floors, F.col("measure")).cast("bigint")
+        return F.when(F.col(f"_{level}_many"), F.greatest(F.least(f"_{level}", most), fewest)).otherwise(F.col(limit))
 
     joined = joined.withColumn("_b", within("b", "_c_mid", "_c")).withColumn("_b_mid", F.when(F.col("_b_many"), F.col("_b_mid")).otherwise(F.col("_c_mid")))
     return joined.groupBy(lang, source).pivot("measure", list(MEASURES)).agg(F.first(within("a", "_b_mid", "_b"))).withColumnsRenamed({m: f"max_{m}" for m in MEASURES})

@@ -119,10 +119,10 @@ c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, k ORDER BY bk) AS
 q AS (SELECT level, lang, source, k, total, min(bk) FILTER (upto >= ceil(total * 250 / 1000.0)) AS b25, min(bk) FILTER (upto >= ceil(total * 500 / 1000.0)) AS b50 FROM c GROUP BY ALL),
 e AS (SELECT level, lang, source, k, total, CASE WHEN b25 < 128 THEN b25 ELSE (b25 % 128 + 129) * (1 << greatest(b25 // 128 - 1, 0)) - 1 END AS q25,
       CASE WHEN b50 < 128 THEN b50 ELSE (b50 % 128 + 129) * (1 << greatest(b50 // 128 - 1, 0)) - 1 END AS q50 FROM q),
-f AS (SELECT level, lang, source, k, total >= 50 AS many, q50 AS mid, q50 + 8 * greatest(q50 - q25, {{spread}}) AS lim FROM e),
-f2 AS (SELECT b.lang, b.k, CASE WHEN b.many THEN b.mid ELSE c.mid END AS mid, CASE WHEN b.many THEN greatest(least(b.lim, c.mid + 4 * (c.lim - c.mid)), c.mid + (c.lim - c.mid) // 4) ELSE c.lim END AS lim
+f AS (SELECT level, lang, source, k, total >= 50 AS many, q50 AS mid, {{spread}} AS spread, q50 + 8 * greatest(q50 - q25, spread) AS lim FROM e),
+f2 AS (SELECT b.lang, b.k, CASE WHEN b.many THEN b.mid ELSE c.mid END AS mid, CASE WHEN b.many THEN greatest(least(b.lim, c.mid + 4 * (c.lim - c.mid)), c.mid + 8 * b.spread) ELSE c.lim END AS lim
        FROM f b JOIN f c ON c.level = 'c' AND c.k = b.k WHERE b.level = 'b'),
-g AS (SELECT a.lang, a.source, a.k, CASE WHEN a.many THEN greatest(least(a.lim, b.mid + 4 * (b.lim - b.mid)), b.mid + (b.lim - b.mid) // 4) ELSE b.lim END AS lim
+g AS (SELECT a.lang, a.source, a.k, CASE WHEN a.many THEN greatest(least(a.lim, b.mid + 4 * (b.lim - b.mid)), b.mid + 8 * a.spread) ELSE b.lim END AS lim
       FROM f a JOIN f2 b ON b.lang IS NOT DISTINCT FROM a.lang AND b.k = a.k WHERE a.level = 'a'),
 v AS (SELECT u.r, bool_and(u.v <= g.lim) AS good, {", ".join(f"CAST(max(g.lim) FILTER (u.k = '{m}') AS BIGINT) AS max_{m}" for m in quality.MEASURES)}
       FROM u JOIN g ON u.lang IS NOT DISTINCT FROM g.lang AND u.source IS NOT DISTINCT FROM g.source AND u.k = g.k GROUP BY u.r)
