@@ -13,7 +13,8 @@ reached from the file's start by successors; magic inside a payload is not. Reac
 found by pointer jumping: within blocks of a file (bounded numbers of narrow rows) by
 vectorised doubling, between blocks by doubling joins over block exits alone. A record whose
 payload holds the magic lies in several pieces, which are fetched and joined for such
-records only.
+records only. They are fetched by a digest of their bytes, which the first read took: how
+a file is split among tasks may differ from read to read.
 
 Cases: null html is an empty payload; a null ``page_id`` is kept (``null`` in the record
 id); a null url is empty and line ends in urls are escaped; rows of equal page id and
@@ -66,7 +67,7 @@ def write(pages: DataFrame, folder: str | None = None, *, id_col: str = "page_id
 
 
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """What lies between occurrences of the magic, in bytes: ``file, split, id`` (ascending within the split), ``value``."""
+    """What lies between occurrences of the magic, in bytes: ``file, split, id`` (ascending within the split, in this read alone), ``value``."""
     read = spark.read.option("lineSep", MAGIC).text(folder)
     return read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("value"))
 
@@ -77,7 +78,7 @@ def _field(name: str, pattern: str):
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Every occurrence of the magic: ``file, off, size`` (of its piece), ``succ`` (null without a right header), the
-    record's fields, and ``id`` to fetch the piece again."""
+    record's fields, and ``piece``, the digest of the whole piece."""
     head = F.when(F.instr(F.col("value").cast("string"), GAP) > 0, F.substring_index(F.col("value").cast("string"), GAP, 1))
     parsed = _pieces(spark, folder).select("file", "split", "id", F.octet_length("value").cast("bigint").alias("size"), "value", head.alias("head"))
     parsed = parsed.withColumns({"hl": F.octet_length("head").cast("bigint"), "length": F.expr(r"try_cast(nullif(regexp_extract(head, '(?i)(?:^|\r\n)Content-Length: *(\\d{1,18})(?=\r\n|$)', 1), '') as bigint)")})
@@ -90,6 +91,7 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
         "size",
         "hl",
         "length",
+        F.sha1("value").alias("piece"),
         F.when(whole, F.sha1(payload)).alias("digest"),
         _field("WARC-Type", "(\\w+)").alias("record_type"),
         _field("WARC-Record-ID", "<urn:page:(-?\\d+)>").alias("page_id"),
@@ -105,7 +107,7 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     joined = ordered.join(before, (F.col("file") == F.col("_f")) & (F.col("split") == F.col("_s")))
     # a piece follows its magic, so the magic begins one magic before the piece; the first piece of a file has none
     off = F.col("base") + F.col("inner_off") - len(MAGIC)
-    return joined.select("file", off.alias("off"), "id", "size", "hl", "length", "digest", "record_type", "page_id", "refers_to", "said_digest", "said_bytes").where("off >= 0").withColumn("succ", F.col("off") + len(MAGIC) + F.col("hl") + 4 + F.col("length") + 4)
+    return joined.select("file", off.alias("off"), "piece", "size", "hl", "length", "digest", "record_type", "page_id", "refers_to", "said_digest", "said_bytes").where("off >= 0").withColumn("succ", F.col("off") + len(MAGIC) + F.col("hl") + 4 + F.col("length") + 4)
 
 
 def _local(offs: np.ndarray, succ: np.ndarray) -> np.ndarray:
@@ -188,11 +190,12 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _joined(spark: SparkSession, folder: str, found: DataFrame, records: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Digests of the payloads that hold the magic: ``file, off, joined``. Their pieces are met by file and block."""
+    """Digests of the payloads that hold the magic: ``file, off, joined``. Their pieces are found by file and block."""
     spans = records.withColumn("block", F.explode(F.sequence(F.floor(F.col("rec") / block), F.floor((F.col("succ") - 1) / block))))
-    inside = found.select("file", "off", "id", F.floor(F.col("off") / block).alias("block")).join(spans, ["file", "block"]).where("off >= rec and off < succ").select("file", "rec", "hl", "length", "off", "id")
+    inside = found.select("file", "off", "piece", F.floor(F.col("off") / block).alias("block")).join(spans, ["file", "block"]).where("off >= rec and off < succ").select("file", "rec", "hl", "length", "off", "piece")
     inside = saved(inside, "inside")
-    pieces = _pieces(spark, folder).select("id", "value").join(inside, "id")
+    needed = _pieces(spark, folder).select(F.sha1("value").alias("piece"), "value").join(inside.select("piece").distinct(), "piece", "left_semi")
+    pieces = inside.join(needed.dropDuplicates(["piece"]), "piece")
     whole = pieces.groupBy("file", "rec", "hl", "length").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("p"))
     text = F.aggregate("p", F.lit("").cast("binary"), lambda a, x: F.concat(a, F.lit(MAGIC).cast("binary"), x["value"]))
     return whole.withColumn("t", text).select("file", F.col("rec").alias("off"), F.sha1(F.expr(f"substring(t, cast(hl + {len(MAGIC) + 5} as int), cast(length as int))")).alias("joined"))

@@ -203,6 +203,29 @@ def test_chain_over_small_splits_and_blocks(spark):
     assert got == {i: hashlib.sha1(h.encode()).hexdigest() for i, _, h in rows}
 
 
+def test_payloads_with_magic_when_splits_change(spark, monkeypatch):
+    """The pieces of a record are read again under other splits than at first."""
+    rnd = random.Random(18)
+    rows = [(i, "u", "".join(rnd.choice(["ab", MAGIC, FAKE, f"x{i}", "é"]) for _ in range(rnd.randint(0, 30)))) for i in range(60)]
+    folder = warc.write(pages(spark, rows).coalesce(1))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    joined = warc._joined
+
+    def later(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "333")
+        return joined(*args)
+
+    monkeypatch.setattr(warc, "_joined", later)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = {r.page_id: (r.payload_digest, r.verified) for r in warc.read(spark, folder).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: (hashlib.sha1(h.encode()).hexdigest(), True) for i, _, h in rows}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
