@@ -9,10 +9,17 @@ documents and on all machines, without a table and without a shuffle. ``invert``
 it for whoever holds the key.
 
 Formats: e-mail addresses, payment card numbers (13 to 19 digits with a right check
-digit), phone numbers of ten digits in North American notation (any area code), IPv4
-addresses, IBANs (mod 97), social security numbers, calendar dates (year first, or day or
-month first with a four-digit year), and secrets (access key ids, values of password,
-token, secret and key assignments). A candidate that fails its validation stays as it is.
+digit), phone numbers of ten digits in North American notation (any area code) and
+international ones (``+``, country code, 8 to 15 digits in all; the country code stays),
+IPv4 addresses, IBANs (mod 97), social security numbers, calendar dates (year first, day or
+month first with a four-digit year, or with the month's English, German, French or Spanish
+name), and secrets (access key ids, values of password, token, secret and key assignments
+that hold a digit, or both cases in 16 characters or more, which words of prose do not). A
+candidate that fails its validation stays as it is.
+
+A date is permuted among the dates whose day and month take as many digits as its own and
+whose day is as surely no month (above 12 or not). So each notation of a date, padded or
+not, whichever part is first, gives the same new date in its own layout, read back alike.
 
 A card number may have other digits beside it. In a run of digit groups, values of the
 other formats are taken first; then of what is left the longest stretches between
@@ -29,6 +36,7 @@ named like a result is replaced.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -45,7 +53,15 @@ from spanforge.llm import kernels as K
 ROUNDS = 8
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2099, 12, 31).toordinal() - FIRST_DAY + 1
-KINDS = ("email", "card", "phone", "ip", "iban", "ssn", "date", "secret")
+#: Names of the months, and the two-digit country calling codes (1 and 7 have one digit, all others three).
+MONTHS = {
+    "en": ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"),
+    "de": ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"),
+    "fr": ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+    "es": ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"),
+}
+TWO_DIGIT_CODES = (20, 27, 30, 31, 32, 33, 34, 36, 39, 40, 41, 43, 44, 45, 46, 47, 48, 49, 51, 52, 53, 54, 55, 56, 57, 58, 60, 61, 62, 63, 64, 65, 66, 81, 82, 84, 86, 90, 91, 92, 93, 94, 95, 98)
+KINDS = ("email", "card", "phone", "ip", "iban", "ssn", "date", "named", "secret")
 
 
 class Feistel:
@@ -78,6 +94,22 @@ class Feistel:
                 return x
 
 
+def _date_class(day: datetime.date) -> tuple[int, bool]:
+    """What a date's notations show of it beside its digits: whether day and month take two, and whether the day is no month."""
+    return (day.day > 9) + (day.day > 12), day.month > 9
+
+
+_same: dict[tuple[int, bool], list[int]] = {}
+
+
+def _dates_like(day: datetime.date) -> list[int]:
+    """The places of all dates of this one's class, in order."""
+    if not _same:
+        for x in range(DAYS):
+            _same.setdefault(_date_class(datetime.date.fromordinal(FIRST_DAY + x)), []).append(x)
+    return _same[_date_class(day)]
+
+
 def luhn_digit(digits: str) -> int:
     """The check digit that follows ``digits``."""
     total = 0
@@ -187,7 +219,13 @@ class Pseudonyms:
 
     def phone(self, m: re.Match) -> str | None:
         digits = re.sub(r"\D", "", m["phone"])
-        return _layout(m["phone"], f"{digits[:-10]}{self._permute(int(digits[-10:]), 10**10, 'phone'):010d}")
+        n = len(digits) - 10
+        if m["phone"].startswith("+"):
+            if not 8 <= len(digits) <= 15 or digits[0] == "0":
+                return None
+            n = 1 if digits[0] in "17" else 2 if int(digits[:2]) in TWO_DIGIT_CODES else 3
+        own = len(digits) - n
+        return _layout(m["phone"], f"{digits[:n]}{self._permute(int(digits[n:]), 10**own, 'phone'):0{own}d}")
 
     def ip(self, m: re.Match) -> str | None:
         octets = [int(o) for o in m["ip"].split(".")]
@@ -214,38 +252,54 @@ class Pseudonyms:
         a, b = divmod(x, 99)
         return f"{a + 1 + (a >= 665):03d}-{b + 1:02d}-{c + 1:04d}"
 
+    def _day(self, year: int, month: int, day: int) -> datetime.date | None:
+        """The pseudonym of a date, or nothing if there is no such date in the set."""
+        try:
+            old = datetime.date(year, month, day)
+        except ValueError:
+            return None
+        x = old.toordinal() - FIRST_DAY
+        if not 0 <= x < DAYS:
+            return None
+        like = _dates_like(old)
+        tweak = "date%d%d" % _date_class(old)
+        return datetime.date.fromordinal(FIRST_DAY + like[self._permute(bisect.bisect_left(like, x), len(like), tweak)])
+
     def date(self, m: re.Match) -> str | None:
         parts = re.split(r"[-/.]", m["date"])
         order = (0, 1, 2) if len(parts[0]) == 4 else (2, 1, 0)
         year, month, day = (int(parts[i]) for i in order)
         if month > 12 and order[0] == 2 and day <= 12:
             order, month, day = (2, 0, 1), day, month
-        try:
-            x = datetime.date(year, month, day).toordinal() - FIRST_DAY
-        except ValueError:
+        if (new := self._day(year, month, day)) is None:
             return None
-        if not 0 <= x < DAYS:
-            return None
-        # dates whose notation is read by a day above 12 keep to such days, so that the result is read alike
-        new = datetime.date.fromordinal(self._permute(x, DAYS, "date") + FIRST_DAY) if order != (2, 0, 1) else self._month_first(x)
-        values = (new.year, new.month, new.day)
         out = [""] * 3
-        for i, v in zip(order, values, strict=True):
-            out[i] = f"{v:0{len(parts[i])}d}" if len(parts[i]) > 1 else str(v)
+        for i, v in zip(order, (new.year, new.month, new.day), strict=True):
+            out[i] = f"{v:0{len(parts[i])}d}"
         seps = re.findall(r"[-/.]", m["date"])
         return out[0] + seps[0] + out[1] + seps[1] + out[2]
 
-    def _month_first(self, x: int) -> datetime.date:
-        while True:
-            x = self._permute(x, DAYS, "date")
-            new = datetime.date.fromordinal(x + FIRST_DAY)
-            if new.day > 12:
-                return new
+    def named(self, m: re.Match) -> str | None:
+        text = m["named"]
+        languages = {"english": "en", "american": "en", "german": "de", "french": "fr", "spanish": "es"}
+        language = next(k for k in languages if m[k])
+        months, name = MONTHS[languages[language]], m[language]
+        day, year = re.finditer(r"\d+", text)
+        if (new := self._day(int(year[0]), months.index(name) + 1, int(day[0]))) is None:
+            return None
+        new_day = f"{new.day:0{len(day[0])}d}"
+        at = text.index(name)
+        edits = sorted([(day.start(), day.end(), new_day), (year.start(), year.end(), str(new.year)), (at, at + len(name), months[new.month - 1])], reverse=True)
+        for begin, end, value in edits:
+            text = text[:begin] + value + text[end:]
+        return text
 
     def secret(self, m: re.Match) -> str | None:
         key, value = m["key"], m["value"]
         if key:
             return key[:4] + self._string(key[4:], "secret")
+        if not (any(map(str.isdigit, value)) or len(value) >= 16 and value.lower() != value != value.upper()):
+            return None
         return m["assigned"] + self._string(value, "secret")
 
     def replace(self, text: str, counts: dict[str, int] | None = None) -> str:
@@ -274,7 +328,7 @@ class Pseudonyms:
         """Begin, end, kind and pseudonym of the value matched, or nothing where it fails its validation."""
         kind = m.lastgroup if m.lastgroup in KINDS else "secret"
         new = self._known(kind, m[0], lambda: getattr(self, kind)(m))
-        return [] if new is None else [(*m.span(), kind, new)]
+        return [] if new is None else [(*m.span(), "date" if kind == "named" else kind, new)]
 
     def _run(self, line: str, m: re.Match) -> list[tuple[int, int, str, str]]:
         """The same for all values in a run of digits: those of other formats, which may end beyond it, and the cards between them."""
@@ -297,10 +351,12 @@ CARD, LONGEST, REACH = re.compile(DIGITS % "18"), 37, 1000
 VALUES = (
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<phone>(?<![\w.+-])(?:(?:\+1|1)[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]))"
+    r"|(?P<phone>(?<![\w.+-])(?:(?:(?:\+1|1)[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+(?:\d{8,15}|\d{1,4}(?:[ .-](?:\(\d{1,5}\)[ .-]?)?\d{1,8}){1,6}))(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<date>(?<![\w./-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?![\w]|[-/.]\d))"
+    rf"|(?P<named>(?<![\w./-])(?:\d{{1,2}} (?P<english>{'|'.join(MONTHS['en'])}) \d{{4}}|\d{{1,2}}\. (?P<german>{'|'.join(MONTHS['de'])}) \d{{4}}"
+    rf"|\d{{1,2}} (?P<french>{'|'.join(MONTHS['fr'])}) \d{{4}}|\d{{1,2}} de (?P<spanish>{'|'.join(MONTHS['es'])}) de \d{{4}}|(?P<american>{'|'.join(MONTHS['en'])}) \d{{1,2}}, \d{{4}})(?!\w))"
     r"|(?P<secret>(?<!\w)(?P<key>(?:AKIA|ASIA)[A-Z0-9]{16})(?!\w)|(?P<assigned>(?i:password|passwd|pwd|secret|token|api_?key)[\"']?\s?[=:]\s?[\"']?)(?P<value>[A-Za-z0-9_\-./+]{6,128}))"
 )
 PATTERN, OTHERS = re.compile(VALUES + f"|(?P<card>{DIGITS % ''})"), re.compile(VALUES)

@@ -1,5 +1,6 @@
 """Quality rules, personal data, toxicity, decontamination and chats against brute force and edge cases."""
 
+import datetime
 import hashlib
 import random
 import re
@@ -184,6 +185,85 @@ def test_pseudonymize(spark):
     assert pii.pseudonymize(docs(spark, []), key="k").count() == 0
 
 
+def notations(day):
+    """A date as it may be written."""
+    y, m, d = day.year, day.month, day.day
+    out = [f"{y}-{m:02d}-{d:02d}", f"{y}/{m}/{d}", f"{d:02d}.{m:02d}.{y}", f"{d}/{m}/{y}"]
+    out += [f"{d} {pii.MONTHS['en'][m - 1]} {y}", f"{pii.MONTHS['en'][m - 1]} {d}, {y}", f"{d}. {pii.MONTHS['de'][m - 1]} {y}", f"{d} {pii.MONTHS['fr'][m - 1]} {y}", f"{d:02d} de {pii.MONTHS['es'][m - 1]} de {y}"]
+    return out + ([f"{m:02d}/{d:02d}/{y}", f"{m}/{d}/{y}"] if d > 12 else [])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dates(datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)))
+def test_dates_are_linked_over_notations(day):
+    work, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True)
+    new = datetime.date.fromisoformat(work.replace(day.isoformat()))
+    assert [work.replace(x) for x in notations(day)] == notations(new), "valid, in its layout, equal in all"
+    assert [back.replace(x) for x in notations(new)] == notations(day)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from(["1", "7", "39", "49", "44", "352", "971"]), st.integers(7, 11), st.data())
+def test_phones_keep_code_layout_and_link(code, n, data):
+    own = data.draw(st.text("0123456789", min_size=n, max_size=n))
+    forms = [f"+{code}{own}", f"+{code} {own[:2]} {own[2:5]} {own[5:]}", f"+{code} ({own[:2]}) {own[2:5]}-{own[5:]}"]
+    work, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True)
+    new = [work.replace(f"tel {x} end") for x in forms]
+    assert [re.sub(r"\d", "0", x) for x in new] == [re.sub(r"\d", "0", f"tel {x} end") for x in forms]
+    assert len({re.sub(r"\D", "", x) for x in new}) == 1 and all(x.startswith(f"tel +{code}") for x in new)
+    assert [back.replace(x) for x in new] == [f"tel {x} end" for x in forms]
+
+
+def test_prose_is_left(spark):
+    for text in ("token: something here", "the secret: nothing", "password = forgotten again", "+12 3 and 1+1", "May 2020", "32 May 1990", "+" + "1" * 5000 + "x"):
+        assert pii.Pseudonyms(b"k").replace(text) == text
+
+
+def test_table_by_brute_force(spark):
+    """Texts built of prose and values: prose stays, every value turns into the value of its own, the same everywhere."""
+    rnd, word = random.Random(21), lambda: "".join(rnd.choice("abcdefg") for _ in range(4))
+
+    def card():
+        body = "".join(rnd.choice("0123456789") for _ in range(15))
+        return body + str(-sum(sum(divmod(2 * int(x), 10)) if i % 2 == 0 else int(x) for i, x in enumerate(reversed(body))) % 10)
+
+    make = [
+        lambda: f"{word()}{rnd.randrange(100)}@{word()}.example.com",
+        card,
+        lambda: f"({rnd.randrange(1000):03d}) {rnd.randrange(1000):03d}-{rnd.randrange(10000):04d}",
+        lambda: ".".join(str(rnd.randrange(256)) for _ in range(4)),
+        lambda: f"{rnd.randrange(1, 600):03d}-{rnd.randrange(1, 100):02d}-{rnd.randrange(1, 10000):04d}",
+        lambda: f"{rnd.randrange(1900, 2100)}-{rnd.randrange(1, 13):02d}-{rnd.randrange(1, 29):02d}",
+    ]
+    values = [f() for f in make for _ in range(6)]
+    texts = []
+    for _ in range(200):
+        parts = []
+        for _ in range(rnd.randint(0, 6)):
+            parts += [word(), rnd.choice(values) if rnd.random() < 0.5 else word(), word()]
+        texts.append(parts)
+    rows = [(i, " ".join(p)) for i, p in enumerate(texts)]
+    found = {r.doc_id: r for r in pii.pseudonymize(docs(spark, rows), key="k").collect()}
+    seen = {}
+    for i, parts in enumerate(texts):
+        new = found[i].text.split(" ") if parts else []
+        old = " ".join(parts).split(" ") if parts else []
+        assert len(new) == len(old) and found[i].n_values == sum(p in values for p in parts)
+        joined, at = [], 0
+        for p in parts:
+            n = len(p.split(" "))
+            joined.append(" ".join(new[at : at + n]))
+            at += n
+        for p, q in zip(parts, joined, strict=True):
+            if p not in values:
+                assert p == q
+            else:
+                assert seen.setdefault(p, q) == q and re.sub(r"\d+" if p.count(".") == 3 else r"\d", "0", re.sub("[a-z]", "a", p)) == re.sub(r"\d+" if p.count(".") == 3 else r"\d", "0", re.sub("[a-z]", "a", q))
+    assert len(set(seen.values())) == len(seen)
+    back = {r.doc_id: r.text for r in pii.pseudonymize(docs(spark, [(i, r.text) for i, r in found.items()]), key="k", back=True).collect()}
+    assert back == {i: t for i, t in rows}
+
+
 def test_toxicity_learns_a_pair(spark):
     rnd = random.Random(4)
     fill = ["the", "house", "tree", "walks", "green", "river", "talks", "under"]
