@@ -6,9 +6,10 @@ front; a task hashes all word windows of its documents in vectorised steps, look
 up, and compares the words of every hit with the item's, so a hash collision is no hit.
 A word inside any occurrence of a window is hit.
 
-The table is broadcast only up to ``max_bytes`` of benchmark text; a larger benchmark is
-dealt into groups of at most that size by whole items, and documents are scanned once a
-group, with hits carried along.
+The table (sorted hashes, and places in one buffer of the items' words) is broadcast only
+up to ``max_bytes``, reckoned by the most that the texts could take; a larger benchmark is
+dealt into groups of that size by whole items, and documents are scanned once a group, with
+hits carried along.
 
 Cases: a null text has no words; a benchmark item without words occurs nowhere; equal
 items all count; repeated rows are scanned once each; an empty table gives no rows, an
@@ -32,13 +33,14 @@ RESULT = {"n_words": "bigint", "n_hit": "bigint", "items": "array<string>", "spa
 
 
 class Grams:
-    """The windows of benchmark items: hash -> words -> item ids, for each window length."""
+    """The windows of benchmark items as sorted arrays: for each window length the hashes, and each one's item and byte
+    range in one buffer of all items' words. A window takes 28 bytes beside its words."""
 
     def __init__(self, items: list[tuple[object, str | None]], n: int = 10):
-        self.n = n
-        self.of: dict[int, dict[int, dict[bytes, list[str]]]] = {}
+        self.n, self.names, texts, at = n, [], [], 0
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for name, text in items:
-            buf, offsets = K.layout(pa.array([text or ""]))
+            buf, offsets = K.layout(pa.array([text or ""], pa.large_string()))
             buf = K.LOWER[buf]
             starts, ends, first = K.words(buf, offsets, K.ALNUM)
             if not len(starts):
@@ -46,16 +48,34 @@ class Grams:
             k = min(n, len(starts))
             hashes, _ = K.hash_windows(K.hash_ranges(buf, starts, ends), first, k)
             raw = buf.tobytes()
-            tokens = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            table = self.of.setdefault(k, {})
-            for i, h in enumerate(hashes.tolist()):
-                table.setdefault(h, {}).setdefault(b" ".join(tokens[i : i + k]), []).append(str(name))
-        self.sorted = {k: np.array(sorted(t), np.uint64) for k, t in self.of.items()}
-        self.shift = {k: np.uint64(64 - max(12, (8 * len(t)).bit_length())) for k, t in self.of.items()}
+            texts.append(b" ".join([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]))
+            end = at + np.cumsum(ends - starts) + np.arange(len(starts))
+            begin = end - (ends - starts)
+            found.setdefault(k, []).append((hashes, np.full(len(hashes), len(self.names), np.int32), begin[: len(hashes)], end[k - 1 :]))
+            self.names.append(str(name))
+            at += len(texts[-1])
+        self.text = b"".join(texts)
+        self.of = {}
+        for k, parts in found.items():
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            self.of[k] = [c[order] for c in columns]
+        self.shift = {k: np.uint64(64 - min(28, max(12, (8 * len(t[0])).bit_length()))) for k, t in self.of.items()}
         self.map = {}
-        for k, t in self.sorted.items():
+        for k, t in self.of.items():
             self.map[k] = np.zeros(1 << int(64 - self.shift[k]), bool)
-            self.map[k][(t >> self.shift[k]).astype(np.int64)] = True
+            self.map[k][(t[0] >> self.shift[k]).astype(np.int64)] = True
+
+    @property
+    def nbytes(self) -> int:
+        """What is broadcast."""
+        return len(self.text) + sum(c.nbytes for t in self.of.values() for c in t) + sum(m.nbytes for m in self.map.values()) + 64 * len(self.names)
+
+    def _items(self, k: int, h: int, key: bytes) -> frozenset[str]:
+        """The items that hold this very window."""
+        hashes, item, begin, end = self.of[k]
+        a, b = np.searchsorted(hashes, np.uint64(h), "left"), np.searchsorted(hashes, np.uint64(h), "right")
+        return frozenset(self.names[i] for i, x, y in zip(item[a:b].tolist(), begin[a:b].tolist(), end[a:b].tolist(), strict=True) if self.text[x:y] == key)
 
     def block(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray, set[str]]], tuple]:
         """Words of each document, and (document, hit marks by word, items) of those with hits; and the words' places."""
@@ -64,47 +84,54 @@ class Grams:
         counts, found = np.diff(first), {}
         if len(starts) and self.of:
             h, raw = K.hash_ranges(buf, starts, ends), None
-            for k, table in self.sorted.items():
+            for k, (table, *_) in self.of.items():
                 w, before = K.hash_windows(h, first, k)
                 maybe = np.flatnonzero(self.map[k][(w >> self.shift[k]).astype(np.int64)])
                 at = np.searchsorted(table, w[maybe])
                 maybe = maybe[table[np.minimum(at, len(table) - 1)] == w[maybe]]
                 if not len(maybe):
                     continue
-                raw = raw or buf.tobytes()
+                raw, known = raw or buf.tobytes(), {}
                 docs = np.searchsorted(before, maybe, "right") - 1
                 for g, d in zip(maybe.tolist(), docs.tolist(), strict=True):
                     at = int(first[d] + g - before[d])
                     if counts[d] < k:
                         continue
                     key = b" ".join([raw[a:b] for a, b in zip(starts[at : at + k].tolist(), ends[at : at + k].tolist(), strict=True)])
-                    names = self.of[k][int(w[g])].get(key)
-                    if names:
+                    if key not in known:
+                        known[key] = self._items(k, int(w[g]), key)
+                    if names := known[key]:
                         marks, items = found.setdefault(d, (np.zeros(counts[d] + 1, np.int32), set()))
                         marks[at - first[d]] += 1
                         marks[at - first[d] + k] -= 1
-                        items.update(names)
+                        items |= names
         return counts, [(d, np.cumsum(m)[:-1] > 0, i) for d, (m, i) in sorted(found.items())], (starts, ends, first)
 
 
+#: At most so many bytes of a table for each byte of items: a word of one letter and its space give 28 bytes and two of the
+#: buffer, and the bit map 16 bytes at most for each window.
+TABLE_BYTES = 23
+
+
 def _groups(benchmark: DataFrame, item_col: str, text_col: str, max_bytes: int) -> Iterator[list[tuple[object, str | None]]]:
-    """The items in groups of at most ``max_bytes`` of text each (or of one item), read one group at a time."""
-    rows = benchmark.select(benchmark[item_col].cast("string").alias("i"), benchmark[text_col].alias("t"))
-    total = rows.agg(F.sum(F.octet_length("t") + 64).alias("n")).first()["n"] or 0
+    """The items in groups whose tables take about ``max_bytes`` at most (or of one item), read one group at a time."""
+    rows = benchmark.select(benchmark[item_col].cast("string").alias("i"), benchmark[text_col].cast("string").alias("t"))
+    total = rows.agg(F.sum(TABLE_BYTES * F.octet_length("t") + 64).alias("n")).first()["n"] or 0
     n = -(-total // max_bytes) or 1
     for g in range(n):
         yield [tuple(x) for x in (rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == g)).collect()]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, max_bytes: int = 32 << 20, with_spans: bool = True, keep: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, max_bytes: int = 128 << 20, with_spans: bool = True, keep: list[str] | None = None) -> DataFrame:
     """The documents (all columns, or those in ``keep``) with ``n_words``, ``n_hit``, ``items`` (those with an occurring
     window, sorted) and ``spans`` (byte ranges of the hit words in the UTF-8 text; empty unless ``with_spans``)."""
     spark = docs.sparkSession
     K.set_batches(spark)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULT]
-    out = docs.select(*keep, *([] if text_col in keep else [text_col]), F.lit(0).cast("bigint").alias("n_words"), F.lit(None).cast("binary").alias("_marks"), F.array().cast("array<string>").alias("items"))
+    marked_col = K.free_name([*keep, text_col, *RESULT], "_marks")
+    out = docs.select(*keep, *([] if text_col in keep else [text_col]), F.lit(0).cast("bigint").alias("n_words"), F.lit(None).cast("binary").alias(marked_col), F.array().cast("array<string>").alias("items"))
     columns = out.columns
-    schema = T.StructType([*out.schema.fields[:-3], T.StructField("n_words", T.LongType()), T.StructField("_marks", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))])
+    schema = T.StructType([*out.schema.fields[:-3], T.StructField("n_words", T.LongType()), T.StructField(marked_col, T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))])
     place = columns.index(text_col)
 
     def marked(broadcast):
@@ -153,7 +180,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
         out = out.mapInArrow(located, T.StructType([*schema.fields, T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())])))]))
     else:
         out = out.withColumn("spans", F.array().cast(RESULT["spans"]))
-    return out.withColumn("n_hit", F.coalesce(_ones("_marks"), F.lit(0)).cast("bigint")).select(*keep, *RESULT)
+    return out.withColumn("n_hit", F.coalesce(_ones(marked_col), F.lit(0)).cast("bigint")).select(*keep, *RESULT)
 
 
 def _ones(column: str):

@@ -106,7 +106,7 @@ def count(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", se
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            n_tokens, n_crossing, out = [], [], []
+            n_tokens, n_crossing, edge, parts, named = [], [], [0], [], []
             for r, ids, step in enc.texts(batch.column(1), True):
                 if sections_col:
                     some = sorted(batch.column(2)[r].as_py() or [], key=lambda s: (s["begin"], s["end"]))
@@ -116,14 +116,21 @@ def count(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", se
                         raise ValueError("sections overlap or end before they begin")
                 else:
                     begins, ends = lines(batch.column(1)[r].as_py() or "")
-                    names = map(str, range(len(begins)))
+                    names = list(map(str, range(len(begins))))
                 counts, none, crossing = attribute(step, begins, ends, rule)
                 n_tokens.append(len(ids))
                 n_crossing.append(crossing)
-                rows = [{"section": s, "begin": b, "end": e, "n_tokens": c} for s, b, e, c in zip(names, begins.tolist(), ends.tolist(), counts.tolist(), strict=True)]
-                out.append(rows + [{"section": None, "begin": None, "end": None, "n_tokens": none}] * bool(none))
-            kind = pa.list_(pa.struct([("section", pa.string()), ("begin", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(n_crossing, pa.int64()), pa.array(out, kind)], ["doc_id", "n_tokens", "n_crossing", "sections"])
+                parts.append((begins, ends, counts))
+                named += names
+                if none:
+                    parts.append((np.array([-1]), np.array([-1]), np.array([none])))
+                    named.append(None)
+                edge.append(len(named))
+            begins, ends, counts = (np.concatenate(c).astype(np.int64) for c in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 3
+            outside = begins < 0
+            fields = [pa.array(named, pa.string()), pa.array(begins, mask=outside), pa.array(ends, mask=outside), pa.array(counts)]
+            held = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays(fields, ["section", "begin", "end", "n_tokens"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(n_crossing, pa.int64()), held], ["doc_id", "n_tokens", "n_crossing", "sections"])
 
     section = T.StructType([T.StructField("section", T.StringType())] + [T.StructField(c, T.LongType()) for c in ("begin", "end", "n_tokens")])
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_crossing", T.LongType()), T.StructField("sections", T.ArrayType(section))])

@@ -20,8 +20,9 @@ attempt and returns it; what the job's committed manifest does not name is never
 so lost executors and repeated or speculative tasks leave the result whole.
 
 Cases: a null or empty text has the end id alone; repeated rows appear once each; a
-null ``doc_id`` sorts first and stays null; an empty table writes no ids; other columns
-are not read.
+null ``doc_id`` sorts first and stays null; an id that is no whole number is an error, as
+the format holds 64-bit ids, and so is a token id beyond the vocabulary; an empty table
+writes no ids; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,11 +33,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm import kernels as K
-from spanforge.llm.tokenize import END_ID, default_path, encoder
+from spanforge.llm.tokenize import END_ID, default_path, encoder, vocabulary_of
 
 MAGIC = b"FWTOKENS"
 FOOTER = np.dtype([("docs", "<u8"), ("ids", "<u8"), ("bits", "<u4"), ("block_ids", "<u4"), ("index", "<u8"), ("magic", "S8")])
@@ -51,6 +53,8 @@ def bits_for(vocabulary: int) -> int:
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
     """Ids, padded with zeros to a multiple of 64, as packed 64-bit words."""
     n = -(-len(ids) // 64)
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} takes more than {bits} bits")
     rows = np.zeros((n, 64), np.uint64)
     rows.reshape(-1)[: len(ids)] = ids
     out = np.zeros((n, bits + 1), np.uint64)
@@ -149,11 +153,17 @@ class Reader:
             i = j
 
 
-def write(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, vocabulary: int = 50257, folder: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Write all ids and return the manifest: ``part, path, docs, ids`` of each file, in ascending doc_id order by part."""
+def write(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, vocabulary: int | None = None, folder: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """Write all ids and return the manifest: ``part, path, docs, ids`` of each file, in ascending doc_id order by part.
+
+    ``vocabulary`` is the number of ids, by default the tokenizer's.
+    """
     spark = docs.sparkSession
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col} must be a whole number")
     K.set_batches(spark)
-    path, bits, folder = tokenizer or default_path(), bits_for(vocabulary), folder or K.fresh(spark, "tokens")
+    path, folder = tokenizer or default_path(), folder or K.fresh(spark, "tokens")
+    bits = bits_for(vocabulary or vocabulary_of(path))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     # the shuffle's partitions are numbered in doc_id order
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
@@ -174,7 +184,14 @@ def write(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", to
             out.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{folder}/{name}"], "docs": [len(out.names)], "ids": [out.total]})
 
-    return K.saved(rows.mapInArrow(run, "part int, path string, docs long, ids long"), "manifest")
+    manifest = K.saved(rows.mapInArrow(run, "part int, path string, docs long, ids long"), "manifest")
+    # what a lost or repeated attempt has left goes
+    fs, base = K.filesystem(folder)
+    named = {r["path"].rsplit("/", 1)[1] for r in manifest.select("path").toLocalIterator()}
+    for info in fs.get_file_info(pa.fs.FileSelector(base, allow_not_found=True)):
+        if info.base_name.endswith(".fwt") and info.base_name not in named:
+            fs.delete_file(info.path)
+    return manifest
 
 
 def read(manifest: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 The tokenizer's pre-tokenizer never lets a piece run from a non-space character into a
 following space, so a text may be cut before every space that follows a non-space
-character, and the ids of the parts joined are the ids of the whole. Each distinct part
+character, and the ids of the parts joined are the ids of the whole. A special token in a
+text is one id, as the library gives it: none holds a space after another character, so no
+cut splits one, and a part with one is encoded like any other. Each distinct part
 is encoded once by the tokenizers library and kept in a direct-mapped cache of fixed
 size; a repeated part then costs a vectorised lookup. Parts longer than ``LONG`` bytes
 are encoded directly. A test holds the result against plain encoding of whole texts.
@@ -41,6 +43,13 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def vocabulary_of(path: str) -> int:
+    """The number of ids of a tokenizer file, special ones included: one more than the greatest."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0) + 1
+
+
 def _begun(spans: list[tuple[int, int]]) -> np.ndarray:
     """Characters counted at each token: those whose last byte it holds. They sum to the text's length."""
     n = len(spans)

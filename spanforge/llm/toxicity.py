@@ -14,7 +14,8 @@ Training takes labelled rows up to ``max_rows`` a class (a documented bound, tho
 least hash; weights restore the class shares), counts each bucket's documents by class
 on the executors, keeps the ``max_terms`` buckets most associated with the label, and
 fits by stochastic gradient descent on the driver over those buckets alone: at most
-``2 * max_rows`` short rows. Text is read in place: the bounded label sample is
+``2 * max_rows`` short rows. A bucket below the bounds (``least`` documents, a deviation of 4,
+the ``max_terms`` strongest) has no weight of its own: rare words tell nothing either way. Text is read in place: the bounded label sample is
 broadcast, texts are never shuffled. Scoring is one pass over all texts.
 
 Cases: a null or empty text has no terms and gets the score of the intercept; labels
@@ -190,7 +191,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[s
     K.set_batches(spark)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     shared = spark.sparkContext.broadcast(model)
-    inner = docs.select(F.col(text_col).alias("_text"), *keep)
+    inner = docs.select(docs[text_col].cast("string").alias(K.free_name(keep, "_text")), *keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -331,6 +332,66 @@ def test_scan_by_brute_force(spark, limit):
     assert all(r.n_hit == 0 for r in decontaminate.scan(docs(spark, rows), bench.limit(0)).collect())
 
 
+def test_table_of_windows_is_bounded():
+    rnd = random.Random(7)
+    for make in (lambda: rnd.choice("ab"), lambda: "".join(rnd.choice("abcdef") for _ in range(7))):
+        items = [(i, " ".join(make() for _ in range(rnd.randint(1, 400)))) for i in range(200)]
+        grams = decontaminate.Grams(items)
+        assert grams.nbytes <= sum(decontaminate.TABLE_BYTES * len(t) + 64 for _, t in items) + 10 * 4096
+
+
+def test_columns_of_any_name_pass(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    d = docs(spark, [(1, "a b c d e f g h i j"), (2, None)]).selectExpr("*", "1 as _marks", "2 as _text", "3 as _MARKS2", "4 as predicted", "5 as n_values")
+    assert sorted(r._marks for r in decontaminate.scan(d, bench).collect()) == [1, 1]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert sorted(r._text for r in toxicity.score(d, toxicity.fit(d, labels)).collect()) == [2, 2]
+    assert pii.pseudonymize(d, key="k").count() == 2
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.integers(0, 2**31), st.integers(1, 6), st.integers(1, 3))
+def test_scores_are_the_double_sum(seed, n, factors):
+    rng = np.random.default_rng(seed)
+    m = 8
+    model = toxicity.Model(np.sort(rng.choice(1 << toxicity.BUCKET_BITS, m, replace=False)), rng.normal(), rng.normal(0, 1, m), rng.normal(0, 1, (m, factors)))
+    present = rng.random((n, m)) < 0.5
+    rows, at = np.nonzero(present)
+    found = model.score(rows, at, n)
+    for r in range(n):
+        i = np.flatnonzero(present[r])
+        z = model.w0 + sum(model.w[a] for a in i) + sum(model.v[a] @ model.v[b] for k, a in enumerate(i) for b in i[k + 1 :])
+        assert abs(found[r] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_training_lowers_the_loss_as_the_gradient_says():
+    """One step of full-batch training against finite differences of the loss written out as a double sum."""
+    rng = np.random.default_rng(3)
+    n, m, factors = 12, 5, 2
+    present = rng.random((n, m)) < 0.6
+    rows, at = np.nonzero(present)
+    y, weights = (rng.random(n) < 0.5).astype(float), np.ones(n)
+
+    def loss(w0, w, v):
+        total = 0.0
+        for r in range(n):
+            i = np.flatnonzero(present[r])
+            z = w0 + sum(w[a] for a in i) + sum(v[a] @ v[b] for k, a in enumerate(i) for b in i[k + 1 :])
+            total += np.log1p(np.exp(z)) - y[r] * z
+        return total
+
+    start = toxicity.train(rows, at, y, weights, np.arange(m), factors=factors, epochs=0)
+    after = toxicity.train(rows, at, y, weights, np.arange(m), factors=factors, epochs=1, rate=1e-3, decay=0.0)
+    for k in range(m):  # the first Adagrad step has the sign of the gradient
+        for f in range(factors):
+            v = start.v.copy()
+            v[k, f] += 1e-6
+            slope = (loss(start.w0, start.w, v) - loss(start.w0, start.w, start.v)) / 1e-6
+            if abs(slope) > 1e-3:
+                assert np.sign(after.v[k, f] - start.v[k, f]) == -np.sign(slope)
+    assert loss(after.w0, after.w, after.v) < loss(start.w0, start.w, start.v)
+
+
 def test_removal(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
     rows = [(1, "é keep A b c d e f g h i J. tail"), (2, "clean"), (3, None)]

@@ -161,6 +161,31 @@ def test_packing_does_not_depend_on_the_split(spark):
     assert n <= 1.05 * -(-sum(len(plain(t)) for _, t in rows) // 2048)
 
 
+def test_packing_of_64_partitions_and_other_ids(spark):
+    rnd = random.Random(16)
+    rows = [(f"d{i}", "word " * int(rnd.lognormvariate(5, 1))) for i in range(1500)]
+    table = spark.createDataFrame(rows, "doc_id string, text string").repartition(64)
+    found = packing.pack(table)
+    got = found.collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, found.collect())), "the same in each evaluation"
+    assert check_packing(rows, got) <= 1.02 * -(-sum(len(plain(t)) for _, t in rows) // 2048) + 1
+
+
+def test_ids_out_of_range_are_errors(spark):
+    with pytest.raises(ValueError):
+        token_output.pack_bits(np.array([70000], np.uint32), 16)
+    with pytest.raises(ValueError):
+        token_output.write(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    assert token_output.vocabulary_of(default_path()) == 50257
+
+
+def test_files_of_lost_attempts_go(spark, tmp_path):
+    (tmp_path / "part-000000-lost.fwt").write_bytes(b"x")
+    manifest = token_output.write(docs(spark, [(1, "a b"), (2, None)]), folder=str(tmp_path))
+    assert {p.name for p in tmp_path.iterdir() if p.name.endswith(".fwt")} == {r.path.rsplit("/", 1)[1] for r in manifest.collect()}
+    assert token_output.read(manifest).count() == 2
+
+
 def test_packing_in_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(packing, "TASK_TOKENS", 20_000)
     rows = [(i, "word " * (i * 37 % 900)) for i in range(200)]
@@ -182,10 +207,16 @@ def test_attribution_by_brute_force(rule):
         ((_, _, step),) = e.texts(pa.array([text]), True)
         counts, none, crossing = token_counts.attribute(step, np.array([a for a, _ in sections], np.int64), np.array([b for _, b in sections], np.int64), rule)
         assert counts.sum() + none == len(spans)
-        if rule == "first":
-            want = [sum(any(a <= s < b for s in [x]) for x, _ in spans) for a, b in sections]
-            assert counts.tolist() == want
-        assert 0 <= crossing <= len(spans)
+        want, crossed, at = [0] * (len(sections) + 1), 0, 0
+        for n in step.tolist():  # a token's characters one by one; one that completes none counts at the next character
+            held = [next((k for k, (a, b) in enumerate(sections) if a <= c < b), len(sections)) for c in range(at, at + max(n, 1))]
+            at += n
+            crossed += held[0] != held[-1]
+            shares = [held.count(k) for k in range(len(sections) + 1)]
+            inside = shares[:-1]
+            most = held[0] if held[0] == held[-1] or not inside else (inside.index(max(inside)) if max(inside) >= shares[-1] else len(sections))
+            want[{"first": held[0], "last": held[-1], "most": most}[rule]] += 1
+        assert (counts.tolist() + [none], crossing) == (want, crossed)
 
 
 def test_most_goes_to_the_larger_share_and_the_earlier():
