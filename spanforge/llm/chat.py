@@ -11,8 +11,8 @@ loss mask. What is stored is linear in the conversation: an example is a prefix
 stored string, cut when it is read, so a conversation of many turns is not written once a
 turn.
 
-Turns are gathered by conversation, the unit of the output; nothing is gathered across
-conversations. Turns of the same number keep a fixed order (by role, then text).
+Turns are numbered and placed by one window and gathered by the same key, the conversation,
+which is the unit of the output; nothing is gathered across conversations. Turns of the same number keep a fixed order (by role, then text).
 
 Cases: a null or empty text or role is empty; a null ``turn`` comes first; a null
 ``conv_id`` is a conversation like others; repeated rows are repeated turns; a
@@ -22,7 +22,7 @@ other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -47,19 +47,19 @@ def format_chats(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "
     text, role = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(role_col).cast("string"), F.lit(""))
     head = F.concat(F.lit(START), F.replace(escape(role), F.lit("\n"), F.lit("\\-")), F.lit("\n"))
     rows = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("raw"), head.alias("head"), escape(text).alias("text"))
-    order = F.struct("turn", "role", "raw", "head", "text")
-    held = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda t: F.struct((t["role"] == target_role).alias("target"), t["head"].alias("head"), t["text"].alias("text"))).alias("turns"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<turn:int,begin:int,length:int>>").alias("replies"), F.lit(0).alias("turn"))
+    rows = rows.withColumn("size", F.char_length("head") + F.char_length("text") + len(END))
+    turn = Window.partitionBy("conv_id").orderBy("turn", "role", "raw")
+    before = F.sum("size").over(turn.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.select("conv_id", (F.row_number().over(turn) - 1).alias("k"), F.coalesce(before, F.lit(0)).cast("int").alias("at"), (F.col("role") == target_role).alias("target"), "head", "text")
+    held = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "at", "target", "head", "text"))).alias("turns"))
 
-    def step(acc: Column, t: Column) -> Column:
-        begin = acc["at"] + F.char_length(t["head"])
-        reply = F.array(F.struct(acc["turn"].alias("turn"), begin.alias("begin"), F.char_length(t["text"]).alias("length")))
-        return F.struct((begin + F.char_length(t["text"]) + len(END)).alias("at"), F.when(t["target"], F.concat(acc["replies"], reply)).otherwise(acc["replies"]).alias("replies"), (acc["turn"] + 1).alias("turn"))
+    def reply(t: Column) -> Column:
+        return F.struct(t["k"].alias("turn"), (t["at"] + F.char_length(t["head"])).alias("begin"), F.char_length(t["text"]).alias("length"))
 
     return held.select(
         "conv_id",
         F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["text"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("turns", zero, step, lambda acc: acc["replies"]).alias("replies"),
+        F.transform(F.filter("turns", lambda t: t["target"]), reply).alias("replies"),
     )
 
 

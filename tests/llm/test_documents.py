@@ -425,6 +425,17 @@ def test_examples_are_prefix_and_target(spark):
     assert found[1].context.endswith("q2<|im_end|>\n<|im_start|>assistant\n") and "r1" in found[1].context and "q3" not in found[1].context
 
 
+def test_long_conversations_and_clashing_names(spark):
+    turns = [(1, i, "assistant" if i % 2 else "user", f"t{i} <|x", "a", "b") for i in range(3000)] + [(2, 0, "assistant", "one", "a", "b")]
+    d = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string, turns string, replies string").selectExpr("*", "1 as size", "2 as k", "3 as raw", "4 as formatted")
+    out = chat.format_chats(d)
+    (one,) = out.where("conv_id = 1").collect()
+    assert [r.turn for r in one.replies] == list(range(1, 3000, 2))
+    assert all(one.formatted[r.begin : r.begin + r.length] == f"t{r.turn} <\\|x" for r in one.replies)
+    loss = {r.conv_id: r.n_examples for r in chat.per_conversation(chat.examples(out.where("conv_id = 2"), keep=("formatted",))).collect()}
+    assert loss == {2: 1} and chat.examples(out).count() == 1501
+
+
 def test_chat_query_goes_through_examples(spark, tmp_path, monkeypatch):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "\\<|é"), (1, 2, "user", "q2"), (1, 3, "assistant", "r2"), (2, 0, "user", "u"), (None, 0, "assistant", None), (4, 5, "assistant", "<|im_start|>assistant\n")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
