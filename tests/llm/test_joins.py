@@ -252,6 +252,77 @@ def test_pipeline_stages(spark, tmp_path):
     assert found.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
 
 
+def test_pipeline_keeps_other_columns(spark, tmp_path):
+    """Columns named like the operators' results and helpers pass through; n_chars may be absent; doc_ids may repeat."""
+    import corpus_pipeline as p
+
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (1, text), (1, "a text of its own " + " ".join(f"v{i}" for i in range(30))), (2, text.upper()), (3, "mail a.b@x.example.com here"), (4, None)]
+    names = ("score", "predicted", "n_values", "items", "spans", "n_hit", "n_words", "_text", "_marks", "label", "node", "key", "_id")
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *(f"'own' as {n}" for n in names))
+    spark.createDataFrame([(3, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "not in any of them at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    after = d
+    for _, stage in p.STAGES[:4]:
+        after = stage(spark, after, str(tmp_path))
+        assert after.columns == d.columns
+    found = after.collect()
+    assert sorted(r.doc_id for r in found) == [1, 1, 3, 4] and all(r[n] == "own" for r in found for n in names)
+    assert p.STAGES[4][1](spark, after, str(tmp_path)).count() == 4
+
+
+def brute_pipeline(rows, toxic, items):
+    """What stays after each of the first three stages, by plain loops."""
+    kept = [(i, t) for i, t in rows if i not in toxic]
+    groups = {}
+    for i, _, c in brute_groups(kept, 5, 80):
+        groups.setdefault(c, []).append(i)
+    empty = {i for i, n, _ in brute_groups(kept, 5, 80) if not n}
+    once = [(i, t) for i, t in kept if i in empty or i in groups]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = {tuple(w[k : k + 10]) for w in map(words, items) for k in range(max(1, len(w) - 9)) if w}
+    hit = lambda t: any(tuple(words(t)[k : k + len(g)]) == g for g in grams for k in range(len(words(t))))
+    return [{i for i, _ in kept}, {i for i, _ in once}, {i for i, t in once if not hit(t)}]
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    import zlib
+
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    from spanforge.llm import pii, tokenize, toxicity
+
+    rnd = random.Random(19)
+    items = [" ".join(f"q{rnd.randrange(50)}" for _ in range(14)) for _ in range(5)]
+    rows = [r for r in corpus(8, 30) if r[0] < 1000]
+    rows += [(2000 + i, t + " " + " ".join(items[i % 5].split()[:n])) for i, ((_, t), n) in enumerate(zip(rows[:12], [14, 10, 9, 12] * 3, strict=True))]
+    rows += [(3000 + i, f"vermin scum {i} " + rows[i][1]) for i in range(40)] + [(4000, "card 4111 1111 1111 1111 on 2020-01-02 " + rows[3][1]), (4001, None), (4002, "")]
+    labels = [(i, int(i // 1000 == 3)) for i, _ in rows]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    model = toxicity.fit(d, spark.read.parquet(f"{tmp_path}/labels.parquet"), hold_out=False)
+    toxic = {r.doc_id for r in toxicity.score(d, model).collect() if r.score >= 0.5}
+    assert toxic == {3000 + i for i in range(40)}
+    after, work = d, pii.Pseudonyms(p.KEY.encode())
+    for (_, stage), want in zip(p.STAGES[:3], brute_pipeline(rows, toxic, items), strict=True):
+        after = stage(spark, after, str(tmp_path))
+        assert {r.doc_id for r in after.collect()} == want
+    texts = {i: None if t is None else work.replace(t) for i, t in rows if i in want}
+    assert {r.doc_id: r.text for r in p.STAGES[3][1](spark, after, str(tmp_path)).collect()} == texts
+    tokenizer = Tokenizer.from_file(tokenize.default_path())
+    ids = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in texts.items()}
+    found, at = p.run(spark, str(tmp_path)).collect(), {}
+    assert {r.doc_id for r in found} == set(ids)
+    for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0) and r.offset + r.length <= 2048
+        at[r.sequence_id] = r.offset + r.length
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+    assert sum(r.length for r in found) == sum(map(len, ids.values()))
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     import corpus_pipeline as p
 
