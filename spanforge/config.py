@@ -78,17 +78,100 @@ TRIMMED = ", ;\t"
 
 #: Words that are no personal data when they make up a whole span, in any case.
 COMMON_WORDS = (
-    "sesso cognome nome ruolo azienda provincia citta stato indirizzo cap data nota note email telefono cellulare "
-    "roma milano napoli torino genova palermo bologna firenze venezia verona messina catania padova trieste brescia "
-    "parma ravenna perugia modena reggio cagliari lecce "
-    "analista tecnico manager impiegato operaio consulente specialista coordinatore responsabile direttore supervisore "
-    "mouse monitor tastiera stampante schermo notebook laptop computer tablet server router webcam cuffie scanner "
-    "smartphone fotocamera proiettore "
-    "prodotto articolo servizio ordine fattura prezzo quantita descrizione categoria marca modello colore taglia"
-).split()
+    "sesso",
+    "cognome",
+    "nome",
+    "ruolo",
+    "azienda",
+    "provincia",
+    "citta",
+    "stato",
+    "indirizzo",
+    "cap",
+    "data",
+    "nota",
+    "note",
+    "email",
+    "telefono",
+    "cellulare",
+    "roma",
+    "milano",
+    "napoli",
+    "torino",
+    "genova",
+    "palermo",
+    "bologna",
+    "firenze",
+    "venezia",
+    "verona",
+    "messina",
+    "catania",
+    "padova",
+    "trieste",
+    "brescia",
+    "parma",
+    "ravenna",
+    "perugia",
+    "modena",
+    "reggio",
+    "cagliari",
+    "lecce",
+    "analista",
+    "tecnico",
+    "manager",
+    "impiegato",
+    "operaio",
+    "consulente",
+    "specialista",
+    "coordinatore",
+    "responsabile",
+    "direttore",
+    "supervisore",
+    "mouse",
+    "monitor",
+    "tastiera",
+    "stampante",
+    "schermo",
+    "notebook",
+    "laptop",
+    "computer",
+    "tablet",
+    "server",
+    "router",
+    "webcam",
+    "cuffie",
+    "scanner",
+    "smartphone",
+    "fotocamera",
+    "proiettore",
+    "prodotto",
+    "articolo",
+    "servizio",
+    "ordine",
+    "fattura",
+    "prezzo",
+    "quantita",
+    "descrizione",
+    "categoria",
+    "marca",
+    "modello",
+    "colore",
+    "taglia",
+)
 
 #: Words for vehicles, which are no driving licences.
-VEHICLES = "autoveicolo motoveicolo ciclomotore rimorchio semirimorchio autovettura motociclo quadriciclo veicolo automezzo".split()
+VEHICLES = (
+    "autoveicolo",
+    "motoveicolo",
+    "ciclomotore",
+    "rimorchio",
+    "semirimorchio",
+    "autovettura",
+    "motociclo",
+    "quadriciclo",
+    "veicolo",
+    "automezzo",
+)
 
 #: Labels of the zero-shot layer, and what they become; any other is upper-cased, with blanks as underscores.
 GLINER_LABELS = {

@@ -45,21 +45,19 @@ def scan(text: Column, pattern: Column | str, group: int = 0) -> Column:
     With ``group``, the group's place and value; the group must end where its match ends.
     """
     rx = F.lit(pattern) if isinstance(pattern, str) else pattern
-    whole = F.regexp_extract_all(text, rx, F.lit(0))
+    # a match and the text before it; there is one text more than there are matches
+    pairs = F.zip_with(F.regexp_extract_all(text, rx, F.lit(0)), F.split(text, rx, -1), lambda m, before: F.struct(m.alias("m"), before.alias("before")))
     if group:
-        whole = F.zip_with(whole, F.regexp_extract_all(text, rx, F.lit(group)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    else:
-        whole = F.transform(whole, lambda m: F.struct(m.alias("m"), m.alias("g")))
-    gaps = F.transform(F.split(text, rx, -1), F.char_length)
+        pairs = F.zip_with(pairs, F.regexp_extract_all(text, rx, F.lit(group)), lambda x, g: F.struct(x["m"].alias("m"), x["before"].alias("before"), g.alias("g")))
     zero = F.struct(F.lit(0).alias("at"), empty(MATCH).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + x["gap"] + F.char_length(x["m"]["m"])
-        one = F.struct((end - F.char_length(x["m"]["g"])).alias("start"), end.alias("end"), x["m"]["g"].alias("value"))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
+        end = acc["at"] + F.char_length(x["before"]) + F.char_length(x["m"])
+        value = x["g"] if group else x["m"]
+        one = F.struct((end - F.char_length(value)).alias("start"), end.alias("end"), value.alias("value"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    pairs = F.zip_with(whole, gaps, lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    return F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), zero, step, lambda acc: acc["out"])
 
 
 def scan_if(guard: Column, text: Column, pattern: str, group: int = 0) -> Column:

@@ -76,9 +76,9 @@ def with_layer(df: DataFrame, factory: Factory, source: str, out: str, *, text_c
     spans = F.flatten(F.zip_with("_p", "_w", lambda p, w: to_spans(F.coalesce(p, empty(PREDICTION)), source, w["start"])))
     ordered = F.transform(spans, lambda s, i: changed(s, ord=i))
     if source == "gliner":
-        from spanforge.operators.patterns import compare
+        from spanforge.operators.patterns import by_keys
 
-        ordered = F.array_sort(ordered, lambda a, b: compare(a, b, "start", "end", "ord"))
+        ordered = by_keys(ordered, lambda s: (s["start"], s["end"], s["ord"]))
     return df.withColumn(out, F.coalesce(ordered, empty(SPAN))).drop("_w", "_texts", "_p")
 
 

@@ -104,40 +104,40 @@ def report_pages(lines: Column, height: int = 842, top: int = 48, leading: int =
 
 # The synthetic cases and their expected labels.
 CASES = (
-    ("Cedolino di Mario Rossi CF RSSMRA80A01L219M tel 3401234567", "CODICE_FISCALE TELEFONO_IT"),
-    ("Dipendente Anna Bianchi, CF BNCNNA75T41F205Y, IBAN IT60X0542811101000000123456", "CODICE_FISCALE IBAN_IT"),
-    ("Stipendio accreditato su IBAN IT28W0306905020100000017789, matricola INPS 12345678", "IBAN_IT MATRICOLA_INPS"),
-    ("Rif. cedolino #2024-04, dipendente: Luca Verdi, CF VRDLCU82M15H501J", "CODICE_FISCALE"),
-    ("Tessera sanitaria 80380030001234567890, ente: ASL Roma 1", "TESSERA_SANITARIA"),
-    ("Fornitore: ACME Srl, P.IVA 01114601006, sede legale via Roma 12, 10138 Torino", "PARTITA_IVA"),
-    ("Cliente Beta S.p.A. partita iva 12345678903, referente sig. Rossi tel 011 1234567", "PARTITA_IVA TELEFONO_IT"),
-    ("Coordinate bancarie: IBAN IT60X0542811101000000123456, intestatario Gamma SRL", "IBAN_IT"),
-    ("PEC studio.rossi@legalmail.pec.it, P.IVA IT 01234567890", "PEC PARTITA_IVA"),
-    ("Contratto firmato il 15/03/2024 da Giulia Neri, CF NRIGLI90E45L219P", "CODICE_FISCALE"),
-    ("Server prod-db-01.acme.local IP 192.168.10.50, admin paolo.bianchi@acme.it", "IP_ADDRESS EMAIL"),
-    ("Errore SSH dall'host 10.0.0.42, utente: msmith, password rifiutata", "IP_ADDRESS"),
-    ("Log: 2024-04-30 12:34:56 - user mario@azienda.it failed login from 192.168.1.100", "EMAIL IP_ADDRESS"),
-    ("Connessione VPN dal 172.16.0.5 - account giulia.neri@cliente.it accettato", "IP_ADDRESS EMAIL"),
-    ("Backup completato: server 10.10.10.10, riferimento: ticket #4521 aperto da rossi@helpdesk.it", "IP_ADDRESS EMAIL"),
-    ("From: Mario Rossi <mario.rossi@cliente.it> To: support@acme.it Subject: Problema fattura", "EMAIL"),
-    ("Cordiali saluti, Anna Bianchi - anna@studio.it - tel +39 011 1234567", "EMAIL TELEFONO_IT"),
-    ("Per emergenze contattare il sig. Verdi al 3401234567 oppure scrivere a verdi@azienda.it", "TELEFONO_IT EMAIL"),
-    ("PEC: amministrazione@acme.pec.it - per comunicazioni ufficiali", "PEC"),
-    ("Paziente Rossi Mario, CF RSSMRA80A01L219M, tessera sanitaria 80380030001234567890", "CODICE_FISCALE TESSERA_SANITARIA"),
-    ("Referto medico per Bianchi Anna, CF BNCNNA75T41F205Y, contatto 3401234567", "CODICE_FISCALE TELEFONO_IT"),
-    ("Visita del 10/05/2024 presso ambulatorio, paziente con CF VRDLCU82M15H501J", "CODICE_FISCALE"),
-    ("Veicolo targato AB123CD, proprietario Mario Rossi CF RSSMRA80A01L219M", "TARGA_IT CODICE_FISCALE"),
-    ("Targa moto FG12345 ritirata, contattare 011 1234567", "TELEFONO_IT"),
-    ("Autoveicolo XY987ZW intestato a Beta SRL, P.IVA 01114601006", "TARGA_IT PARTITA_IVA"),
-    ("Documento d'identità AX1234567 di Anna Bianchi", "CARTA_IDENTITA"),
-    ("Carta d'identità n. CA1234567AB rilasciata dal Comune di Torino", "CARTA_IDENTITA"),
-    ("Pratica n. 2024/IT/4521, richiedente CF RSSMRA80A01L219M, indirizzo PEC pratiche@comune.pec.it", "CODICE_FISCALE PEC"),
-    ("Iscrizione all'albo: matricola 12345678, P.IVA 01114601006", "MATRICOLA_INPS PARTITA_IVA"),
-    ("Numero ordine 2024-12345 (non è un CF), prodotto codice ABC123", ""),
-    ("P.IVA 01114601006 valida, IBAN IT60X0542811101000000123456, IP 8.8.8.8", "PARTITA_IVA IBAN_IT IP_ADDRESS"),
+    ("Cedolino di Mario Rossi CF RSSMRA80A01L219M tel 3401234567", ("CODICE_FISCALE", "TELEFONO_IT")),
+    ("Dipendente Anna Bianchi, CF BNCNNA75T41F205Y, IBAN IT60X0542811101000000123456", ("CODICE_FISCALE", "IBAN_IT")),
+    ("Stipendio accreditato su IBAN IT28W0306905020100000017789, matricola INPS 12345678", ("IBAN_IT", "MATRICOLA_INPS")),
+    ("Rif. cedolino #2024-04, dipendente: Luca Verdi, CF VRDLCU82M15H501J", ("CODICE_FISCALE",)),
+    ("Tessera sanitaria 80380030001234567890, ente: ASL Roma 1", ("TESSERA_SANITARIA",)),
+    ("Fornitore: ACME Srl, P.IVA 01114601006, sede legale via Roma 12, 10138 Torino", ("PARTITA_IVA",)),
+    ("Cliente Beta S.p.A. partita iva 12345678903, referente sig. Rossi tel 011 1234567", ("PARTITA_IVA", "TELEFONO_IT")),
+    ("Coordinate bancarie: IBAN IT60X0542811101000000123456, intestatario Gamma SRL", ("IBAN_IT",)),
+    ("PEC studio.rossi@legalmail.pec.it, P.IVA IT 01234567890", ("PEC", "PARTITA_IVA")),
+    ("Contratto firmato il 15/03/2024 da Giulia Neri, CF NRIGLI90E45L219P", ("CODICE_FISCALE",)),
+    ("Server prod-db-01.acme.local IP 192.168.10.50, admin paolo.bianchi@acme.it", ("IP_ADDRESS", "EMAIL")),
+    ("Errore SSH dall'host 10.0.0.42, utente: msmith, password rifiutata", ("IP_ADDRESS",)),
+    ("Log: 2024-04-30 12:34:56 - user mario@azienda.it failed login from 192.168.1.100", ("EMAIL", "IP_ADDRESS")),
+    ("Connessione VPN dal 172.16.0.5 - account giulia.neri@cliente.it accettato", ("IP_ADDRESS", "EMAIL")),
+    ("Backup completato: server 10.10.10.10, riferimento: ticket #4521 aperto da rossi@helpdesk.it", ("IP_ADDRESS", "EMAIL")),
+    ("From: Mario Rossi <mario.rossi@cliente.it> To: support@acme.it Subject: Problema fattura", ("EMAIL",)),
+    ("Cordiali saluti, Anna Bianchi - anna@studio.it - tel +39 011 1234567", ("EMAIL", "TELEFONO_IT")),
+    ("Per emergenze contattare il sig. Verdi al 3401234567 oppure scrivere a verdi@azienda.it", ("TELEFONO_IT", "EMAIL")),
+    ("PEC: amministrazione@acme.pec.it - per comunicazioni ufficiali", ("PEC",)),
+    ("Paziente Rossi Mario, CF RSSMRA80A01L219M, tessera sanitaria 80380030001234567890", ("CODICE_FISCALE", "TESSERA_SANITARIA")),
+    ("Referto medico per Bianchi Anna, CF BNCNNA75T41F205Y, contatto 3401234567", ("CODICE_FISCALE", "TELEFONO_IT")),
+    ("Visita del 10/05/2024 presso ambulatorio, paziente con CF VRDLCU82M15H501J", ("CODICE_FISCALE",)),
+    ("Veicolo targato AB123CD, proprietario Mario Rossi CF RSSMRA80A01L219M", ("TARGA_IT", "CODICE_FISCALE")),
+    ("Targa moto FG12345 ritirata, contattare 011 1234567", ("TELEFONO_IT",)),
+    ("Autoveicolo XY987ZW intestato a Beta SRL, P.IVA 01114601006", ("TARGA_IT", "PARTITA_IVA")),
+    ("Documento d'identità AX1234567 di Anna Bianchi", ("CARTA_IDENTITA",)),
+    ("Carta d'identità n. CA1234567AB rilasciata dal Comune di Torino", ("CARTA_IDENTITA",)),
+    ("Pratica n. 2024/IT/4521, richiedente CF RSSMRA80A01L219M, indirizzo PEC pratiche@comune.pec.it", ("CODICE_FISCALE", "PEC")),
+    ("Iscrizione all'albo: matricola 12345678, P.IVA 01114601006", ("MATRICOLA_INPS", "PARTITA_IVA")),
+    ("Numero ordine 2024-12345 (non è un CF), prodotto codice ABC123", ()),
+    ("P.IVA 01114601006 valida, IBAN IT60X0542811101000000123456, IP 8.8.8.8", ("PARTITA_IVA", "IBAN_IT", "IP_ADDRESS")),
 )
 
 
 def synthetic_cases(spark: SparkSession) -> DataFrame:
     """The synthetic cases as ``text, labels``."""
-    return spark.createDataFrame([(t, labels.split()) for t, labels in CASES], "text string, labels array<string>")
+    return spark.createDataFrame([(t, list(labels)) for t, labels in CASES], "text string, labels array<string>")

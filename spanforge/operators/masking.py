@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanforge.config import PREFIXES, MaskingMode
 from spanforge.functions.regex import built_once, empty, piece
-from spanforge.operators.patterns import SPAN, compare
+from spanforge.operators.patterns import SPAN, by_keys
 from spanforge.operators.resolver import held
 
 REPLACEMENT = "struct<start:int,end:int,label:string,original:string,replacement:string>"
@@ -29,7 +29,7 @@ def prefix_of(label: Column) -> Column:
 
 def applied(spans: Column) -> Column:
     """The spans by start, without any that begins before the end of one applied before it."""
-    ordered = F.array_sort(spans, lambda a, b: compare(a, b, "start", "ord"))
+    ordered = by_keys(spans, lambda s: (s["start"], s["ord"]))
     zero = F.struct(F.lit(0).alias("at"), empty(SPAN).alias("out"))
     step = lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(s)).alias("out")))
     return F.aggregate(ordered, zero, step, lambda acc: acc["out"])

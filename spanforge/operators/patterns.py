@@ -72,21 +72,17 @@ def detect_patterns(text: Column) -> Column:
     """All pattern spans by (start, end), equal ones in rule order; an empty array for null."""
     parts = [rule_spans(text, rule, i) for i, rule in enumerate(RULES)]
     interesting = text.rlike(r"(?U)\d|@|(?i:id-)")
-    ordered = F.array_sort(F.concat(*parts), _by_place)
+    ordered = by_keys(F.concat(*parts), lambda s: (s["start"], s["end"], s["ord"]))
     return F.when(interesting, F.transform(ordered, lambda s, i: changed(s, ord=i))).otherwise(empty(SPAN))
 
 
-def _by_place(a: Column, b: Column) -> Column:
-    return compare(a, b, "start", "end", "ord")
+def by_keys(spans: Column, keys) -> Column:
+    """Spans in ascending order of what ``keys`` makes of each: whole values sort by their own order, without a comparator."""
 
+    def keyed(s: Column) -> Column:
+        return F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys(s))), s.alias("s"))
 
-def compare(a: Column, b: Column, *keys) -> Column:
-    """A comparator over fields or (function of a span) keys, ascending."""
-    out = F.lit(0)
-    for k in reversed(keys):
-        x, y = (a[k], b[k]) if isinstance(k, str) else (k(a), k(b))
-        out = F.when(x < y, -1).when(x > y, 1).otherwise(out)
-    return out
+    return F.transform(F.array_sort(F.transform(spans, keyed)), lambda x: x["s"])
 
 
 def with_raw_spans(df: DataFrame, text_col: str = "text", out: str = "raw_spans") -> DataFrame:

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from spanforge.config import ALIASES, COMMON_WORDS, PRIORITY, TRIMMED, VEHICLES
 from spanforge.functions.regex import built_once, empty, piece, quoted, scan
-from spanforge.operators.patterns import SPAN, changed, compare, span
+from spanforge.operators.patterns import SPAN, by_keys, changed, span
 from spanforge.operators.rules import NAME_LIKE, URL_LIKE
 
 MAX_GAP = 3
+#: Up to so many spans are all compared; of more, only those that overlap a neighbour.
+FEW = 32
 
 
 def normalized_label(label: Column) -> Column:
@@ -75,7 +77,7 @@ def drop_common_words(text: Column, spans: Column) -> Column:
 
 def canonical(spans: Column) -> Column:
     """Spans by (start, end, priority descending, place among those found)."""
-    return F.array_sort(spans, lambda a, b: compare(a, b, "start", "end", lambda s: -priority(s["source"]), "ord"))
+    return by_keys(spans, lambda s: (s["start"], s["end"], -priority(s["source"]), s["ord"]))
 
 
 def merge_adjacent(text: Column, ordered: Column) -> Column:
@@ -111,14 +113,27 @@ def _closed(group: Column) -> Column:
 
 
 def keep_disjoint(spans: Column) -> Column:
-    """The spans that overlap no span of higher priority, then greater length, then lower start; by start."""
-    by_rank = F.array_sort(spans, lambda a, b: compare(a, b, lambda s: -priority(s["source"]), lambda s: s["start"] - s["end"], "start", "ord"))
+    """The spans that overlap no span of higher priority, then greater length, then lower start; by start.
+
+    ``spans`` are given by start and should be a plain column.
+    """
+    # by start, a span overlaps no other if all before end at its start or earlier and the next begins at its end or later
+    zero = F.struct(F.lit(-1).alias("upto"), empty("int").alias("before"))
+    passed = F.aggregate(spans, zero, lambda acc, s: F.struct(F.greatest(acc["upto"], s["end"]).alias("upto"), F.concat(acc["before"], F.array(acc["upto"])).alias("before")), lambda acc: acc["before"])
+    seen = F.zip_with(F.zip_with(spans, passed, lambda s, b: F.struct(s.alias("s"), b.alias("before"))), F.slice(spans, 2, F.greatest(F.size(spans), F.lit(1))), lambda x, n: F.struct(x["s"].alias("s"), ((x["before"] <= x["s"]["start"]) & (n.isNull() | (x["s"]["end"] <= n["start"]))).alias("lone")))
+    part = lambda lone: F.transform(F.filter(seen, lambda x: x["lone"] == lone), lambda x: x["s"])
+    kept = F.when(F.size(spans) > FEW, F.concat(part(True), _greedy(part(False)))).otherwise(_greedy(spans))
+    return F.transform(by_keys(kept, lambda s: (s["start"], s["ord"])), lambda s, i: changed(s, ord=i))
+
+
+def _greedy(spans: Column) -> Column:
+    """Spans by rank, each kept if it overlaps none that is kept already."""
+    by_rank = by_keys(spans, lambda s: (-priority(s["source"]), s["start"] - s["end"], s["start"], s["ord"]))
 
     def step(acc: Column, c: Column) -> Column:
         return F.when(F.exists(acc, lambda k: (c["start"] < k["end"]) & (k["start"] < c["end"])), acc).otherwise(F.concat(acc, F.array(c)))
 
-    kept = F.aggregate(by_rank, empty(SPAN), step)
-    return F.transform(F.array_sort(kept, lambda a, b: compare(a, b, "start", "ord")), lambda s, i: changed(s, ord=i))
+    return F.aggregate(by_rank, empty(SPAN), step)
 
 
 def drop_misread(text: Column, spans: Column) -> Column:

@@ -17,6 +17,7 @@ from spanforge.operators.detectors import Factory, joined, with_layer
 from spanforge.operators.patterns import SPAN
 from spanforge.sources import files
 from spanforge.sources.formats import Format
+from spanforge.streaming.state import stored
 
 
 @dataclass(frozen=True)
@@ -79,24 +80,48 @@ class Engine:
 
     def process_folder(self, folder: str, output: str | None = None, *, dry_run: bool = False, recursive: bool | None = None) -> Batch:
         """Analyse all files below a folder and, unless ``dry_run``, write them masked, each with its audit, below ``output``
-        at the same relative place. A file that fails is skipped with its message; the others go on."""
+        at the same relative place. A file that fails is skipped with its message; the others go on. Rows come by path."""
+        root, is_folder = files.rooted(self.spark, folder)
+        if not is_folder:
+            raise ValueError(f"Cartella non trovata: {folder}")
         held = files.files(self.spark, folder, self.config.recursive if recursive is None else recursive)
+        done = self._processed(held, None if dry_run else output, root)
+        skipped = files.unsupported(held, self.formats).unionByName(done.where("error is not null").select("path", F.col("error").alias("reason")))
+        return Batch(done.where("error is null").drop("output").orderBy("path"), skipped.orderBy("path"))
+
+    def process_file(self, path: str, output_dir: str | None = None, output_path: str | None = None, *, dry_run: bool = False) -> dict:
+        """Analyse one file and, unless ``dry_run``, write it masked to ``output_path``, or under its new name to
+        ``output_dir`` (its own folder if there is none), with its audit. Fails if the file can not be read."""
+        root, is_folder = files.rooted(self.spark, path)
+        if is_folder:
+            raise ValueError(f"{path} is a folder")
+        folder, _, name = output_path.rpartition("/") if output_path else (output_dir or root, "", None)
+        held = files.files(self.spark, path)
+        if files.supported(held, self.formats).select("path").isEmpty():
+            raise ValueError(files.UNSUPPORTED)
+        row = self._processed(held, None if dry_run else folder or ".", root, name).drop("output").first().asDict(recursive=True)
+        if row["error"] is not None:
+            raise ValueError(row["error"])
+        return row
+
+    def _processed(self, held: DataFrame, output: str | None, root: str, name: str | None = None) -> DataFrame:
+        """The supported files, each extracted, analysed and rebuilt once into a table, and written from there."""
         read = files.extract(files.supported(held, self.formats), self.formats)
         skip = skips_models(F.col("path"), F.col("text"), self.config.ml_skip_extensions, self.config.ml_skip_min_chars)
         done = self.mask(self.detect(read, skip=skip)).withColumn("counts", resolver.category_counts(F.col("spans")))
-        if dry_run or output is None:
+        if output is None:
             stripped, target = F.lit(not self.config.keep_metadata), F.lit(None).cast("string")
             done = done.drop("content")
         else:
             done = files.rebuild(done, self.config.keep_metadata, self.formats)
-            stripped, target = F.col("metadata_stripped"), F.col("output_name")
+            stripped, target = F.col("metadata_stripped"), F.lit(name) if name else F.col("output_name")
         report = evaluate.audit(F.col("spans"), self.config, source_file=F.col("path"), output_file=target, warnings=F.col("warnings"), metadata_stripped=stripped)
-        done = done.withColumn("report", report)
-        if not dry_run and output is not None:
-            done = done.withColumn("audit", F.to_json("report", {"ignoreNullFields": "false", "pretty": "true"})).persist()
-            files.save_files(done, output, folder).count()
-        skipped = files.unsupported(held, self.formats).unionByName(done.where("error is not null").select("path", F.col("error").alias("reason")))
-        return Batch(done.where("error is null"), skipped)
+        done = done.withColumn("report", report).withColumn("audit", F.to_json("report", {"ignoreNullFields": "false", "pretty": "true"}))
+        with files.small_batches(self.spark):
+            done = stored(done, "files")
+            if output is not None:
+                files.save_files(done, output, root, name).write.format("noop").mode("overwrite").save()
+        return done
 
     # evaluation and reports
 

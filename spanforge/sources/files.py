@@ -7,6 +7,9 @@ never moved into other expressions. A file that can not be read is a row with an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,29 @@ def files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame
     return read.load(folder).select("path", "content")
 
 
+def rooted(spark: SparkSession, folder: str) -> tuple[str, bool]:
+    """The folder (of a single file, the one that it lies in) as the file system writes it in paths, and whether it was a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise ValueError(f"Cartella non trovata: {folder}")
+    whole = fs.getFileStatus(at)
+    inside = whole.isDirectory()
+    return (whole.getPath() if inside else whole.getPath().getParent()).toString().rstrip("/"), inside
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 16) -> Iterator[None]:
+    """Arrow batches of a few rows while whole files pass through Python; the session's setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def suffix(path: str = "path"):
     """The lower-case suffix of a path column, empty if there is none."""
     return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
@@ -85,12 +111,14 @@ def output_name(path: str, ending):
     return F.concat(stem, F.lit("_anonymized"), ending)
 
 
-def save_files(df: DataFrame, folder: str, root: str) -> DataFrame:
-    """Write ``output`` (and ``audit`` next to it, if there is one) at each file's place relative to ``root``.
+def save_files(df: DataFrame, folder: str, root: str, name: str | None = None) -> DataFrame:
+    """Write ``output`` (and ``audit`` next to it, if there is one) at each file's place relative to ``root``, a path as
+    ``rooted`` gives it; with ``name``, a single file under that name.
 
     Every file is written under a name of its own and then renamed, so a repeated task leaves the same files. ``folder``
     may be any URI pyarrow knows; all executors must see it.
     """
+    prefix = root.rstrip("/") + "/"
 
     def run(batches):
         from spanforge.sources.store import open_store, put
@@ -99,8 +127,8 @@ def save_files(df: DataFrame, folder: str, root: str) -> DataFrame:
         for rows in batches:
             written = []
             for r in rows.itertuples(index=False):
-                inside = r.path.split(root.rstrip("/") + "/", 1)[-1].rpartition("/")[0]
-                target = "/".join(x for x in (base, inside, r.output_name) if x)
+                inside = r.path.removeprefix(prefix).rpartition("/")[0] if r.path.startswith(prefix) else ""
+                target = "/".join(x for x in (base, inside, name or r.output_name) if x)
                 put(fs, target, bytes(r.output))
                 if r.audit is not None:
                     put(fs, target + ".audit.json", r.audit.encode())

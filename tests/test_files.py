@@ -127,6 +127,40 @@ def test_folder(spark, tmp_path):
     assert dry.results.count() == 1 and not (tmp_path / "none").exists()
 
 
+def test_places_of_files(spark, tmp_path):
+    """Outputs lie at the same place below the output as the inputs below the input, however that is written."""
+    source = tmp_path / "main" / "in"
+    (source / "x in" / "in").mkdir(parents=True)
+    for name in ("b.txt", "a.txt", "x in/in/c.txt"):
+        (source / name).write_text("tel 3401234567")
+    engine = Engine(spark, PLAIN)
+    for k, folder in enumerate((str(source), str(source) + "/", f"file:{source}", f"file://{source}")):
+        out = tmp_path / f"out{k}"
+        batch = engine.process_folder(folder, str(out))
+        assert [r.path.rsplit("/", 1)[-1] for r in batch.results.collect()] == ["a.txt", "b.txt", "c.txt"]
+        assert sorted(str(p.relative_to(out)) for p in out.rglob("*.txt")) == ["a_anonymized.txt", "b_anonymized.txt", "x in/in/c_anonymized.txt"]
+    with pytest.raises(ValueError, match="Cartella non trovata"):
+        engine.process_folder(str(tmp_path / "none"), str(tmp_path / "out"))
+
+
+def test_single_files(spark, tmp_path):
+    engine = Engine(spark, PLAIN)
+    (tmp_path / "a.txt").write_text("tel 3401234567")
+    (tmp_path / "bad.json").write_text("{")
+    (tmp_path / "x.bin").write_bytes(b"")
+    row = engine.process_file(str(tmp_path / "a.txt"))
+    assert row["masked_text"] == "tel [TEL_1]" and (tmp_path / "a_anonymized.txt").read_text() == "tel [TEL_1]"
+    engine.process_file(str(tmp_path / "a.txt"), output_dir=str(tmp_path / "d"))
+    assert (tmp_path / "d" / "a_anonymized.txt").exists()
+    engine.process_file(str(tmp_path / "a.txt"), output_path=str(tmp_path / "e" / "named.txt"))
+    assert (tmp_path / "e" / "named.txt").read_text() == "tel [TEL_1]" and json.loads((tmp_path / "e" / "named.txt.audit.json").read_text())["output_file"] == "named.txt"
+    assert engine.process_file(str(tmp_path / "a.txt"), output_dir=str(tmp_path / "f"), dry_run=True)["counts"] == {"TELEFONO_IT": 1} and not (tmp_path / "f").exists()
+    for name in ("bad.json", "x.bin"):
+        with pytest.raises(ValueError):
+            engine.process_file(str(tmp_path / name))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
 def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("tel 3401234567\nx\n\na@b.it\n")
