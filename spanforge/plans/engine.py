@@ -60,7 +60,7 @@ class Engine:
     def analyze(self, df: DataFrame, text_col: str = "text", *, skip=None) -> DataFrame:
         """The frame with ``spans, replacements, masked_text, counts, audit``. No shuffle; works on streams."""
         done = self.mask(self.detect(df, text_col, skip=skip), text_col)
-        return done.withColumns({"counts": resolver.category_counts(F.col("spans")), "audit": evaluate.audit(F.col("spans"), self.config)})
+        return done.withColumns({"counts": resolver.held(resolver.category_counts(F.col("spans"))), "audit": evaluate.audit(F.col("spans"), self.config)})
 
     # single texts
 

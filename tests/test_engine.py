@@ -256,19 +256,3 @@ def test_benchmark_page_has_fifteen_spans(engine):
     page = "CF RSSMRA80A01L219M, tel 3401234567; mail a@b.it\nIP 8.8.8.8 P.IVA 01114601006\n"
     assert sum(engine.process_text(page * 3)[1].values()) == 15
 
-
-def test_many_spans_are_settled_as_few(spark, monkeypatch):
-    rnd, rows = random.Random(3), []
-    for i in range(60):
-        spans = []
-        for _ in range(rnd.randint(0, 60)):
-            a = rnd.randrange(300)
-            spans.append((a, a + rnd.randint(0, 8), "X", rnd.choice(["pattern", "opf", "gliner"]), 1.0, 0, None))
-        spans.sort(key=lambda s: (s[0], s[1]))
-        rows.append((i, [(*s[:5], k, s[6]) for k, s in enumerate(spans)]))
-    df = spark.createDataFrame(rows, f"id int, spans array<{patterns.SPAN}>")
-    monkeypatch.setattr(resolver, "FEW", 10**6)
-    all_compared = resolver.keep_disjoint(F.col("spans"))
-    monkeypatch.setattr(resolver, "FEW", -1)
-    neighbours = resolver.keep_disjoint(F.col("spans"))
-    assert df.select(all_compared.alias("a"), neighbours.alias("b")).where("a != b").count() == 0
