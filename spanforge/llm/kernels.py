@@ -9,12 +9,13 @@ only a single document longer than a block makes a larger one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,9 +54,22 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def release_large() -> None:
-    """Drop power tables that one very long document made large."""
+    """Drop power tables that one very long document made large, and give freed memory back: workers live on after a task."""
     if _powers.get("n", 0) > 2 * BLOCK_BYTES + 8192:
         _powers.clear()
+    if _trim is not None:
+        _trim(0)
+
+
+def _trimmer():
+    """The C library's call that returns freed memory, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return None
+
+
+_trim = _trimmer()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

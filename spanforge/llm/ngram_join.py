@@ -65,8 +65,8 @@ NODE_BITS = 26
 #: A token is frequent from so many texts on; of so many tokens at most, the most frequent.
 FREQUENT = 512
 FREQUENT_TOKENS = 1 << 20
-TASK_TOKENS = 2 << 20
-GROUP_TOKENS = 3 << 20
+TASK_TOKENS = 1 << 20
+GROUP_TOKENS = 1 << 20
 SEEN = 200_000
 LOCAL_EDGES = 1 << 20
 #: Candidates of the last round that are not worth another round of stars.
@@ -286,7 +286,7 @@ def index(rows: DataFrame, n: int, percent: int, order) -> DataFrame:
                 if len(found):
                     held.append((found, d, len(tokens), unique))
                     size += len(found)
-                if size >= TASK_TOKENS // 16:
+                if size >= TASK_TOKENS // 8:
                     yield flush()
                     held, size = [], 0
         if held:
