@@ -59,9 +59,9 @@ from pyspark.sql import functions as F
 
 from spanforge.llm import kernels as K
 
-#: Bits of the map of shared tokens (32 MB), and of the filter of nodes whose sets are needed (8 MB).
-MAP_BITS = 28
-NODE_BITS = 26
+#: Bits of the map of shared tokens (16 MB), and of the filter of nodes whose sets are needed (2 MB).
+MAP_BITS = 27
+NODE_BITS = 24
 #: A token is frequent from so many texts on; of so many tokens at most, the most frequent.
 FREQUENT = 512
 FREQUENT_TOKENS = 1 << 20
@@ -461,8 +461,10 @@ def _links(rows: DataFrame, found: DataFrame, n: int, percent: int, tables: K.Ta
     order = spark.sparkContext.broadcast(frequencies(rows, n, parts, tables, frequent, map_bits))
     buckets = tables.save(members(tables.save(index(rows, n, percent, order), "entries"), tables), "buckets")
     sets = tables.save(needed_sets(rows, n, buckets.select("node")), "sets")
-    order.unpersist()
+    order.destroy()
+    K.release_large()
     buckets = tables.save(buckets.join(sets.select("node", *SKETCH), "node"), "members")
+    K.release_large()
     labels, links, turn, before = None, None, 0, None
     now = buckets.withColumn("label", F.col("node"))
     while True:

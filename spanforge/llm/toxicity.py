@@ -165,24 +165,27 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[] for _ in range(batch.num_rows)]
+            found = [b""] * batch.num_rows
             for i, j, b, rows in terms(batch.column(0)):
                 r, at = shared.value.present(b, rows)
                 edge = np.searchsorted(r, np.arange(j - i + 1))
                 for d in range(j - i):
-                    found[i + d] = at[edge[d] : edge[d + 1]].tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["_id", "_y", "at"])
+                    found[i + d] = at[edge[d] : edge[d + 1]].astype("<i4").tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.binary())], ["_id", "_y", "at"])
 
     id_type = labels.schema[id_col].dataType
-    schema = T.StructType([T.StructField("_id", id_type), T.StructField("_y", T.IntegerType()), T.StructField("at", T.ArrayType(T.IntegerType()))])
-    got = sorted(((r["_id"], r["_y"], r["at"]) for r in texts.select("_text", "_id", "_y").mapInArrow(extracted, schema).collect()), key=lambda r: (r[0], r[1], r[2]))
+    schema = T.StructType([T.StructField("_id", id_type), T.StructField("_y", T.IntegerType()), T.StructField("at", T.BinaryType())])
+    got = sorted(((r["_id"], r["_y"], bytes(r["at"])) for r in texts.select("_text", "_id", "_y").mapInArrow(extracted, schema).collect()), key=lambda r: (r[0], r[1], r[2]))
     y = np.array([r[1] for r in got], float)
-    counts = np.array([len(r[2]) for r in got], np.int64)
-    at = np.array([x for r in got for x in r[2]], np.int64)
+    counts = np.array([len(r[2]) // 4 for r in got], np.int64)
+    at = np.frombuffer(b"".join(r[2] for r in got), "<i4").astype(np.int64)
+    del got
     # class weights: the classes' shares among all labelled rows, softened so that the rarer class is learnt
     weight = {c: np.sqrt(shares[1 - c] / shares[c]) ** 0.5 for c in (0, 1)}
     weights = np.where(y == 1, weight[1] * shares[1] / max(1, (y == 1).sum()), weight[0] * shares[0] / max(1, (y == 0).sum()))
-    return train(np.repeat(np.arange(len(y)), counts), at, y, weights / weights.mean(), buckets, **options)
+    model = train(np.repeat(np.arange(len(y)), counts), at, y, weights / weights.mean(), buckets, **options)
+    K.release_large()
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
