@@ -53,11 +53,11 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def release_large() -> None:
+def release_large(give_back: bool = True) -> None:
     """Drop power tables that one very long document made large, and give freed memory back: workers live on after a task."""
     if _powers.get("n", 0) > 2 * BLOCK_BYTES + 8192:
         _powers.clear()
-    if _trim is not None:
+    if give_back and _trim is not None:
         _trim(0)
 
 

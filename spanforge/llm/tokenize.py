@@ -157,4 +157,4 @@ class Encoder:
             ids, first, step = self.block(buf, offsets, chars)
             for r, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True), i):
                 yield r, ids[a:b], step[a:b] if chars else None
-        K.release_large()
+        K.release_large(give_back=False)
