@@ -144,7 +144,7 @@ def test_places_of_files(spark, tmp_path):
 
 
 def test_single_files(spark, tmp_path):
-    engine = Engine(spark, PLAIN)
+    engine, batch_rows = Engine(spark, PLAIN), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     (tmp_path / "a.txt").write_text("tel 3401234567")
     (tmp_path / "bad.json").write_text("{")
     (tmp_path / "x.bin").write_bytes(b"")
@@ -158,7 +158,7 @@ def test_single_files(spark, tmp_path):
     for name in ("bad.json", "x.bin"):
         with pytest.raises(ValueError):
             engine.process_file(str(tmp_path / name))
-    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch_rows
 
 
 def test_stream_equals_batch(spark, tmp_path):
