@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import chat, decontaminate, ngram_join, packing, pii, quality, token_counts, token_output, toxicity, warc
+from spanforge.llm import chat, decontaminate, ngram_join, packing, phrases, pii, quality, token_counts, token_output, toxicity, warc
 from spanforge.llm.kernels import saved
 
 #: The key of the demonstration query; a real run passes its own.
@@ -94,6 +94,11 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(token_output.write(_table(spark, sf_dir, "documents")))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.collocations(_table(spark, sf_dir, "documents"), max_n=3, least=10, inside_percent=50, top=2000)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def _share_sql(a: str, b: str) -> str:
     return f"CASE WHEN {b} > 0 THEN 10000 * {a} // {b} ELSE 0 END"
 
@@ -179,6 +184,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
 
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, string_split_regex({LOWER_SQL.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]') AS ps FROM documents),
+p AS (SELECT r, lang, i, regexp_extract_all(ps[i], '[^\\x20\\x09]+') AS w FROM d, unnest(range(1, len(ps) + 1)) AS t(i)),
+g AS (SELECT lang, k AS words, array_to_string(w[j : j + k - 1], ' ') AS phrase, count(*) AS f FROM p, unnest([1, 2, 3]) AS s(k), unnest(range(1, len(w) - k + 2)) AS t(j) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE words = 1 GROUP BY lang),
+c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE words > 1 AND f >= 10),
+cut AS (SELECT c.*, k, x.f AS l, y.f AS r, 1000000 * CAST(a AS HUGEINT) * a // (CAST(x.f AS HUGEINT) * y.f) AS score FROM c, unnest(range(1, c.words)) AS t(k)
+        JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : k], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1 : c.words], ' ')),
+one AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM one WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.lang = one.lang AND y.words > one.words
+         AND (array_to_string(y.w[1:2], ' ') = one.phrase OR array_to_string(y.w[2:3], ' ') = one.phrase) AND 100 * y.a >= 50 * one.a)),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM best JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
@@ -190,6 +210,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_output": op9_token_output,
     "op10_token_counts": op10_token_counts,
+    "op12_phrases": op12_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -198,4 +219,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": OP3_SQL,
     "op5_ngram_join": OP5_SQL,
     "op8_decontamination": OP8_SQL,
+    "op12_phrases": OP12_SQL,
 }
