@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import chat, decontaminate, ngram_join, packing, phrases, pii, quality, token_counts, token_output, toxicity, warc
+from spanforge.llm import alignment, chat, decontaminate, ngram_join, packing, phrases, pii, quality, token_counts, token_output, topk, toxicity, warc
 from spanforge.llm.kernels import saved
 
 #: The key of the demonstration query; a real run passes its own.
@@ -94,11 +94,20 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(token_output.write(_table(spark, sf_dir, "documents")))
 
 
+def op11_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256.0)
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrases.collocations(_table(spark, sf_dir, "documents"), max_n=3, least=10, inside_percent=50, top=2000)
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.with_counts(_table(spark, sf_dir, "documents"), keep=["doc_id"], digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 def _share_sql(a: str, b: str) -> str:
     return f"CASE WHEN {b} > 0 THEN 10000 * {a} // {b} ELSE 0 END"
 
@@ -184,6 +193,15 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
 
+OP11_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.r != c.r WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5
+"""
+
 OP12_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, string_split_regex({LOWER_SQL.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]') AS ps FROM documents),
 p AS (SELECT r, lang, i, regexp_extract_all(ps[i], '[^\\x20\\x09]+') AS w FROM d, unnest(range(1, len(ps) + 1)) AS t(i)),
@@ -210,7 +228,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_output": op9_token_output,
     "op10_token_counts": op10_token_counts,
+    "op11_top_k_search": op11_top_k_search,
     "op12_phrases": op12_phrases,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -219,5 +239,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": OP3_SQL,
     "op5_ngram_join": OP5_SQL,
     "op8_decontamination": OP8_SQL,
+    "op11_top_k_search": OP11_SQL,
     "op12_phrases": OP12_SQL,
 }
