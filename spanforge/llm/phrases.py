@@ -29,7 +29,7 @@ from spanforge.llm import kernels as K
 ENDS_PIECE = tuple(b".,;:!?\n\x0b\x0c\r")
 BETWEEN = tuple(b" \t")
 #: Text bytes numbered by one dictionary, and rows of a batch that leaves a task.
-BLOCK = 8 << 20
+BLOCK = 3 << 20
 ROWS = 1 << 17
 #: Bits of the map of what may be frequent: 16 MB, and 2 bits a phrase.
 MAP_BITS = 1 << 27
@@ -44,7 +44,10 @@ def slices(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     n = ends - starts
     offsets = np.zeros(len(n) + 1, np.int64)
     np.cumsum(n, out=offsets[1:])
-    data = buf[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], n)]
+    kind = np.int32 if max(len(buf), offsets[-1]) < 2**31 else np.int64
+    at = np.repeat((starts - offsets[:-1]).astype(kind), n)
+    at += np.arange(offsets[-1], dtype=kind)
+    data = buf[at]
     return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())
 
 
@@ -67,21 +70,19 @@ class Block:
         many = np.diff(first)
         self.names = langs.dictionary_encode()
         self.lang = np.repeat(self.names.indices.to_numpy(zero_copy_only=False).astype(np.int64), many)
+        inside = low[lut[low] == 1]
         lut[list(BETWEEN)] = 1
-        piece = np.cumsum(lut[low] == 0)[starts] if len(starts) else starts
+        stops = np.flatnonzero(lut[low] == 0)
+        piece = np.searchsorted(stops, starts)
         doc = np.repeat(np.arange(len(many)), many)
         #: whether a word and the next one are of one piece
         self.next = np.append((piece[1:] == piece[:-1]) & (doc[1:] == doc[:-1]), False) if len(starts) else np.zeros(0, bool)
-        n = ends - starts
-        words = slices(low, starts, ends)
-        number = words.dictionary_encode()
-        self.word = self.lang * max(len(number.dictionary), 1) + number.indices.to_numpy(zero_copy_only=False)
+        before = np.append(0, np.cumsum(ends - starts))
+        number = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(before), pa.py_buffer(inside)]).dictionary_encode()
+        self.word = self.lang * max(len(number.dictionary), 1) + number.indices.to_numpy()
         # the words again with one blank after each: every phrase is a range of these bytes
-        self.start = np.zeros(len(n) + 1, np.int64)
-        np.cumsum(n + 1, out=self.start[1:])
-        self.bytes = np.full(self.start[-1], 0x20, np.uint8)
-        inner = np.arange(n.sum()) - np.repeat(self.start[:-1] - np.arange(len(n)), n)
-        self.bytes[inner + np.repeat(self.start[:-1], n)] = low[inner + np.repeat(starts, n)]
+        self.start = before + np.arange(len(before))
+        self.bytes = np.insert(inside, before[1:], 0x20)
 
     def hashes(self, at: np.ndarray, n: int) -> np.ndarray:
         """Hashes of the phrases of ``n`` words at these places, with their languages."""
@@ -133,7 +134,7 @@ def exploded(df: DataFrame, n: int, may=None, text_col: str = "text", lang_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(may.value, np.uint64) if may is not None else None
         for langs, texts in _gathered(batches):
-            for i, j, buf, offsets in K.blocks(texts, 2 * BLOCK):
+            for i, j, buf, offsets in K.blocks(texts, BLOCK):
                 found = Block(langs[i:j], buf, offsets).phrases(n, bits)
                 for at in range(0, found.num_rows, ROWS):
                     yield found.slice(at, ROWS)
