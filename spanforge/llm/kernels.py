@@ -239,12 +239,15 @@ def delete(spark, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Schemes as Spark writes them, and those that pyarrow knows the same stores by.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
+
+
 def filesystem(uri: str):
     """A pyarrow file system and the path within it; a bare path is local."""
     from pyarrow import fs
 
-    if "://" not in uri:
-        if uri.startswith("file:"):
-            uri = uri[5:]
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
+    scheme, split, rest = uri.partition("://")
+    if not split:
+        return fs.LocalFileSystem(), uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")

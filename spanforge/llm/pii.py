@@ -13,9 +13,11 @@ digit), phone numbers of ten digits in North American notation (any area code) a
 international ones (``+``, country code, 8 to 15 digits in all; the country code stays),
 IPv4 addresses, IBANs (mod 97), social security numbers, calendar dates (year first, day or
 month first with a four-digit year, or with the month's English, German, French or Spanish
-name), and secrets (access key ids, values of password, token, secret and key assignments
+name; a time of day may follow, as in 2020-01-03T10:00), and secrets (access key ids, values of password, token, secret and key assignments
 that hold a digit, or both cases in 16 characters or more, which words of prose do not). A
-candidate that fails its validation stays as it is.
+candidate that fails its validation stays as it is. Not among these formats, and left as they are: dates with
+abbreviated months, ordinals or without a year, and IBANs in lower case. Digits become digits and letters letters
+of the same case; in strings of 12 characters or more that are numbers to the base 16 both become either.
 
 A date is permuted among the dates whose day and month take as many digits as its own and
 whose day is as surely no month (above 12 or not). So each notation of a date, padded or
@@ -161,10 +163,15 @@ def _layout(text: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in text)
 
 
+def _hexadecimal(text: str) -> bool:
+    """Whether a long string is a number to the base 16: it has digits and letters, lower-case ones up to f."""
+    return len(text) >= 12 and re.fullmatch(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]*", text) is not None
+
+
 def _classes(text: str) -> tuple[int, int, list[tuple[str, int]]]:
     """A string of ASCII letters and digits as a number, the size of the set of strings of its shape, and the shape."""
     x, size, shape = 0, 1, []
-    hexadecimal = len(text) >= 12 and re.fullmatch(r"[0-9a-f]*", text) is not None
+    hexadecimal = _hexadecimal(text)
     for c in text:
         alphabet = "0123456789abcdef" if hexadecimal else next((a for a in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in a), c)
         x, size = x * len(alphabet) + alphabet.index(c), size * len(alphabet)
@@ -192,7 +199,11 @@ class Pseudonyms:
 
     def _string(self, text: str, kind: str) -> str:
         x, size, shape = _classes(text)
-        return _spell(self._permute(x, size, kind), shape)
+        while True:
+            x = self._permute(x, size, kind)
+            # what has one alphabet for all its characters stays among strings that are read so
+            if _hexadecimal(new := _spell(x, shape)) == _hexadecimal(text):
+                return new
 
     def email(self, m: re.Match) -> str | None:
         local, domain = m["email"].rsplit("@", 1)
@@ -354,7 +365,7 @@ VALUES = (
     r"|(?P<phone>(?<![\w.+-])(?:(?:(?:\+1|1)[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+(?:\d{8,15}|\d{1,4}(?:[ .-](?:\(\d{1,5}\)[ .-]?)?\d{1,8}){1,6}))(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?![\w]|[-/.]\d))"
+    r"|(?P<date>(?<![\w./-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?![-/.]\d)(?!(?!T\d\d:\d\d)\w))"
     rf"|(?P<named>(?<![\w./-])(?:\d{{1,2}} (?P<english>{'|'.join(MONTHS['en'])}) \d{{4}}|\d{{1,2}}\. (?P<german>{'|'.join(MONTHS['de'])}) \d{{4}}"
     rf"|\d{{1,2}} (?P<french>{'|'.join(MONTHS['fr'])}) \d{{4}}|\d{{1,2}} de (?P<spanish>{'|'.join(MONTHS['es'])}) de \d{{4}}|(?P<american>{'|'.join(MONTHS['en'])}) \d{{1,2}}, \d{{4}})(?!\w))"
     r"|(?P<secret>(?<!\w)(?P<key>(?:AKIA|ASIA)[A-Z0-9]{16})(?!\w)|(?P<assigned>(?i:password|passwd|pwd|secret|token|api_?key)[\"']?\s?[=:]\s?[\"']?)(?P<value>[A-Za-z0-9_\-./+]{6,128}))"

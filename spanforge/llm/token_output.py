@@ -153,17 +153,18 @@ class Reader:
             i = j
 
 
-def write(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, vocabulary: int | None = None, folder: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
+def write(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, vocabulary: int | None = None, folder: str | None = None, block_ids: int = BLOCK_IDS, write_id: str | None = None) -> DataFrame:
     """Write all ids and return the manifest: ``part, path, docs, ids`` of each file, in ascending doc_id order by part.
 
-    ``vocabulary`` is the number of ids, by default the tokenizer's.
+    ``vocabulary`` is the number of ids, by default the tokenizer's. Files are named after ``write_id``, by default a new one;
+    what lost attempts of a write of this id have left in the folder goes, files of other writes stay.
     """
     spark = docs.sparkSession
     if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise ValueError(f"{id_col} must be a whole number")
     K.set_batches(spark)
     path, folder = tokenizer or default_path(), folder or K.fresh(spark, "tokens")
-    bits = bits_for(vocabulary or vocabulary_of(path))
+    bits, own = bits_for(vocabulary or vocabulary_of(path)), write_id or uuid.uuid4().hex
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     # the shuffle's partitions are numbered in doc_id order
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
@@ -174,7 +175,7 @@ def write(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", to
         fs, base = K.filesystem(folder)
         fs.create_dir(base, recursive=True)
         part = TaskContext.get().partitionId()
-        name, enc = f"part-{part:06d}-{uuid.uuid4().hex}.fwt", encoder(path)
+        name, enc = f"part-{part:06d}-{own}-{uuid.uuid4().hex}.fwt", encoder(path)
         with fs.open_output_stream(f"{base}/{name}") as sink:
             out = Writer(sink, bits, block_ids)
             for batch in batches:
@@ -185,11 +186,10 @@ def write(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", to
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{folder}/{name}"], "docs": [len(out.names)], "ids": [out.total]})
 
     manifest = K.saved(rows.mapInArrow(run, "part int, path string, docs long, ids long"), "manifest")
-    # what a lost or repeated attempt has left goes
     fs, base = K.filesystem(folder)
     named = {r["path"].rsplit("/", 1)[1] for r in manifest.select("path").toLocalIterator()}
     for info in fs.get_file_info(pa.fs.FileSelector(base, allow_not_found=True)):
-        if info.base_name.endswith(".fwt") and info.base_name not in named:
+        if f"-{own}-" in info.base_name and info.base_name not in named:
             fs.delete_file(info.path)
     return manifest
 

@@ -141,6 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen = {r["_id"]: r["_y"] for r in sample.collect()}  # at most 2 * max_rows short rows
     known = spark.createDataFrame(list(chosen.items()), T.StructType([T.StructField("_id", labels.schema[id_col].dataType), T.StructField("_y", T.IntegerType())]))
     texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).join(F.broadcast(known), "_id")
+    # of rows that share a labelled id the least text is learnt from: one row an id, whatever their number
+    texts = texts.groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, 1 << BUCKET_BITS), np.int32)

@@ -25,9 +25,11 @@ not read.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.llm.kernels import fresh, saved
@@ -189,13 +191,32 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _inside(found: DataFrame, records: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``file, rec, hl, length, off, piece`` of the candidates within each of these records, which lie apart.
+
+    Records and candidates are sorted together in blocks of the file, and each candidate takes the last record that began
+    before it: a row in gives at most a row out, however many of both a block has.
+    """
+    parts = records.withColumn("block", F.explode(F.sequence(F.floor(F.col("rec") / block), F.floor((F.col("succ") - 1) / block))))
+    begun = parts.select("file", "block", F.greatest("rec", F.col("block") * block).alias("off"), F.lit(0).alias("kind"), F.struct("rec", "succ", "hl", "length").alias("r"), F.lit(None).cast("string").alias("piece"))
+    seen = found.select("file", F.floor(F.col("off") / block).alias("block"), "off", F.lit(1).alias("kind"), F.lit(None).cast(begun.schema["r"].dataType).alias("r"), "piece")
+    last = F.last("r", ignorenulls=True).over(Window.partitionBy("file", "block").orderBy("off", "kind"))
+    both = begun.unionByName(seen).withColumn("r", last).where("kind = 1 and off < r.succ")
+    return both.select("file", "r.rec", "r.hl", "r.length", "off", "piece")
+
+
+def _whole(table: pa.Table) -> pa.Table:
+    """The digest of the payload of one record, from its pieces."""
+    table = table.sort_by("off")
+    text = b"".join(MAGIC.encode() + x for x in table["value"].to_pylist())
+    begin = len(MAGIC) + table["hl"][0].as_py() + len(GAP)
+    digest = hashlib.sha1(text[begin : begin + table["length"][0].as_py()]).hexdigest()
+    return pa.table([table["file"].slice(0, 1), table["rec"].slice(0, 1), pa.array([digest])], ["file", "off", "joined"])
+
+
 def _joined(spark: SparkSession, folder: str, found: DataFrame, records: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Digests of the payloads that hold the magic: ``file, off, joined``. Their pieces are found by file and block."""
-    spans = records.withColumn("block", F.explode(F.sequence(F.floor(F.col("rec") / block), F.floor((F.col("succ") - 1) / block))))
-    inside = found.select("file", "off", "piece", F.floor(F.col("off") / block).alias("block")).join(spans, ["file", "block"]).where("off >= rec and off < succ").select("file", "rec", "hl", "length", "off", "piece")
-    inside = saved(inside, "inside")
+    """Digests of the payloads that hold the magic: ``file, off, joined``. Their pieces are found by their digests."""
+    inside = saved(_inside(found, records, block), "inside")
     needed = _pieces(spark, folder).select(F.sha1("value").alias("piece"), "value").join(inside.select("piece").distinct(), "piece", "left_semi")
     pieces = inside.join(needed.dropDuplicates(["piece"]), "piece")
-    whole = pieces.groupBy("file", "rec", "hl", "length").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("p"))
-    text = F.aggregate("p", F.lit("").cast("binary"), lambda a, x: F.concat(a, F.lit(MAGIC).cast("binary"), x["value"]))
-    return whole.withColumn("t", text).select("file", F.col("rec").alias("off"), F.sha1(F.expr(f"substring(t, cast(hl + {len(MAGIC) + 5} as int), cast(length as int))")).alias("joined"))
+    return pieces.groupBy("file", "rec").applyInArrow(_whole, "file string, off long, joined string")

@@ -180,8 +180,8 @@ def test_ids_out_of_range_are_errors(spark):
 
 
 def test_files_of_lost_attempts_go(spark, tmp_path):
-    (tmp_path / "part-000000-lost.fwt").write_bytes(b"x")
-    manifest = token_output.write(docs(spark, [(1, "a b"), (2, None)]), folder=str(tmp_path))
+    (tmp_path / "part-000000-w1-lost.fwt").write_bytes(b"x")
+    manifest = token_output.write(docs(spark, [(1, "a b"), (2, None)]), folder=str(tmp_path), write_id="w1")
     assert {p.name for p in tmp_path.iterdir() if p.name.endswith(".fwt")} == {r.path.rsplit("/", 1)[1] for r in manifest.collect()}
     assert token_output.read(manifest).count() == 2
 
@@ -243,3 +243,14 @@ def test_fields_as_sections(spark):
     (r,) = token_counts.count(joined, sections_col="sections").collect()
     assert {s.section: s.n_tokens for s in r.sections if s.section} == {"title": 2, "note": 0, "body": 3}
     assert token_counts.per_section(token_counts.count(joined, sections_col="sections")).count() == len(r.sections)
+
+
+def test_writes_to_one_folder_leave_each_other(spark, tmp_path):
+    """A second write to the same folder deletes nothing of the first."""
+    from spanforge.llm import kernels
+
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(20)], "doc_id long, text string")
+    first = token_output.write(docs, folder=str(tmp_path / "t"))
+    second = token_output.write(docs.where("doc_id < 5"), folder=str(tmp_path / "t"))
+    assert token_output.read(first).count() == 20 and token_output.read(second).count() == 5
+    assert kernels.SCHEMES["s3a"] == "s3" and kernels.filesystem("file:/a/b")[1] == "/a/b"
