@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from spanforge.llm import kernels as K
 from spanforge.llm.tokenize import Encoder, default_path
 
 #: Distinct parts that a worker keeps at most, before those of one block.
-PARTS = 1 << 17
-BLOCK = 1 << 20
+PARTS = 3 << 17
+BLOCK = 2 << 20
 #: Pairs of the highest counts that are broadcast: 16 bytes each.
 HEAD = 1 << 20
 BLANK = "▁"
@@ -89,31 +90,54 @@ class Sides:
         self.of_a = Vocabulary([bytes(known[c] for c in ids[i]) if i in ids and i not in special else b"" for i in range(max(ids) + 1)])
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.of_b = Vocabulary([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)])
+        self.decimals = Decimals(max(self.of_a.size, self.of_b.size))
         self.cuts = not any(BLANK in p.lstrip(BLANK) for p in pieces)
         self.blank = self.b.piece_to_id(BLANK)
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.groups: list[str] = []
+        self.groups: list[bytes] = []
         # of each part: whether both sides give it back, its tokens, groups and links, and its distinct pairs
         self.facts = np.zeros((0, 5), np.int64)
         self.first, self.distinct = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pair, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def encode(self, parts: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of both sides; every part begins with a blank, which B adds by itself."""
+    def encode(self, parts: list[bytes], size: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Each side's ids of all parts, and how many each part has; every part begins with a blank, which B adds by itself.
+
+        Parts that end where both sides always cut are encoded in one call; the bytes of the ids tell them apart.
+        """
+        joint = self.cuts & np.fromiter((_ends_visibly(p) for p in parts), bool, len(parts))
+        text = b"".join(p for p, j in zip(parts, joint.tolist(), strict=True) if j).decode("utf-8", "replace")
+        rest = [p.decode("utf-8", "replace") for p, j in zip(parts, joint.tolist(), strict=True) if not j]
+        whole = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]) if text else []
+        single = [e.ids for e in self.a.encode_batch(rest, add_special_tokens=False)], [x if len(t) > 1 else [self.blank] for x, t in zip(self.b.encode([t[1:] for t in rest], num_threads=1), rest, strict=True)]
+        sides = []
+        for of, ids, others in zip((self.of_a, self.of_b), whole, single, strict=True):
+            ids = np.array(ids, np.int64)
+            ends, wanted = np.cumsum(of.length[ids]), np.cumsum(size[joint])
+            upto = np.searchsorted(ends, wanted) + 1
+            if len(wanted) and (len(ends) != upto[-1] or (ends[np.minimum(upto, len(ends)) - 1] != wanted).any()):
+                return self._one_by_one(parts)  # some part is not given back in its length
+            n = np.zeros(len(parts), np.int64)
+            n[joint], n[~joint] = np.diff(upto, prepend=0), [len(x) for x in others]
+            both = np.concatenate([ids, np.fromiter(chain.from_iterable(others), np.int64)])
+            begin = np.zeros(len(parts), np.int64)
+            begin[joint], begin[~joint] = upto - n[joint], len(ids) + np.cumsum(n[~joint]) - n[~joint]
+            sides.append((both[np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)], n))
+        return sides[0], sides[1]
+
+    def _one_by_one(self, parts: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         texts = [p.decode("utf-8", "replace") for p in parts]
         own = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        other = self.b.encode([t[1:] for t in texts], num_threads=1)
-        return own, [ids if len(t) > 1 else [self.blank] for ids, t in zip(other, texts, strict=True)]
+        other = [ids if len(t) > 1 else [self.blank] for ids, t in zip(self.b.encode([t[1:] for t in texts], num_threads=1), texts, strict=True)]
+        return tuple((np.fromiter(chain.from_iterable(x), np.int64), np.array([len(i) for i in x], np.int64)) for x in (own, other))
 
     def learn(self, parts: list[bytes]) -> None:
         """Align parts that are not known yet."""
-        a, b = self.encode(parts)
         size = np.array([len(p) for p in parts], np.int64)
-        n_a, n_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-        ids_a, ids_b = (np.fromiter((i for x in side for i in x), np.int64) for side in (a, b))
+        (ids_a, n_a), (ids_b, n_b) = self.encode(parts, size)
         fine = np.ones(len(parts), bool)
         for n, ids, of in ((n_a, ids_a, self.of_a), (n_b, ids_b, self.of_b)):
             fine &= np.bincount(np.repeat(np.arange(len(parts)), n), of.length[ids], len(parts)).astype(np.int64) == size
@@ -138,7 +162,7 @@ class Sides:
         facts = np.stack([fine, n_a, n_b, np.bincount(groups_of, minlength=len(parts)), np.bincount(part_of, minlength=len(parts))], 1).astype(np.int64)
         known = len(self.groups)
         self.number |= {p: known + i for i, p in enumerate(parts)}
-        self.groups += _written(ids_a, ids_b, to_a, to_b, facts[:, 3])
+        self.groups += self.decimals.written(ids_a, ids_b, to_a, to_b, facts[:, 3])
         self.first = np.append(self.first, len(self.pair) + np.cumsum(n_pairs) - n_pairs)
         self.distinct, self.facts = np.append(self.distinct, n_pairs), np.concatenate([self.facts, facts])
         self.pair, self.many = np.append(self.pair, pair), np.append(self.many, many)
@@ -196,13 +220,39 @@ def summed(keys: np.ndarray, many: np.ndarray | None = None) -> tuple[np.ndarray
     return keys[at], np.add.reduceat(many[order], at) if len(at) else np.zeros(0, np.int64)
 
 
-def _written(ids_a: np.ndarray, ids_b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray, n_groups: np.ndarray) -> list[str]:
-    """``a1,a2|b1;a3|b2`` for each part."""
-    a, b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-    cut_a, cut_b = [0, *to_a.tolist()], [0, *to_b.tolist()]
-    groups = [f"{','.join(a[cut_a[g] : cut_a[g + 1]])}|{','.join(b[cut_b[g] : cut_b[g + 1]])}" for g in range(len(to_a))]
-    upto = np.cumsum(n_groups).tolist()
-    return [";".join(groups[i - n : i]) for i, n in zip(upto, n_groups.tolist(), strict=True)]
+def _ends_visibly(part: bytes) -> bool:
+    """Whether a part ends with a character before which a following blank is surely cut off."""
+    return 0x20 < part[-1] < 0x7F or len(part) > 1 and 0xC3 <= part[-2] <= 0xCA
+
+
+class Decimals:
+    """The decimal texts of all ids, one after the other."""
+
+    def __init__(self, size: int):
+        texts = [b"%d" % i for i in range(size)]
+        self.length = np.array([len(t) for t in texts], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(texts), np.uint8)
+
+    def written(self, ids_a: np.ndarray, ids_b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray, n_groups: np.ndarray) -> list[bytes]:
+        """``a1,a2|b1;a3|b2`` for each part, given the tokens of both sides up to the end of each group."""
+        n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        # a group's A tokens, then its B tokens: each id with the sign after it
+        place_a = np.arange(len(ids_a)) + np.repeat(to_b - n_b, n_a)
+        place_b = np.arange(len(ids_b)) + np.repeat(to_a, n_b)
+        ids, sign = np.empty(len(ids_a) + len(ids_b), np.int64), np.full(len(ids_a) + len(ids_b), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = ids_a, ids_b
+        sign[place_a[to_a - 1]], sign[place_b[to_b - 1]] = ord("|"), ord(";")
+        n = self.length[ids]
+        ends = np.cumsum(n + 1)
+        out = np.empty(ends[-1] if len(ends) else 0, np.uint8)
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out[inner + np.repeat(ends - n - 1, n)] = self.bytes[inner + np.repeat(self.begin[ids], n)]
+        out[ends - 1] = sign
+        raw, upto = out.tobytes(), np.cumsum(n_groups)
+        stop = np.where(n_groups > 0, ends[place_b[to_b[upto - 1] - 1]], 0) if len(to_b) else np.zeros(len(n_groups), np.int64)
+        stop = np.maximum.accumulate(stop)
+        return [raw[i:j][:-1] for i, j in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
 
 
 def align(df: DataFrame, a_path: str | None = None, b_path: str | None = None, *, keep: list[str] | None = None, text_col: str = "text", product: bool = False, digest: bool = False) -> DataFrame:
@@ -242,8 +292,8 @@ def _documents(sides: Sides, fine: np.ndarray, parts: list[np.ndarray], digest:
     edge = np.append(0, np.cumsum(n))
     totals = upto[edge[1:]] - upto[edge[:-1]]
     groups = sides.groups
-    written = (";".join([groups[i] for i in p.tolist()]) for p in parts)
-    texts = [hashlib.sha256(w.encode()).hexdigest() if digest and w else w for w in written]
+    written = (b";".join([groups[i] for i in p.tolist()]) for p in parts)
+    texts = [hashlib.sha256(w).hexdigest() if digest and w else w.decode() for w in written]
     # each part once a document, then each pair once a document
     space = max(len(groups), 1)
     key, times = summed(doc * space + number)
