@@ -11,9 +11,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.config import Config, MaskingMode
+from spanforge.operators.detectors import Factory
 from spanforge.operators.evaluate import report_lines, synthetic_cases
 from spanforge.operators.masking import entity_map, vault
 from spanforge.plans.engine import Engine
+from spanforge.sources.formats import supported_extensions
 
 
 def parser() -> argparse.ArgumentParser:
@@ -33,9 +35,46 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--evaluate", metavar="FILE", help="JSON lines of text and labels")
     p.add_argument("--write-synthetic", metavar="FILE")
     p.add_argument("--json", action="store_true")
+    p.add_argument("--supported-formats", action="store_true")
+    p.add_argument("--disable-layer", action="append", choices=["opf", "gliner", "pattern"], default=[])
+    p.add_argument("--pattern-only", action="store_true", help="only the pattern layer")
+    p.add_argument("--recall-mode", choices=["conservative", "balanced", "aggressive"], default="aggressive")
+    p.add_argument("--gliner-threshold", type=float, default=0.3)
+    p.add_argument("--chunk-long-text", action=argparse.BooleanOptionalAction, default=True)
+    p.add_argument("--chunk-threshold", type=int, default=4000)
+    p.add_argument("--chunk-size", type=int, default=1500)
+    p.add_argument("--chunk-overlap", type=int, default=100)
+    p.add_argument("--spread-windows", action="store_true", help="windows of long texts as rows, dealt to all tasks")
+    p.add_argument("--ml-skip-extensions", default=".log", help="suffixes, by commas, of long files that skip the models")
+    p.add_argument("--ml-skip-min-chars", type=int, default=8000)
+    p.add_argument("--low-memory", action="store_true")
     return p
 
 
+def config_of(args: argparse.Namespace) -> Config:
+    """The settings that the arguments say."""
+    off = {"opf", "gliner"} if args.pattern_only else set(args.disable_layer)
+    suffixes = (e.strip().lower() for e in args.ml_skip_extensions.split(",") if e.strip())
+    return Config(
+        opf_enabled="opf" not in off,
+        gliner_enabled="gliner" not in off,
+        pattern_enabled="pattern" not in off,
+        opf_recall_mode=args.recall_mode,
+        gliner_threshold=args.gliner_threshold,
+        masking_mode=args.mode,
+        keep_metadata=args.keep_metadata,
+        recursive=not args.no_recursive,
+        low_memory=args.low_memory,
+        chunk_long_text=args.chunk_long_text,
+        chunk_threshold=args.chunk_threshold,
+        chunk_size=args.chunk_size,
+        chunk_overlap=args.chunk_overlap,
+        spread_windows=args.spread_windows,
+        ml_skip_extensions=tuple(e if e.startswith(".") else f".{e}" for e in suffixes),
+        ml_skip_min_chars=args.ml_skip_min_chars,
+    )
+
+
 def restore(masked: str, entries: dict) -> str:
     """Originals for placeholders, longer placeholders first; entries without a text original are passed over."""
     for name in sorted(entries, key=len, reverse=True):
@@ -45,8 +84,12 @@ def restore(masked: str, entries: dict) -> str:
     return masked
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None, detectors: dict[str, Factory] | None = None) -> int:
+    """Run a command; ``detectors`` are the statistical layers' factories, of layers without one nothing is found."""
     args = parser().parse_args(argv)
+    if args.supported_formats:
+        print("\n".join(supported_extensions()))
+        return 0
     if args.restore:
         if not args.vault:
             print("--restore richiede --vault", file=sys.stderr)
@@ -57,7 +100,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(target)
         return 0
     spark = spark or SparkSession.builder.appName("spanforge").getOrCreate()
-    engine = Engine(spark, Config(masking_mode=args.mode, keep_metadata=args.keep_metadata, opf_enabled=False, gliner_enabled=False))
+    engine = Engine(spark, config_of(args), detectors)
     if args.write_synthetic:
         rows = [json.dumps(r.asDict(), ensure_ascii=False) for r in synthetic_cases(spark).collect()]
         Path(args.write_synthetic).write_text("\n".join(rows) + "\n", "utf-8")
@@ -77,12 +120,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             Path(args.export_vault).write_text(row["vault"], "utf-8")
         return 0
     if args.path:
-        batch = engine.process_folder(args.path, args.output_dir, dry_run=args.dry_run, recursive=not args.no_recursive)
-        print(json.dumps(engine.batch_audit(batch).first().asDict()))
-        for row in engine.summary(batch.results).toLocalIterator():
-            print(f"- {row['label']}: {row['n_spans']}")
-        for row in batch.skipped.orderBy("path").toLocalIterator():
-            print(f"skipped {row['path']}: {row['reason']}")
+        with engine.process_folder(args.path, args.output_dir, dry_run=args.dry_run) as batch:
+            if args.json:
+                for row in engine.audits(batch).toLocalIterator():
+                    print(json.dumps({"path": row["path"], **({"reason": row["reason"]} if row["audit"] is None else {"audit": json.loads(row["audit"])})}, ensure_ascii=False))
+            print(json.dumps(batch.totals))
+            for row in engine.summary(batch.results).toLocalIterator():
+                print(f"- {row['label']}: {row['n_spans']}")
+            for row in batch.skipped.orderBy("path").toLocalIterator():
+                print(f"skipped {row['path']}: {row['reason']}")
         return 0
     parser().print_usage()
     return 2

@@ -34,6 +34,8 @@ class Config:
     chunk_threshold: int = 4000
     chunk_size: int = 1500
     chunk_overlap: int = 100
+    #: windows as rows of their own, dealt to all tasks; else those of a text stay in its row
+    spread_windows: bool = False
     ocr_dpi: int = 300
     ocr_max_workers: int = 4
     ml_skip_extensions: tuple[str, ...] = (".log",)

@@ -2,7 +2,7 @@
 
 Spark's ``regexp_instr`` counts UTF-16 units. Here offsets come from the lengths of what
 lies between matches (``split``) and of the matches themselves (``regexp_extract_all``), in
-code points, folded once from left to right.
+code points, added up once from left to right.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanforge.functions.folds import appended, empty
+
 MATCH = "struct<start:int,end:int,value:string>"
 
 
@@ -34,11 +36,6 @@ def built_once(make: Callable[..., Column]) -> Callable[..., Column]:
     return get
 
 
-def empty(kind: str) -> Column:
-    """A typed empty array."""
-    return F.array().cast(f"array<{kind}>")
-
-
 def scan(text: Column, pattern: Column | str, group: int = 0) -> Column:
     """All matches of ``pattern`` from left to right as an array of (start, end, value).
 
@@ -49,15 +46,13 @@ def scan(text: Column, pattern: Column | str, group: int = 0) -> Column:
     pairs = F.zip_with(F.regexp_extract_all(text, rx, F.lit(0)), F.split(text, rx, -1), lambda m, before: F.struct(m.alias("m"), before.alias("before")))
     if group:
         pairs = F.zip_with(pairs, F.regexp_extract_all(text, rx, F.lit(group)), lambda x, g: F.struct(x["m"].alias("m"), x["before"].alias("before"), g.alias("g")))
-    zero = F.struct(F.lit(0).alias("at"), empty(MATCH).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.char_length(x["before"]) + F.char_length(x["m"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        end = at + F.char_length(x["before"]) + F.char_length(x["m"])
         value = x["g"] if group else x["m"]
-        one = F.struct((end - F.char_length(value)).alias("start"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return end, F.array(F.struct((end - F.char_length(value)).alias("start"), end.alias("end"), value.alias("value")))
 
-    return F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), zero, step, lambda acc: acc["out"])
+    return appended(F.filter(pairs, lambda x: x["m"].isNotNull()), F.lit(0), MATCH, step)
 
 
 def scan_if(guard: Column, text: Column, pattern: str, group: int = 0) -> Column:

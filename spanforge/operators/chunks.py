@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanforge.functions.regex import empty, piece
+from spanforge.functions.folds import appended, empty
+from spanforge.functions.regex import piece
 
 WINDOW = "struct<start:int,end:int>"
 
@@ -21,16 +22,15 @@ def windows(text: Column, size: int = 1500, overlap: int = 100) -> Column:
     # every window moves on by at least this much
     least = max(1, size - fifth - overlap)
 
-    def step(acc: Column, _: Column) -> Column:
-        hard = F.least(acc["at"] + size, n)
+    def step(at: Column, _: Column) -> tuple[Column, Column]:
+        hard = F.least(at + size, n)
         tail = piece(text, hard - fifth, hard)
         back = F.char_length(F.regexp_extract(tail, r"[ \n\t\r]([^ \n\t\r]*)\z", 1))
         end = F.when((hard < n) & tail.rlike(r"[ \n\t\r]"), hard - back).otherwise(hard)
-        one = F.struct(acc["at"].alias("start"), end.alias("end"))
-        return F.when(acc["at"] < 0, acc).otherwise(F.struct(F.when(end >= n, -1).otherwise(F.greatest(end - overlap, acc["at"] + 1)).alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
+        after = F.when(at < 0, at).when(end >= n, -1).otherwise(F.greatest(end - overlap, at + 1))
+        return after, F.when(at < 0, empty(WINDOW)).otherwise(F.array(F.struct(at.alias("start"), end.alias("end"))))
 
-    zero = F.struct(F.lit(0).alias("at"), empty(WINDOW).alias("out"))
-    found = F.aggregate(F.sequence(F.lit(0), F.floor(n / least).cast("int")), zero, step, lambda acc: acc["out"])
+    found = appended(F.sequence(F.lit(0), F.floor(n / least).cast("int")), F.lit(0), WINDOW, step)
     return F.when(n <= size, whole).otherwise(found)
 
 

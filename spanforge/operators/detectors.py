@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.config import GLINER_LABELS, OPF_LABELS
-from spanforge.functions.regex import empty, piece
+from spanforge.functions.folds import bound, empty
+from spanforge.functions.regex import piece
 from spanforge.operators.chunks import windows
-from spanforge.operators.patterns import SPAN, changed, span
+from spanforge.operators.patterns import SPAN, by_keys, changed, span
 
 PREDICTION = "struct<start:int,end:int,label:string,score:double>"
 Factory = Callable[[], Callable[[str], list] | None]
@@ -66,7 +67,8 @@ def to_spans(predictions: Column, source: str, shift: Column | int = 0) -> Colum
 def with_layer(df: DataFrame, factory: Factory, source: str, out: str, *, text_col: str = "text", skip: Column | None = None, threshold: int = 4000, size: int = 1500, overlap: int = 100) -> DataFrame:
     """The frame with the spans of one layer. Texts above ``threshold`` go through in overlapping windows.
 
-    A text's windows are one array, evaluated in one Arrow batch with others; skipped rows reach the model as null.
+    A text's windows are one array, evaluated in one Arrow batch with others; skipped rows reach the model as null. No
+    shuffle; works on streams. ``with_layer_by_window`` deals the windows of a long text to several tasks.
     """
     text = F.when(~F.coalesce(skip, F.lit(False)), F.col(text_col)) if skip is not None else F.col(text_col)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.char_length(F.col(text_col)).alias("end")))
@@ -76,12 +78,42 @@ def with_layer(df: DataFrame, factory: Factory, source: str, out: str, *, text_c
     spans = F.flatten(F.zip_with("_p", "_w", lambda p, w: to_spans(F.coalesce(p, empty(PREDICTION)), source, w["start"])))
     ordered = F.transform(spans, lambda s, i: changed(s, ord=i))
     if source == "gliner":
-        from spanforge.operators.patterns import by_keys
-
         ordered = by_keys(ordered, lambda s: (s["start"], s["end"], s["ord"]))
     return df.withColumn(out, F.coalesce(ordered, empty(SPAN))).drop("_w", "_texts", "_p")
 
 
+def with_layer_by_window(df: DataFrame, factory: Factory, source: str, out: str, *, text_col: str = "text", skip: Column | None = None, threshold: int = 4000, size: int = 1500, overlap: int = 100) -> DataFrame:
+    """As ``with_layer``, with each window a row of its own: those of a long text are dealt to all tasks, equal windows of
+    equal texts are run once, and skipped or null texts never reach Python. Rows come in another order; batch only."""
+    text, key = F.col(text_col), "_key"
+    runs = text.isNotNull() & ~F.coalesce(skip if skip is not None else F.lit(False), F.lit(False))
+    asked = df.where(runs).withColumn(key, F.sha2(F.encode(text, "UTF-8"), 256))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.char_length(text).alias("end")))
+    places = F.when(F.char_length(text) > threshold, windows(text, size, overlap)).otherwise(whole) if threshold >= 0 and size > 0 else whole
+    rows = asked.select(key, F.posexplode_outer(bound(places, lambda ws: window_texts(text, ws))).alias("_n", "_w")).where("_n is not null")
+    rows = rows.groupBy(key, "_n").agg(F.first("_w.start").alias("_start"), F.first("_w.text").alias("_text"))
+    found = rows.select(key, "_n", "_start", predictor(factory).asNondeterministic()("_text").alias("_p"))
+    found = found.select(key, "_n", to_spans(F.col("_p"), source, F.col("_start")).alias("_s")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_n", "_s"))).alias("_found"))
+    ordered = F.transform(F.flatten(F.transform("_found", lambda f: f["_s"])), lambda s, i: changed(s, ord=i))
+    if source == "gliner":
+        ordered = by_keys(ordered, lambda s: (s["start"], s["end"], s["ord"]))
+    done = asked.join(found.select(key, ordered.alias(out)), key).drop(key)
+    return done.unionByName(df.where(~F.coalesce(runs, F.lit(False))).withColumn(out, empty(SPAN)))
+
+
+def window_texts(text: Column, places: Column, many: int = 64) -> Column:
+    """The texts of windows with their starts. A long text is cut into runs of ``many`` windows first, as cutting counts
+    characters from the beginning of what it cuts."""
+
+    def run(ws: Column) -> Column:
+        first = F.get(ws, F.lit(0))["start"]
+        cut = lambda held: F.transform(ws, lambda w: F.struct(w["start"].alias("start"), piece(held, w["start"] - first, w["end"] - first).alias("text")))
+        return bound(piece(text, first, F.element_at(ws, -1)["end"]), cut)
+
+    last = F.floor((F.greatest(F.size(places), F.lit(1)) - 1) / many).cast("int")
+    return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: bound(F.slice(places, i * many + 1, F.lit(many)), run)))
+
+
 def _array_predictor(factory: Factory):
     @F.pandas_udf(f"array<array<{PREDICTION}>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.config import COLOURS, VERSION, Config
+from spanforge.functions.folds import appended
 from spanforge.functions.regex import piece
+from spanforge.functions.rows import exploded
 from spanforge.operators.masking import applied
 from spanforge.operators.resolver import category_counts, source_counts
 
@@ -48,8 +50,7 @@ def audit(spans: Column, config: Config, *, source_file: Column | None = None, o
 
 def counts_by(df: DataFrame, *keys: str, spans_col: str = "spans") -> DataFrame:
     """Spans by keys and label over all documents; counted map-side before the shuffle."""
-    labels = F.explode(F.transform(spans_col, lambda s: s["label"])).alias("label")
-    return df.select(*keys, labels).groupBy(*keys, "label").agg(F.count("*").alias("n_spans"))
+    return exploded(df, F.transform(spans_col, lambda s: s["label"]), *keys, name="label").groupBy(*keys, "label").agg(F.count("*").alias("n_spans"))
 
 
 def escaped_html(text: Column) -> Column:
@@ -63,13 +64,12 @@ def highlighted(text: Column, spans: Column) -> Column:
     """The text as HTML, each span in its layer's colour with label and source as a tooltip."""
     legend = "".join(f'<span style="background:{c};padding:2px 6px;border-radius:3px">{n}</span> ' for n, c in COLOURS.items())
     colour = lambda s: F.coalesce(*(F.when(s["source"] == n, c) for n, c in COLOURS.items()), F.lit("#e0e0e0"))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
         mark = F.concat(F.lit('<span style="background:'), colour(s), F.lit(';padding:1px 3px;border-radius:3px" title="'), s["label"], F.lit(" via "), s["source"], F.lit('">'), escaped_html(piece(text, s["start"], s["end"])), F.lit("</span>"))
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], escaped_html(piece(text, acc["at"], s["start"])), mark).alias("out"))
+        return s["end"], F.array(escaped_html(piece(text, at, s["start"])), mark)
 
-    body = F.aggregate(applied(spans), zero, step, lambda acc: F.concat(acc["out"], escaped_html(F.substring(text, acc["at"] + 1, F.lit(2**31 - 1)))))
+    body = appended(applied(spans), F.lit(0), "string", step, lambda at, out: F.concat(F.array_join(out, ""), escaped_html(F.substring(text, at + 1, F.lit(2**31 - 1)))))
     head, none = f"<div>{legend}</div>", "<em>Nessun testo</em>"
     return F.when(F.coalesce(F.char_length(text), F.lit(0)) == 0, head + none).otherwise(F.concat(F.lit(head + "<pre style='white-space:pre-wrap;font-family:monospace'>"), body, F.lit("</pre>")))
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.config import PREFIXES, MaskingMode
-from spanforge.functions.regex import built_once, empty, piece
+from spanforge.functions.folds import empty
+from spanforge.functions.regex import built_once, piece
+from spanforge.functions.rows import entries
 from spanforge.operators.patterns import SPAN, by_keys
-from spanforge.operators.resolver import held
 
 REPLACEMENT = "struct<start:int,end:int,label:string,original:string,replacement:string>"
 _KEYED = "struct<start:int,end:int,label:string,original:string,prefix:string,norm:string>"
@@ -97,7 +98,7 @@ def _firsts(keys_col: str) -> Column:
 
 @built_once
 def _plan(keys_col: str, firsts_col: str, mode: str) -> Column:
-    return held(replacements(F.col(keys_col), F.col(firsts_col), mode))
+    return replacements(F.col(keys_col), F.col(firsts_col), mode)
 
 
 @built_once
@@ -114,8 +115,37 @@ def vault(plan: Column) -> Column:
 
 def vault_rows(df: DataFrame, id_col: str = "doc_id", plan: str = "replacements") -> DataFrame:
     """The vaults as a table: one row a document and placeholder."""
-    one = df.select(F.col(id_col), F.explode(vault(F.col(plan))))
-    return one.select(id_col, F.col("key").alias("placeholder"), F.col("value.label").alias("label"), F.col("value.original").alias("original"))
+    return entries(df, vault(F.col(plan)), id_col).select(id_col, F.col("key").alias("placeholder"), F.col("value.label").alias("label"), F.col("value.original").alias("original"))
+
+
+def bucket_of(id_col: str, buckets: int) -> Column:
+    """The vault's part that a document's entries are in."""
+    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)).cast("int")
+
+
+def write_vault(df: DataFrame, path: str, *, id_col: str = "doc_id", plan: str = "replacements", buckets: int = 64, mode: str = "error") -> None:
+    """Store the vaults of masked documents: Parquet, one folder a bucket of documents, so that restoring some reads only
+    their buckets. Entries keep their place in the plan. Whoever reads this folder can undo the masking."""
+    places = F.posexplode_outer(F.map_entries(vault(F.col(plan)))).alias("place", "e")
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col), bucket_of(id_col, buckets).alias("bucket"), places).where("place is not null")
+    rows = rows.select(id_col, "bucket", "place", F.col("e.key").alias("placeholder"), F.col("e.value.label").alias("label"), F.col("e.value.original").alias("original"))
+    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", id_col, "place").write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def restore_from(masked_df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "masked_text", buckets: int = 64, out: str = "restored") -> DataFrame:
+    """Documents with the originals that a stored vault has for them, longer placeholders first, then by their place.
+
+    The entries of a document are gathered by (bucket, id), with which they were stored, and meet the document's rows in
+    one join; only the buckets of these documents are read. Texts without entries, null texts and null ids stay as they are;
+    entries without an original are passed over. Of repeated ids each row is restored.
+    """
+    held = masked_df.sparkSession.read.parquet(path).where("original is not null")
+    entry = F.struct((-F.char_length("placeholder")).alias("n"), "place", F.col("placeholder").alias("k"), F.col("original").alias("v"))
+    stored = held.groupBy(F.col("bucket").alias("_bucket"), F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+    rows = masked_df.withColumn("_of", bucket_of(id_col, buckets))
+    both = rows.join(stored, (F.col("_of") == F.col("_bucket")) & (F.col(id_col) == F.col("_id")), "left")
+    whole = F.when(F.size("_entries") > 0, F.aggregate("_entries", F.col(text_col), lambda t, e: F.replace(t, e["k"], e["v"]))).otherwise(F.col(text_col))
+    return both.withColumn(out, whole).drop("_of", "_bucket", "_id", "_entries")
 
 
 def restored(text: Column, entries: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions.checksums import valid_fiscal_code, valid_iban, valid_vat_number
-from spanforge.functions.regex import built_once, empty, scan_if
+from spanforge.functions.folds import empty
+from spanforge.functions.regex import built_once, scan_if
 from spanforge.operators.rules import RULES, Rule
 
 #: A span. ``ord`` is its place among spans as they were found; ``checksum_valid`` is set for fiscal codes alone.

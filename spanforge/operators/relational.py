@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.config import COMMON_WORDS
+from spanforge.functions.rows import exploded
 from spanforge.operators.resolver import MAX_GAP, normalized_label, priority
 
 
 def span_rows(df: DataFrame, id_col: str = "doc_id", spans_col: str = "spans") -> DataFrame:
     """One row a span."""
-    return df.select(id_col, F.explode(spans_col).alias("s")).select(id_col, "s.start", "s.end", "s.label", "s.source", "s.score", "s.ord")
+    return exploded(df, spans_col, id_col).select(id_col, "s.start", "s.end", "s.label", "s.source", "s.score", "s.ord")
 
 
 def islands(rows: DataFrame, id_col: str = "doc_id", text_col: str | None = None) -> DataFrame:
@@ -51,9 +52,26 @@ def numbered(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return first.withColumn("n", F.dense_rank().over(Window.partitionBy(id_col, "prefix").orderBy("first", "label", "norm"))).drop("first")
 
 
-def touching(words: DataFrame, ranges: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Interval join within documents: words and ranges that overlap or touch (both ends count)."""
-    return words.join(ranges, id_col).where("char_start <= range_end and char_end >= range_start")
+def binned(rows: DataFrame, start: str, end: str, size: int, out: str = "bin") -> DataFrame:
+    """One row a bin of ``size`` offsets that an interval, both ends counted, reaches into; none for an interval that ends before it starts."""
+    first, last = F.floor(F.col(start) / size), F.floor(F.col(end) / size)
+    return rows.withColumn(out, F.explode(F.when(F.col(end) >= F.col(start), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+
+
+def touching(words: DataFrame, ranges: DataFrame, id_col: str = "doc_id", *, size: int = 1024) -> DataFrame:
+    """Interval join within documents: words and ranges that overlap or touch (both ends count).
+
+    Both sides are dealt to bins of ``size`` offsets and meet in the bin where the later of the two starts, which is one that
+    both reach into; so a document's words and ranges spread over its bins, and what is joined grows with what
+    touches, not with words times ranges. Repeated rows stay repeated; null offsets touch nothing.
+    """
+    bin_col = "_bin"
+    while bin_col in words.columns + ranges.columns:
+        bin_col = f"_{bin_col}"
+    left = binned(words, "char_start", "char_end", size, bin_col)
+    right = binned(ranges, "range_start", "range_end", size, bin_col)
+    later = F.floor(F.greatest("char_start", "range_start") / size) == F.col(bin_col)
+    return left.join(right, [id_col, bin_col]).where((F.col("char_start") <= F.col("range_end")) & (F.col("char_end") >= F.col("range_start")) & later).drop(bin_col)
 
 
 def overlaps_or_touches(start: str, end: str, other_start: str, other_end: str, gap: int = 0):

@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.config import ALIASES, COMMON_WORDS, PRIORITY, TRIMMED, VEHICLES
-from spanforge.functions.regex import built_once, empty, piece, quoted, scan
+from spanforge.functions.folds import appended, bound, empty, first_of_runs, place
+from spanforge.functions.regex import built_once, piece, quoted, scan
+from spanforge.operators import occurrences
 from spanforge.operators.patterns import SPAN, by_keys, changed, span
 from spanforge.operators.rules import NAME_LIKE, URL_LIKE
 
 MAX_GAP = 3
+#: Spans of a cluster, and values of a text, up to which looking at each is quicker than sorting and halving.
+SMALL = 12
 
 
 def normalized_label(label: Column) -> Column:
@@ -43,14 +47,13 @@ def split_lines(text: Column, spans: Column) -> Column:
 
     def parts(s: Column) -> Column:
         lines = F.split(_value(text, s), "\n", -1)
-        zero = F.struct(s["start"].alias("at"), empty(SPAN).alias("out"))
 
-        def step(acc: Column, line: Column) -> Column:
-            end = acc["at"] + F.char_length(line)
-            one = F.array(span(acc["at"], end, s["label"], s["source"], s["score"], s["ord"]))
-            return F.struct((end + 1).alias("at"), F.when(line.rlike(r"(?U)\S"), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        def step(at: Column, line: Column) -> tuple[Column, Column]:
+            end = at + F.char_length(line)
+            one = F.array(span(at, end, s["label"], s["source"], s["score"], s["ord"]))
+            return end + 1, F.when(line.rlike(r"(?U)\S"), one).otherwise(empty(SPAN))
 
-        return F.aggregate(lines, zero, step, lambda acc: acc["out"])
+        return appended(lines, s["start"], SPAN, step)
 
     return F.flatten(F.transform(spans, lambda s: F.when(F.contains(_value(text, s), F.lit("\n")), parts(s)).otherwise(F.array(s))))
 
@@ -85,20 +88,18 @@ def merge_adjacent(text: Column, ordered: Column) -> Column:
     score). ``ordered`` must be in canonical order.
     """
     weighed = F.transform(ordered, lambda s: F.struct(s.alias("s"), normalized_label(s["label"]).alias("label"), priority(s["source"]).alias("p"), (s["end"] - s["start"]).alias("n")))
-    zero = F.struct(empty(SPAN).alias("out"), F.lit(None).cast(_OPEN).alias("cur"))
 
-    def step(acc: Column, x: Column) -> Column:
-        cur, s = acc["cur"], x["s"]
+    def step(cur: Column, x: Column) -> tuple[Column, Column]:
+        s = x["s"]
         near = cur.isNotNull() & (s["start"] <= cur["end"] + MAX_GAP) & (x["label"] == cur["label"])
         joins = near & ~F.contains(F.substring(text, cur["end"] + 1, F.greatest(s["start"] - cur["end"], F.lit(0))), F.lit("\n"))
         rank = lambda y, score: F.struct(y["p"], y["n"], score)
         new = F.struct(s["start"].alias("start"), s["end"].alias("end"), x["label"].alias("label"), F.struct(x["p"].alias("p"), x["n"].alias("n"), s["score"].alias("score"), s["source"].alias("source")).alias("best"))
         best = F.when(rank(x, s["score"]) > rank(cur["best"], cur["best"]["score"]), new["best"]).otherwise(cur["best"])
         wide = F.struct(cur["start"].alias("start"), F.greatest(cur["end"], s["end"]).alias("end"), cur["label"].alias("label"), best.alias("best"))
-        out = F.when(joins | cur.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(_closed(cur))))
-        return F.struct(out.alias("out"), F.when(joins, wide).otherwise(new).alias("cur"))
+        return F.when(joins, wide).otherwise(new), F.when(joins | cur.isNull(), empty(SPAN)).otherwise(F.array(_closed(cur)))
 
-    merged = F.aggregate(weighed, zero, step, lambda acc: F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(_closed(acc["cur"])))))
+    merged = appended(weighed, F.lit(None).cast(_OPEN), SPAN, step, lambda cur, out: F.when(cur.isNull(), out).otherwise(F.concat(out, F.array(_closed(cur)))))
     return F.transform(merged, lambda s, i: changed(s, ord=i))
 
 
@@ -111,16 +112,51 @@ def _closed(group: Column) -> Column:
 
 
 def keep_disjoint(spans: Column) -> Column:
-    """The spans that overlap no span of higher priority, then greater length, then lower start; by start."""
-    by_rank = by_keys(spans, lambda s: (-priority(s["source"]), s["start"] - s["end"], s["start"], s["ord"]))
+    """The spans that overlap no span of higher priority, then greater length, then lower start; by start.
 
-    def step(acc: Column, c: Column) -> Column:
-        return F.when(F.exists(acc, lambda k: (c["start"] < k["end"]) & (k["start"] < c["end"])), acc).otherwise(F.concat(acc, F.array(c)))
+    Where no neighbours by start overlap, all stay. Else spans fall into clusters, each begun by a span that starts where
+    or after all before it ended, and are settled within their cluster.
+    """
+
+    def settled(xs: Column) -> Column:
+        overlaps = F.exists(F.transform(xs, lambda s, i: F.coalesce(F.get(xs, i - 1)["end"] > s["start"], F.lit(False))), lambda x: x)
+        return F.when(overlaps, bound(_cluster_starts(xs), lambda at: F.flatten(F.transform(at, lambda a, i: _of_cluster(F.slice(xs, a, F.coalesce(F.get(at, i + 1), F.size(xs) + 1) - a)))))).otherwise(xs)
 
-    kept = F.aggregate(by_rank, empty(SPAN), step)
+    by_start = by_keys(spans, lambda s: (s["start"], s["end"], s["ord"]))
+    kept = bound(by_start, settled)
     return F.transform(by_keys(kept, lambda s: (s["start"], s["ord"])), lambda s, i: changed(s, ord=i))
 
 
+def _cluster_starts(by_start: Column) -> Column:
+    """The places, from 1, of the spans that begin a cluster."""
+
+    def step(state: Column, s: Column) -> tuple[Column, Column]:
+        after = F.struct(F.greatest(state["reach"], s["end"]).alias("reach"), (state["at"] + 1).alias("at"))
+        return after, F.when((state["at"] == 0) | (s["start"] >= state["reach"]), F.array(state["at"] + 1)).otherwise(empty("int"))
+
+    return appended(by_start, F.struct(F.lit(-1).alias("reach"), F.lit(0).alias("at")), "int", step)
+
+
+def _of_cluster(spans: Column) -> Column:
+    """The spans of one cluster that stay, by start."""
+
+    def settled(xs: Column) -> Column:
+        by_rank = by_keys(xs, lambda s: (-priority(s["source"]), s["start"] - s["end"], s["start"], s["ord"]))
+        few = F.aggregate(by_rank, empty(SPAN), lambda kept, c: F.when(F.exists(kept, lambda k: (c["start"] < k["end"]) & (k["start"] < c["end"])), kept).otherwise(F.concat(kept, F.array(c))))
+        return F.when(F.size(xs) == 1, xs).when(F.size(xs) <= SMALL, few).otherwise(F.aggregate(by_rank, empty(SPAN), _placed))
+
+    return bound(spans, settled)
+
+
+def _placed(kept: Column, c: Column) -> Column:
+    """Disjoint spans by start, with one more in its place if it overlaps none: only the last that starts before its end can."""
+
+    def put(at: Column) -> Column:
+        return F.when((at > 0) & (F.get(kept, at - 1)["end"] > c["start"]), kept).otherwise(F.concat(F.slice(kept, F.lit(1), at), F.array(c), F.slice(kept, at + 1, F.size(kept))))
+
+    return bound(place(kept, lambda k: k["start"] < c["end"]), put)
+
+
 def drop_misread(text: Column, spans: Column) -> Column:
     """Persons with digits, links without a link, and licences that are vehicles are dropped; account numbers that read
     like names become persons."""
@@ -134,17 +170,62 @@ def drop_misread(text: Column, spans: Column) -> Column:
     return F.transform(F.filter(spans, fine), named)
 
 
-def other_occurrences(text: Column, spans: Column) -> Column:
-    """Spans for every further occurrence, in any case, of each value of two or more words; the value's first span gives
-    label, source and score."""
+def wordy_values(text: Column, spans: Column) -> Column:
+    """The values of two or more words, in upper case with single blanks, as (value, i): i is the place of the first span that has it."""
     collapse = lambda v: F.upper(F.regexp_replace(F.regexp_replace(v, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " "))
-    named = F.transform(spans, lambda s: F.struct(collapse(_value(text, s)).alias("norm"), s.alias("s")))
-    wordy = F.filter(named, lambda x: F.contains(x["norm"], F.lit(" ")))
-    first = F.aggregate(wordy, empty(f"struct<norm:string,s:{SPAN}>"), lambda acc, x: F.when(F.exists(acc, lambda k: k["norm"] == x["norm"]), acc).otherwise(F.concat(acc, F.array(x))))
-    found = F.flatten(F.transform(first, lambda x: F.transform(scan(text, quoted(x["norm"])), lambda m: span(m["start"], m["end"], x["s"]["label"], x["s"]["source"], x["s"]["score"]))))
-    new = F.filter(found, lambda f: ~F.exists(spans, lambda s: (s["start"] == f["start"]) & (s["end"] == f["end"])))
-    once = F.aggregate(new, empty(SPAN), lambda acc, f: F.when(F.exists(acc, lambda k: (k["start"] == f["start"]) & (k["end"] == f["end"])), acc).otherwise(F.concat(acc, F.array(f))))
-    return F.transform(once, lambda f, i: changed(f, ord=F.size(spans) + i))
+    named = F.transform(spans, lambda s, i: F.struct(_value(text, s).alias("value"), i.alias("i")))
+    several = F.filter(named, lambda x: x["value"].rlike(r"(?U)\S\s+\S"))
+    wordy = F.array_sort(F.transform(several, lambda x: F.struct(collapse(x["value"]).alias("value"), x["i"].alias("i"))))
+    return first_of_runs(wordy, lambda x, p: x["value"] == p["value"])
+
+
+def each_value(text: Column, values: Column) -> Column:
+    """The hits of values one after the other, as (i, start, end)."""
+    return F.flatten(F.transform(values, lambda v: F.transform(scan(text, quoted(v["value"])), lambda m: F.struct(v["i"].alias("i"), m["start"].alias("start"), m["end"].alias("end")))))
+
+
+def new_hits(hits: Column, spans: Column) -> Column:
+    """Hits by (i, start) without those whose place is a span's or an earlier hit's."""
+    places = F.concat(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(-1).alias("i"))), F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["i"].alias("i"))))
+    new = first_of_runs(F.array_sort(places), lambda x, p: (x["start"] == p["start"]) & (x["end"] == p["end"]))
+    return F.array_sort(F.transform(F.filter(new, lambda x: x["i"] >= 0), lambda x: F.struct(x["i"].alias("i"), x["start"].alias("start"), x["end"].alias("end"))))
+
+
+def covering(hits: Column, spans: Column) -> Column:
+    """Spans for hits, each with label, source and score of the span that it is an occurrence of."""
+    like = lambda h, n: bound(F.get(spans, h["i"]), lambda s: span(h["start"], h["end"], s["label"], s["source"], s["score"], F.size(spans) + n))
+    return F.transform(hits, like)
+
+
+def other_occurrences(df: DataFrame, spans_col: str, text_col: str = "text", out: str = "more") -> DataFrame:
+    """The frame with spans for every further occurrence, in any case, of each value of two or more words; the value's first
+    span gives label, source and score. More than some values of a text are searched for together."""
+    df = df.withColumn("_wordy", _wordy(text_col, spans_col))
+    df = occurrences.with_together(df, text_col, "_wordy", "_many", SMALL)
+    df = df.withColumn("_hits", F.coalesce("_many", _each(text_col, "_wordy"))).withColumn("_new", _new("_hits", spans_col))
+    return df.withColumn(out, _covering("_new", spans_col)).drop("_wordy", "_many", "_hits", "_new")
+
+
+@built_once
+def _wordy(text_col: str, spans_col: str) -> Column:
+    text, s = F.col(text_col), F.col(spans_col)
+    return wordy_values(text, s)
+
+
+@built_once
+def _each(text_col: str, values_col: str) -> Column:
+    return each_value(F.col(text_col), F.col(values_col))
+
+
+@built_once
+def _new(hits_col: str, spans_col: str) -> Column:
+    hits = F.col(hits_col)
+    return F.when(F.size(hits) > 0, new_hits(hits, F.col(spans_col))).otherwise(hits)
+
+
+@built_once
+def _covering(hits_col: str, spans_col: str) -> Column:
+    return covering(F.col(hits_col), F.col(spans_col))
 
 
 def resolve(df: DataFrame, spans_col: str, text_col: str = "text", out: str = "spans") -> DataFrame:
@@ -173,22 +254,7 @@ def _settled(spans_col: str) -> Column:
 
 @built_once
 def _read_right(text_col: str, spans_col: str) -> Column:
-    return held(drop_misread(F.col(text_col), F.col(spans_col)))
-
-
-@built_once
-def _further(text_col: str, spans_col: str) -> Column:
-    text, s = F.col(text_col), F.col(spans_col)
-    wordy = F.exists(s, lambda x: _value(text, x).rlike(r"(?U)\S\s+\S"))
-    return held(F.when(wordy, other_occurrences(text, s)).otherwise(empty(SPAN)))
-
-
-def held(value: Column) -> Column:
-    """The value, but no filter on it is pushed below and it is not computed again where it is used twice.
-
-    Predicates on spans would otherwise be rewritten into predicates on the whole detection, evaluated once more a row.
-    """
-    return F.when(F.rand(0) >= 0, value)
+    return drop_misread(F.col(text_col), F.col(spans_col))
 
 
 def with_resolved(df: DataFrame, raw_col: str, text_col: str = "text", out: str = "spans") -> DataFrame:
@@ -196,10 +262,10 @@ def with_resolved(df: DataFrame, raw_col: str, text_col: str = "text", out: str
     s, more = F.col("_once"), F.col("_more")
     df = resolve(df, raw_col, text_col, "_first")
     df = df.withColumn("_once", _read_right(text_col, "_first")).drop("_first")
-    df = df.withColumn("_more", _further(text_col, "_once"))
+    df = other_occurrences(df, "_once", text_col, "_more")
     df = df.withColumn("_both", F.when(F.size(more) > 0, F.concat(s, more)).otherwise(empty(SPAN)))
     df = resolve(df, "_both", text_col, "_again")
-    return df.withColumn(out, held(F.when(F.size(more) > 0, F.col("_again")).otherwise(s))).drop("_once", "_more", "_both", "_again")
+    return df.withColumn(out, F.when(F.size(more) > 0, F.col("_again")).otherwise(s)).drop("_once", "_more", "_both", "_again")
 
 
 def category_counts(spans: Column) -> Column:

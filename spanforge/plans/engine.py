@@ -6,26 +6,47 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.config import Config
-from spanforge.functions.regex import empty
+from spanforge.functions.folds import empty
+from spanforge.functions.rows import entries
 from spanforge.operators import evaluate, masking, patterns, resolver
 from spanforge.operators.chunks import skips_models
-from spanforge.operators.detectors import Factory, joined, with_layer
+from spanforge.operators.detectors import Factory, joined, with_layer, with_layer_by_window
 from spanforge.operators.patterns import SPAN
 from spanforge.sources import files
 from spanforge.sources.formats import Format
-from spanforge.streaming.state import stored
+from spanforge.streaming.state import discard, stored
 
 
 @dataclass(frozen=True)
 class Batch:
-    """What a folder gave: a row for each file processed, and for each one skipped its reason."""
+    """What a folder gave: a row for each file processed, for each one skipped its reason, and totals counted on the way.
+
+    The rows lie in a table in the shared folder, without the files' own texts unless they were asked for, until ``discard``
+    or the end of a ``with`` block deletes it.
+    """
 
     results: DataFrame
     skipped: DataFrame
+    totals: dict[str, int]
+    table: str
+
+    def discard(self) -> None:
+        discard(self.results.sparkSession, self.table)
+
+    def __enter__(self) -> Batch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.discard()
+
+
+_LAYER_TOTALS = ("opf_spans", "gliner_spans", "pattern_spans", "merged_unique_spans")
+#: Columns that hold what was masked.
+_OWN = ("text", "spans", "replacements", "ocr_words")
 
 
 class Engine:
@@ -44,7 +65,8 @@ class Engine:
         for name, on in (("opf", c.opf_enabled), ("gliner", c.gliner_enabled)):
             if on and name in self.detectors:
                 threshold = c.chunk_threshold if c.chunk_long_text else 2**31 - 1
-                own = with_layer(own, self.detectors[name], name, f"_{name}", text_col=text_col, skip=skip, threshold=threshold, size=c.chunk_size, overlap=max(0, c.chunk_overlap))
+                layer = with_layer_by_window if c.spread_windows and not df.isStreaming else with_layer
+                own = layer(own, self.detectors[name], name, f"_{name}", text_col=text_col, skip=skip, threshold=threshold, size=c.chunk_size, overlap=max(0, c.chunk_overlap))
                 layers.append(f"_{name}")
         if c.pattern_enabled:
             own = patterns.with_raw_spans(own, text_col, "_pattern")
@@ -60,7 +82,7 @@ class Engine:
     def analyze(self, df: DataFrame, text_col: str = "text", *, skip=None) -> DataFrame:
         """The frame with ``spans, replacements, masked_text, counts, audit``. No shuffle; works on streams."""
         done = self.mask(self.detect(df, text_col, skip=skip), text_col)
-        return done.withColumns({"counts": resolver.held(resolver.category_counts(F.col("spans"))), "audit": evaluate.audit(F.col("spans"), self.config)})
+        return done.withColumns({"counts": resolver.category_counts(F.col("spans")), "audit": evaluate.audit(F.col("spans"), self.config)})
 
     # single texts
 
@@ -78,16 +100,17 @@ class Engine:
 
     # files
 
-    def process_folder(self, folder: str, output: str | None = None, *, dry_run: bool = False, recursive: bool | None = None) -> Batch:
+    def process_folder(self, folder: str, output: str | None = None, *, dry_run: bool = False, recursive: bool | None = None, keep_text: bool = False) -> Batch:
         """Analyse all files below a folder and, unless ``dry_run``, write them masked, each with its audit, below ``output``
-        at the same relative place. A file that fails is skipped with its message; the others go on. Rows come by path."""
+        at the same relative place. A file that fails is skipped with its message; the others go on. Rows come by path.
+        With ``keep_text`` they hold texts, spans and replacements, which are what masking hides."""
         root, is_folder = files.rooted(self.spark, folder)
         if not is_folder:
             raise ValueError(f"Cartella non trovata: {folder}")
         held = files.files(self.spark, folder, self.config.recursive if recursive is None else recursive)
-        done = self._processed(held, None if dry_run else output, root)
-        skipped = files.unsupported(held, self.formats).unionByName(done.where("error is not null").select("path", F.col("error").alias("reason")))
-        return Batch(done.where("error is null").drop("output").orderBy("path"), skipped.orderBy("path"))
+        done, table, totals = self._processed(held, None if dry_run else output, root, keep_text=keep_text)
+        skipped = done.where("error is not null").select("path", F.col("error").alias("reason"))
+        return Batch(done.where("error is null").drop("output").orderBy("path"), skipped.orderBy("path"), totals, table)
 
     def process_file(self, path: str, output_dir: str | None = None, output_path: str | None = None, *, dry_run: bool = False) -> dict:
         """Analyse one file and, unless ``dry_run``, write it masked to ``output_path``, or under its new name to
@@ -99,13 +122,16 @@ class Engine:
         held = files.files(self.spark, path)
         if files.supported(held, self.formats).select("path").isEmpty():
             raise ValueError(files.UNSUPPORTED)
-        row = self._processed(held, None if dry_run else folder or ".", root, name).drop("output").first().asDict(recursive=True)
+        done, table, _ = self._processed(held, None if dry_run else folder or ".", root, name, keep_text=True)
+        row = done.drop("output").first().asDict(recursive=True)
+        discard(self.spark, table)
         if row["error"] is not None:
             raise ValueError(row["error"])
         return row
 
-    def _processed(self, held: DataFrame, output: str | None, root: str, name: str | None = None) -> DataFrame:
-        """The supported files, each extracted, analysed and rebuilt once into a table, and written from there."""
+    def _processed(self, held: DataFrame, output: str | None, root: str, name: str | None = None, *, keep_text: bool = False) -> tuple[DataFrame, str, dict[str, int]]:
+        """The supported files, each extracted, analysed and rebuilt once into a table, and written from there; the others as
+        rows with their reason. Totals are counted while the table is written."""
         read = files.extract(files.supported(held, self.formats), self.formats)
         skip = skips_models(F.col("path"), F.col("text"), self.config.ml_skip_extensions, self.config.ml_skip_min_chars)
         done = self.mask(self.detect(read, skip=skip)).withColumn("counts", resolver.category_counts(F.col("spans")))
@@ -117,11 +143,17 @@ class Engine:
             stripped, target = F.col("metadata_stripped"), F.lit(name) if name else F.col("output_name")
         report = evaluate.audit(F.col("spans"), self.config, source_file=F.col("path"), output_file=target, warnings=F.col("warnings"), metadata_stripped=stripped)
         done = done.withColumn("report", report).withColumn("audit", F.to_json("report", {"ignoreNullFields": "false", "pretty": "true"}))
+        if not keep_text:
+            done = done.drop(*_OWN)
+        done = done.unionByName(files.unsupported(held, self.formats).withColumnRenamed("reason", "error"), allowMissingColumns=True)
+        seen, fine = Observation(), F.col("error").isNull()
+        layers = (F.coalesce(F.sum(F.when(fine, F.col("report.entities_found")[c])), F.lit(0)).alias(c) for c in _LAYER_TOTALS)
+        done = done.observe(seen, F.count_if(fine).alias("processed"), F.count_if(~fine).alias("skipped"), *layers)
         with files.small_batches(self.spark):
-            done = stored(done, "files")
+            done, table = stored(done, "files")
             if output is not None:
-                files.save_files(done, output, root, name).write.format("noop").mode("overwrite").save()
-        return done
+                files.save_files(done, output, root, name)
+        return done, table, dict(seen.get)
 
     # evaluation and reports
 
@@ -137,14 +169,20 @@ class Engine:
         return self.evaluate(lines.select(F.from_json("value", "text string, labels array<string>").alias("c")).select("c.*"))
 
     def summary(self, analyzed: DataFrame) -> DataFrame:
-        """Spans by category over all documents, by name."""
-        return evaluate.counts_by(analyzed).orderBy("label")
+        """Spans by category over all documents, by name, from their spans or, where those are not kept, their counts."""
+        if "spans" in analyzed.columns:
+            return evaluate.counts_by(analyzed).orderBy("label")
+        return entries(analyzed, "counts", key="label", value="n").groupBy("label").agg(F.sum("n").alias("n_spans")).orderBy("label")
 
     def batch_audit(self, batch: Batch) -> DataFrame:
-        """How many files were processed and skipped, and totals of spans by layer."""
-        e = F.col("report.entities_found")
-        done = batch.results.agg(F.count("*").alias("processed"), *(F.coalesce(F.sum(e[c]), F.lit(0)).alias(c) for c in ("opf_spans", "gliner_spans", "pattern_spans", "merged_unique_spans")))
-        return done.crossJoin(batch.skipped.agg(F.count("*").alias("skipped")))  # one row each
+        """How many files were processed and skipped, and totals of spans by layer: one row, as counted while they were processed."""
+        names = ("processed", *_LAYER_TOTALS, "skipped")
+        return self.spark.createDataFrame([tuple(batch.totals[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+    def audits(self, batch: Batch) -> DataFrame:
+        """A row a file, ``path, audit`` or ``path, reason``: the parts of the batch's audit, to be written as JSON lines."""
+        done = batch.results.select("path", F.to_json("report", {"ignoreNullFields": "false"}).alias("audit"), F.lit(None).cast("string").alias("reason"))
+        return done.unionByName(batch.skipped.withColumn("audit", F.lit(None).cast("string")))
 
     def view(self, df: DataFrame, name: str, text_col: str = "text") -> None:
         """Make the analysed frame a temporary view, for SQL."""

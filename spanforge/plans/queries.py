@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spanforge.config import COMMON_WORDS, COLOURS, Config
 from spanforge.functions.checksums import valid_fiscal_code, valid_iban, valid_vat_number
+from spanforge.functions.rows import entries, exploded
 from spanforge.operators import evaluate, masking, ocr, patterns, relational, resolver
 from spanforge.operators.chunks import windows
 from spanforge.operators.patterns import SPAN
@@ -59,7 +60,7 @@ def _spans_of(label: str, name: str, key: str, text: str):
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = table(spark, sf_dir, name).select(key, F.col(text).alias("text"))
-        one = df.select(key, "text", F.explode(patterns.rule_spans(F.col("text"), rule)).alias("s"))
+        one = exploded(df, patterns.rule_spans(F.col("text"), rule), key, "text")
         return one.select(key, "s.start", "s.end", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("value"), "s.label")
 
     return run
@@ -104,7 +105,7 @@ def _derived_spans(label: str):
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{derived_text(label)} as text")
-        one = df.select("c_custkey", "text", F.explode(patterns.rule_spans(F.col("text"), rule)).alias("s"))
+        one = exploded(df, patterns.rule_spans(F.col("text"), rule), "c_custkey", "text")
         return one.select("c_custkey", "s.start", "s.end", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("value"), "s.checksum_valid")
 
     return run
@@ -191,7 +192,7 @@ def entity_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("entity_map", f"WITH {_FOUND} SELECT doc_id, '[' || prefix || '_' || n || ']' AS placeholder, arg_min(label, start) AS label FROM plan GROUP BY ALL")
 def entity_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _analyzed(spark, sf_dir).select("doc_id", F.inline(masking.entity_map(F.col("replacements"))))
+    return exploded(_analyzed(spark, sf_dir), masking.entity_map(F.col("replacements")), "doc_id").select("doc_id", "s.*")
 
 
 @query("restore_roundtrip", "SELECT doc_id, text AS restored FROM documents")
@@ -201,7 +202,7 @@ def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("category_counts", f"WITH {_FOUND} SELECT doc_id, label, count(*) AS n_spans FROM found GROUP BY ALL")
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _analyzed(spark, sf_dir).select("doc_id", F.explode("counts").alias("label", "n")).select("doc_id", "label", F.col("n").cast("bigint").alias("n_spans"))
+    return entries(_analyzed(spark, sf_dir), "counts", "doc_id", key="label", value="n").select("doc_id", "label", F.col("n").cast("bigint").alias("n_spans"))
 
 
 @query("counts_by_lang", f"WITH {_FOUND} SELECT lang, label, count(*) AS n_spans FROM found JOIN documents USING (doc_id) GROUP BY ALL")
@@ -211,7 +212,7 @@ def counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("counts_rollup", f"WITH {_FOUND} SELECT lang, label, count(*) AS n_spans FROM found JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, label)")
 def counts_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _analyzed(spark, sf_dir).select("lang", F.explode(F.transform("spans", lambda s: s["label"])).alias("label"))
+    rows = exploded(_analyzed(spark, sf_dir), F.transform("spans", lambda s: s["label"]), "lang", name="label")
     return rows.rollup("lang", "label").agg(F.count("*").alias("n_spans"))
 
 
@@ -244,7 +245,7 @@ def highlight_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_FOUND} SELECT doc_id, '- ' || label || ': ' || count(*) AS line FROM found GROUP BY doc_id, label UNION ALL SELECT doc_id, 'Layer usati: pattern' FROM documents",
 )
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _analyzed(spark, sf_dir).select("doc_id", F.explode(evaluate.report_lines(F.col("audit"))).alias("line"))
+    lines = exploded(_analyzed(spark, sf_dir), evaluate.report_lines(F.col("audit")), "doc_id", name="line")
     return lines.where("line like '- %' or line like 'Layer%'")
 
 
@@ -281,7 +282,7 @@ def _order_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("resolve_merge_folds", f"WITH {_ISLANDS} SELECT * EXCLUDE (island) FROM merged")
 def resolve_merge_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = _order_arrays(spark, sf_dir).select("doc_id", resolver.canonical(F.col("raw")).alias("o")).select("doc_id", F.explode(resolver.merge_adjacent(F.lit(" " * 300), F.col("o"))).alias("s"))
+    merged = exploded(_order_arrays(spark, sf_dir).select("doc_id", resolver.canonical(F.col("raw")).alias("o")), resolver.merge_adjacent(F.lit(" " * 300), F.col("o")), "doc_id")
     return merged.select("doc_id", "s.start", "s.end", "s.label", "s.source")
 
 
@@ -300,7 +301,7 @@ SELECT doc_id, x.s AS start, x.e AS "end", x.label AS label, x.source AS source
 def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     # no text has a common word or a line end here, so resolution is merging and settling alone
     done = resolver.resolve(_order_arrays(spark, sf_dir).withColumn("text", F.lit("x" * 300)), "raw")
-    return done.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end", "s.label", "s.source")
+    return exploded(done, "spans", "doc_id").select("doc_id", "s.start", "s.end", "s.label", "s.source")
 
 
 @query("newline_split", "SELECT c_custkey, 7 + (i - 1) * (length(v) + 1) AS start, 7 + (i - 1) * (length(v) + 1) + length(v) AS \"end\" FROM (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS v FROM customer), unnest(range(1, 3)) AS t(i)")
@@ -336,7 +337,8 @@ def misread_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("expand_occurrences", "SELECT c_custkey, x AS start, x + 11 AS \"end\" FROM customer, unnest([17, 34]) AS t(x)")
 def expand_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "customer").selectExpr("c_custkey", "'Mario Rossi ....,mario rossi .... MARIO ROSSI' as text")
-    return df.select("c_custkey", F.explode(resolver.other_occurrences(F.col("text"), F.array(patterns.span(F.lit(0), F.lit(11), "PERSONA", "opf")))).alias("s")).select("c_custkey", "s.start", "s.end")
+    whole = df.withColumn("s", F.array(patterns.span(F.lit(0), F.lit(11), "PERSONA", "opf")))
+    return exploded(resolver.other_occurrences(whole, "s"), "more", "c_custkey").select("c_custkey", "s.start", "s.end")
 
 
 @query("chunk_windows")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.sources.formats import FORMATS, Format, format_of, masked_leaves, suffix_of
+from spanforge.sources.sink import write_files
 
 EXTRACTED = "struct<text:string,warnings:array<string>,ocr_words:string,error:string>"
 REBUILT = "struct<content:binary,suffix:string,warnings:array<string>,metadata_stripped:boolean,error:string>"
@@ -111,29 +112,15 @@ def output_name(path: str, ending):
     return F.concat(stem, F.lit("_anonymized"), ending)
 
 
-def save_files(df: DataFrame, folder: str, root: str, name: str | None = None) -> DataFrame:
+def save_files(df: DataFrame, folder: str, root: str, name: str | None = None) -> None:
     """Write ``output`` (and ``audit`` next to it, if there is one) at each file's place relative to ``root``, a path as
-    ``rooted`` gives it; with ``name``, a single file under that name.
+    ``rooted`` gives it; with ``name``, a single file under that name. All files or none are there afterwards.
 
-    Every file is written under a name of its own and then renamed, so a repeated task leaves the same files. ``folder``
-    may be any URI pyarrow knows; all executors must see it.
+    ``folder`` may be any URI pyarrow knows; all executors must see it.
     """
     prefix = root.rstrip("/") + "/"
-
-    def run(batches):
-        from spanforge.sources.store import open_store, put
-
-        fs, base = open_store(folder)
-        for rows in batches:
-            written = []
-            for r in rows.itertuples(index=False):
-                inside = r.path.removeprefix(prefix).rpartition("/")[0] if r.path.startswith(prefix) else ""
-                target = "/".join(x for x in (base, inside, name or r.output_name) if x)
-                put(fs, target, bytes(r.output))
-                if r.audit is not None:
-                    put(fs, target + ".audit.json", r.audit.encode())
-                written.append((r.path, target))
-            yield pd.DataFrame(written, columns=["path", "output_path"])
-
-    audit = F.col("audit") if "audit" in df.columns else F.lit(None).cast("string").alias("audit")
-    return df.where("error is null").select("path", "output_name", "output", audit).mapInPandas(run, "path string, output_path string")
+    inside = F.when(F.startswith("path", F.lit(prefix)), F.regexp_extract(F.substring("path", len(prefix) + 1, 2**31 - 1), "^(.*/)[^/]*$", 1)).otherwise("")
+    target = F.concat(inside, F.lit(name) if name else F.col("output_name"))
+    audit = F.col("audit") if "audit" in df.columns else F.lit(None).cast("string")
+    pair = F.array(F.struct(target.alias("target"), F.col("output").alias("content")), F.struct(F.concat(target, F.lit(".audit.json")).alias("target"), F.encode(audit, "UTF-8").alias("content")))
+    write_files(df.where("error is null").select(F.inline(pair)), folder)

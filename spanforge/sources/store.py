@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+#: Schemes as Spark writes them, and those that pyarrow knows the same stores by.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
 
 
 def open_store(uri: str):
     """A pyarrow file system and the path within it; a bare path is local."""
     from pyarrow import fs
 
-    if "://" not in uri:
+    scheme, split, rest = uri.partition("://")
+    if not split:
         return fs.LocalFileSystem(), uri.removeprefix("file:").rstrip("/")
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
     return store, path.rstrip("/")
-
-
-def put(store, path: str, content: bytes) -> None:
-    """Write a whole file, visible only once it is complete."""
-    store.create_dir(path.rpartition("/")[0], recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(part) as sink:
-        sink.write(content)
-    store.move(part, path)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from spanforge.functions.rows import exploded
 from spanforge.plans.engine import Engine
 
 
@@ -25,7 +26,7 @@ def masked_stream(engine: Engine, df: DataFrame, text_col: str = "text") -> Data
 
 def windowed_counts(masked: DataFrame, time_col: str, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Spans by label and event-time window; rows later than ``late`` are dropped."""
-    rows = masked.withWatermark(time_col, late).select(time_col, F.explode(F.transform("spans", lambda s: s["label"])).alias("label"))
+    rows = exploded(masked.withWatermark(time_col, late), F.transform("spans", lambda s: s["label"]), time_col, name="label")
     return rows.groupBy(F.window(time_col, window).alias("w"), "label").agg(F.count("*").alias("n_spans")).select("w.start", "w.end", "label", "n_spans")
 
 

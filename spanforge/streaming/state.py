@@ -15,6 +15,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     error, as each machine would see only its own part.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = current.get() if current.isDefined() else None
     if not base:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
@@ -23,8 +26,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written once to the shared folder and read from there."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The frame written once to the shared folder and read from there, and the folder, for ``discard``."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
