@@ -18,6 +18,9 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
+        # one session runs hundreds of queries, and the descriptions of their plans are long
+        .config("spark.sql.ui.retainedExecutions", "5")
+        .config("spark.sql.maxPlanStringLength", "100000")
         .config("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()
     )
