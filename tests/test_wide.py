@@ -255,19 +255,13 @@ def test_pages(spark):
     ]
 
 
-def test_sql_functions(spark):
-    sql.create_functions(spark)
-    texts = ["", None, "niente", "Mario Rossi CF RSSMRA80A01L219M tel 3401234567 e a@b.it, A@B.it", "P.IVA 01114601006 IBAN IT60X0542811101000000123456 'via Roma 12'\n8.8.8.8", "x@pec.pec.it"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
-    df.createOrReplaceTempView("some_texts")
-    engine = Engine(spark, PLAIN)
-    want = {r.id: r for r in engine.analyze(df).collect()}
-    got = {r.id: r for r in spark.sql("SELECT id, mask_text(text) AS m, mask_counts(text) AS c FROM some_texts").collect()}
-    for i, r in want.items():
-        assert (got[i].m, got[i].c) == (r.masked_text, r.counts)
-    rows = spark.sql("SELECT t.id, s.* FROM some_texts t, LATERAL spans(t.text) s").collect()
-    assert sorted((r.id, r.start, r.end, r.label) for r in rows) == sorted((i, s.start, s.end, s.label) for i, r in want.items() for s in r.spans)
-    assert all(texts[r.id][r.start : r.end] == r.value for r in rows)
+def test_expressions_as_sql(spark):
+    """The text of an expression means what the expression means."""
+    df = spark.createDataFrame([("a@b.it, C@D.it 'x' \\ 8.8.8.8",), (None,), ("",)], "text string")
+    rule = next(r for r in patterns.RULES if r.label == "EMAIL")
+    for made in (patterns.rule_spans(F.col("text"), rule), occurrences.folded(F.col("text")), F.when(~F.col("text").isin("", "x"), -F.length("text")).otherwise(0)):
+        both = df.select(made.alias("a"), F.expr(sql.sql_text(made)).alias("b")).collect()
+        assert [r.a for r in both] == [r.b for r in both]
 
 
 def test_requests_as_a_stream(spark, tmp_path):
