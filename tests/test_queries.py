@@ -59,3 +59,11 @@ def test_rules_by_label(spark):
     assert labels(pattern_labels=("EMAIL",)) == ["EMAIL"] and labels(pattern_labels=()) == []
     with pytest.raises(ValueError, match="NOPE"):
         labels(pattern_labels=("NOPE",))
+
+
+@pytest.mark.parametrize("name", ["touching_words", "page_redactions"])
+def test_words_get_their_places_in_their_rows(spark, folder, name):
+    """No window sorts all words for their offsets, and the rows are those of the SQL."""
+    df = entry.queries()[name](spark, folder)
+    assert not [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x and "sum(" in x]
+    assert same_rows(spark, folder, name)
