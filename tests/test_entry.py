@@ -22,3 +22,10 @@ def test_entry_without_the_corpus_operators(tmp_path, gone):
     assert said.returncode == 0, said.stderr
     names = said.stdout.split()
     assert "mask_replace" in names and "pipeline" not in names and not any(n.startswith("op1_") for n in names)
+
+
+def test_queries_are_read_without_a_session():
+    code = "import __spark_entry__ as e; from pyspark import SparkContext; print(*e.queries(), *e.oracle_sql()); assert SparkContext._active_spark_context is None"
+    said = subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, env=os.environ | {"PYTHONPATH": ROOT}, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
+    assert {"touching_words", "op1_quality_rules", "op13_alignment", "pipeline"} <= set(said.stdout.split())
