@@ -6,23 +6,25 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry  # noqa: E402
 
 from spanforge.config import Config  # noqa: E402
 from spanforge.plans.engine import Engine  # noqa: E402
+from spanforge.plans.queries import customers  # noqa: E402
 
 OTHERS = 'token = "0641917ea4e9", CF RSSMRA80A01L219M, tel 3401234567, via Roma 12'
 TEXTS = [(1, "en", f"{OTHERS} from a@b.it to 10.0.0.42, then A@B.it"), (2, "it", OTHERS), (3, None, "c@d.org, then <8.8.8.8>"), (4, "it", None), (5, "en", "")]
 NAMES = ["mask_replace", "mask_redact", "mask_generalize", "mask_hash", "entity_vault", "entity_map", "category_counts", "counts_by_lang", "counts_rollup", "audit_fields", "highlight_html", "report_lines", "streaming_mask", "rpc_stream"]
 
 
-def same_rows(spark, folder, name):
+def same_rows(spark, folder, name, tables=("documents", "conversations")):
     """Whether a query gives the rows of its SQL."""
     df = entry.queries()[name](spark, folder)
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in tables:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     said = con.sql(entry.oracle_sql()[name])
     order = [said.columns.index(c) for c in df.columns]
@@ -67,3 +69,20 @@ def test_words_get_their_places_in_their_rows(spark, folder, name):
     df = entry.queries()[name](spark, folder)
     assert not [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x and "sum(" in x]
     assert same_rows(spark, folder, name)
+
+
+@pytest.fixture(scope="module")
+def short_rows(spark, tmp_path_factory):
+    """A table whose rows are one task to read."""
+    at = str(tmp_path_factory.mktemp("short"))
+    rows = [(i, f"Customer#{i:09d}", ("BUILDING", "MACHINERY")[i % 2]) for i in range(400)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_mktsegment string").coalesce(1).write.parquet(f"{at}/customer.parquet")
+    assert spark.read.parquet(f"{at}/customer.parquet").rdd.getNumPartitions() == 1
+    return at
+
+
+def test_evaluation_of_a_small_file_runs_in_many_tasks(spark, short_rows):
+    assert customers(spark, short_rows).groupBy(F.spark_partition_id()).count().count() == 4
+    plan = entry.queries()["eval_metrics"](spark, short_rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 4, true" in plan and "c_name" not in plan.partition("Repartition")[0]
+    assert same_rows(spark, short_rows, "eval_metrics", ["customer"])
