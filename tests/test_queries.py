@@ -86,3 +86,9 @@ def test_evaluation_of_a_small_file_runs_in_many_tasks(spark, short_rows):
     plan = entry.queries()["eval_metrics"](spark, short_rows)._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition 4, true" in plan and "c_name" not in plan.partition("Repartition")[0]
     assert same_rows(spark, short_rows, "eval_metrics", ["customer"])
+
+
+def test_files_made_of_a_small_file_are_read_in_many_tasks(spark, short_rows):
+    found = entry.queries()["extract_txt"](spark, short_rows)
+    assert found.groupBy(F.spark_partition_id()).count().count() == 4
+    assert same_rows(spark, short_rows, "extract_txt", ["customer"])
