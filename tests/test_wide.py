@@ -4,7 +4,9 @@ import json
 import random
 import re
 import time
+import weakref
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -308,3 +310,26 @@ def test_predicates_reach_the_scan_and_rows_of_spans_detect_once(spark, tmp_path
     assert "EqualTo(lang,en)" in plan.split("PushedFilters", 1)[1]
     below = relational.span_rows(df)._jdf.queryExecution().optimizedPlan().toString().split("Generate", 1)[1]
     assert not [line for line in below.splitlines() if line.strip(" +-:").startswith("Filter")]
+
+
+def test_a_batch_is_not_held_as_python_objects():
+    """Of what a detector finds, only a piece of a batch's rows is there as objects at a time."""
+    class Held(dict):
+        """A prediction that can be watched."""
+
+    alive, most, made = weakref.WeakValueDictionary(), 0, 0
+
+    def one(text):
+        nonlocal most, made
+        found = [Held(start=0, end=1, label=text, score=1.0) for _ in range(3)] if text else []
+        for f in found:
+            made += 1
+            alive[made] = f
+        most = max(most, len(alive))
+        return found
+
+    values = pa.array(["a", None, "bb", ""] * 1000)
+    got = detectors.in_pieces(values, one, detectors._PREDICTIONS)
+    assert made == 6000 and most <= 2 * 3 * 64
+    assert [[p["label"] for p in ps] for ps in got.to_pylist()] == [[v] * 3 if v else [] for v in values.to_pylist()]
+    assert detectors.in_pieces(values.slice(0, 0), one, detectors._PREDICTIONS).type == detectors._PREDICTIONS
