@@ -143,6 +143,25 @@ def test_places_of_files(spark, tmp_path):
         engine.process_folder(str(tmp_path / "none"), str(tmp_path / "out"))
 
 
+def test_files_of_no_bytes(spark, tmp_path):
+    for name, content in (("a.txt", b""), ("b.txt", b"a@b.it"), ("c.xyz", b""), ("d.docx", b""), ("e/f.txt", b""), ("e/g h/i.txt", b""), (".x.txt", b""), ("_t/j.txt", b"")):
+        at = tmp_path / "in" / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(content)
+    engine = Engine(spark, PLAIN)
+    with engine.process_folder(str(tmp_path / "in"), str(tmp_path / "out")) as batch:
+        root = f"file:{tmp_path}/in/"
+        assert [r.path.removeprefix(root) for r in batch.results.collect()] == ["a.txt", "b.txt", "e/f.txt", "e/g h/i.txt"]
+        assert [r.path.removeprefix(root) for r in batch.skipped.collect()] == ["c.xyz", "d.docx"]
+        assert (batch.totals["processed"], batch.totals["skipped"], batch.totals["pattern_spans"]) == (4, 2, 1)
+    assert (tmp_path / "out/e/g h/i_anonymized.txt").read_bytes() == b""
+    assert json.loads((tmp_path / "out/a_anonymized.txt.audit.json").read_text())["entities_found"]["pattern_spans"] == 0
+    with engine.process_folder(str(tmp_path / "in"), dry_run=True, recursive=False) as batch:
+        assert batch.totals["processed"] == 2
+    assert engine.process_file(str(tmp_path / "in/e/f.txt"), output_path=str(tmp_path / "one.txt"))["masked_text"] == ""
+    assert (tmp_path / "one.txt").read_bytes() == b""
+
+
 def test_single_files(spark, tmp_path):
     engine, batch_rows = Engine(spark, PLAIN), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     (tmp_path / "a.txt").write_text("tel 3401234567")

@@ -54,6 +54,30 @@ def test_folder_query_finds_what_its_sql_names(spark, tmp_path_factory):
     assert same_rows(spark, tables(spark, tmp_path_factory, TEXTS[:4]), "folder_audits")
 
 
+NEAR = [(1, "en", "a@b.it, c@d.it; A@B.it"), (2, "it", "10.0.0.1, 10.0.0.2 10.0.0.1\n10.0.0.3"), (-13, "it", "x@y.org,z@y.org"), (14, "en", "")]
+
+
+@pytest.fixture(scope="module")
+def near(spark, tmp_path_factory):
+    return tables(spark, tmp_path_factory, NEAR)
+
+
+@pytest.mark.parametrize("name", ["mask_replace", "entity_vault", "counts_by_lang", "highlight_html", "folder_audits"])
+def test_values_near_each_other_stay_apart(spark, near, name):
+    """Neighbours, an empty text (a file of no bytes) and a negative id."""
+    assert same_rows(spark, near, name)
+
+
+def test_folder_query_where_nothing_is_found(spark, tmp_path_factory):
+    assert same_rows(spark, tables(spark, tmp_path_factory, [(1, "en", "none"), (2, "it", ""), (3, "it", None)]), "folder_audits")
+
+
+def test_folder_query_reads_many_files_a_task(spark, tmp_path_factory):
+    at = tables(spark, tmp_path_factory, [(i, "en", f"to a{i}@b.it") for i in range(300)])
+    df = entry.queries()["folder_audits"](spark, at)
+    assert df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and df.count() == 300
+
+
 def test_rules_by_label(spark):
     df = spark.createDataFrame([(OTHERS + " a@b.it",)], "text string")
     labels = lambda **c: [s.label for s in Engine(spark, Config(opf_enabled=False, gliner_enabled=False, **c)).detect(df).first().spans]
