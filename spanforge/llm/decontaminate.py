@@ -136,6 +136,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
 
     def marked(broadcast):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            K.drop_caches()
             grams = broadcast.value
             for batch in batches:
                 n_words, marks, items = [], batch.column(len(columns) - 2).to_pylist(), batch.column(len(columns) - 1).to_pylist()

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -38,13 +38,15 @@ WHITE = _separators(0x20, *range(0x09, 0x0E))
 ALNUM = _separators(*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80))
 
 _powers: dict[str, np.ndarray] = {}
+#: What modules keep in a worker from task to task; each adds its own.
+caches: list[dict] = []
 
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
     have = _powers.get("n", 0)
     if have < n:
-        size = max(n, BLOCK_BYTES + 4096)
+        size = max(1, -(-(n - 4096) // BLOCK_BYTES)) * BLOCK_BYTES + 4096
         for name, base in (("up", _BASE), ("down", _BASE_INV)):
             a = np.full(size, np.uint64(base))
             a[0] = 1
@@ -57,8 +59,18 @@ def release_large(give_back: bool = True) -> None:
     """Drop power tables that one very long document made large, and give freed memory back: workers live on after a task."""
     if _powers.get("n", 0) > 2 * BLOCK_BYTES + 8192:
         _powers.clear()
-    if give_back and _trim is not None:
-        _trim(0)
+    if give_back:
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+
+
+def drop_caches() -> None:
+    """Drop what tasks of other work left in this worker, as it lives on into later stages and they need its memory."""
+    if any(caches):
+        for held in caches:
+            held.clear()
+        release_large()
 
 
 def _trimmer():

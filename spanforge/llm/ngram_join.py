@@ -79,6 +79,7 @@ _LOW = np.uint64((1 << 40) - 1)
 
 def token_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of each text."""
+    K.drop_caches()
     for i, j, buf, offsets in K.blocks(column):
         buf = K.LOWER[buf]
         starts, ends, first = K.words(buf, offsets, K.WHITE)
@@ -212,6 +213,7 @@ def frequencies(rows: DataFrame, n: int, parts: int, tables: K.Tables, frequent:
             some = low[(level == k) & (times >= frequent)]
             out.append((k, len(some), (some | np.uint64(part) << np.uint64(40)).astype("<u8").tobytes()))
         columns = list(zip(*out, strict=True))
+        K.release_large()
         return pa.table([pa.array([part] * len(out), pa.int32()), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["part", "level", "n", "data"])
 
     grouped = rows.select("text").mapInArrow(run, "part int, once binary, often binary").groupBy("part")

@@ -96,6 +96,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
                     rows.append((r, k, start, length, zlib.crc32(ids[start : start + length].astype("<u4").tobytes())))
             of, *columns = list(zip(*rows, strict=True)) or [()] * 5
             numbers = [pa.array(c, pa.int64() if i else pa.int32()) for i, c in enumerate(columns)]
+            K.release_large()
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *numbers], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,7 @@ POOL = 6 << 20
 LONG = 48
 
 _cache: dict[str, Encoder] = {}
+K.caches.append(_cache)
 
 
 def encoder(path: str) -> Encoder:
@@ -153,7 +154,7 @@ class Encoder:
 
     def texts(self, column: pa.Array, chars: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
         """(row, ids, characters that end in each) for each text of an Arrow column; a null text is empty."""
-        for i, j, buf, offsets in K.blocks(column, 1 << 20):
+        for i, j, buf, offsets in K.blocks(column):
             ids, first, step = self.block(buf, offsets, chars)
             for r, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True), i):
                 yield r, ids[a:b], step[a:b] if chars else None

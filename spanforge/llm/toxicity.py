@@ -44,6 +44,7 @@ BEGINNINGS = (4, 6)
 
 def terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bucket of each term, its row from the first) for blocks of texts."""
+    K.drop_caches()
     shift = np.uint64(64 - BUCKET_BITS)
     for i, j, buf, offsets in K.blocks(column):
         buf = K.LOWER[buf]
@@ -138,8 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if len(shares) < 2:
         share = sum(y * n for y, n in shares.items()) / max(1, total)
         return Model(nothing, float(np.log(share / (1 - share))) if 0 < share < 1 else 35.0 * (2 * share - 1), np.zeros(0), np.zeros((0, 1)))
-    chosen = {r["_id"]: r["_y"] for r in sample.collect()}  # at most 2 * max_rows short rows
-    known = spark.createDataFrame(list(chosen.items()), T.StructType([T.StructField("_id", labels.schema[id_col].dataType), T.StructField("_y", T.IntegerType())]))
+    known = K.saved(sample, "sample")  # at most 2 * max_rows short rows
     texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).join(F.broadcast(known), "_id")
     # of rows that share a labelled id the least text is learnt from: one row an id, whatever their number
     texts = texts.groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
@@ -151,12 +151,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             for i, j, buckets, rows in terms(batch.column(0)):
                 pairs = np.unique(rows << BUCKET_BITS | buckets)
                 for c in (0, 1):
-                    n[c] += np.bincount((pairs & ((1 << BUCKET_BITS) - 1))[y[i:j][pairs >> BUCKET_BITS] == c], minlength=1 << BUCKET_BITS).astype(np.int32)
+                    np.add.at(n[c], (pairs & ((1 << BUCKET_BITS) - 1))[y[i:j][pairs >> BUCKET_BITS] == c], 1)
         some = np.flatnonzero(n.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[0, some]).cast(pa.int64()), pa.array(n[1, some]).cast(pa.int64())], ["bucket", "n0", "n1"])
 
     by_bucket = texts.select("_text", "_y").mapInArrow(counted, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    sizes = {y: float(sum(c == y for c in chosen.values())) for y in (0, 1)}
+    sizes = {0: 0.0, 1: 0.0} | {r["_y"]: float(r["n"]) for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     # the signed root of the chi-square of bucket and label; a rare bucket is no evidence
     p = (F.col("n0") + F.col("n1")) / F.lit(sizes[0] + sizes[1])
     z = (F.col("n1") / sizes[1] - F.col("n0") / sizes[0]) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * F.lit(1 / sizes[0] + 1 / sizes[1]))
