@@ -116,3 +116,23 @@ def test_files_made_of_a_small_file_are_read_in_many_tasks(spark, short_rows):
     found = entry.queries()["extract_txt"](spark, short_rows)
     assert found.groupBy(F.spark_partition_id()).count().count() == 4
     assert same_rows(spark, short_rows, "extract_txt", ["customer"])
+
+
+@pytest.mark.parametrize("name", ["resolve_merge_folds", "resolve_merge_windows", "resolve_overlaps"])
+def test_of_line_items_with_one_number_the_first_of_the_table_stays(spark, tmp_path_factory, name):
+    """Files by name and not by size, as Spark reads them, and rows by their place: what DuckDB keeps when one thread reads in order."""
+    at = str(tmp_path_factory.mktemp("items"))
+    for part, n in enumerate((40, 400, 4000)):
+        rows = [(i % 20, (i * 7919 + part * 31) % 1000, (i * 13 + part) % 7, i % 7 + 1, float(i % 50 + 1)) for i in range(n)]
+        made = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").coalesce(1)
+        made.write.parquet(f"{at}/made-{part}")
+        os.makedirs(f"{at}/lineitem.parquet", exist_ok=True)
+        (written,) = [f for f in os.listdir(f"{at}/made-{part}") if f.endswith(".parquet")]
+        os.rename(f"{at}/made-{part}/{written}", f"{at}/lineitem.parquet/part-{part}.parquet")
+    df = entry.queries()[name](spark, at)
+    con = duckdb.connect()
+    con.sql("SET threads = 1")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{at}/lineitem.parquet/*.parquet'")
+    said = con.sql(entry.oracle_sql()[name])
+    order = [said.columns.index(c) for c in df.columns]
+    assert Counter(tuple(map(str, r)) for r in df.collect()) == Counter(tuple(str(r[i]) for i in order) for r in said.fetchall())
