@@ -95,6 +95,16 @@ def test_words_get_their_places_in_their_rows(spark, folder, name):
     assert same_rows(spark, folder, name)
 
 
+def test_page_redactions_deal_no_words(spark, tmp_path_factory):
+    """Texts of one to several pages, with equal and near words, values that stand on later pages, and boxes that coincide."""
+    words = ["Rossi", "rOSSi", "a", "--", "Anna-Maria", "x1", "Il", "zio", "R", "ossi", "è", "\u00a0b"]
+    texts = [(d, "it", " ".join(words[(i * (d + 3) + i // 7) % (d % 12 + 1)] for i in range(n))) for d, n in enumerate([0, 1, 5, 8, 12, 239, 240, 241, 480, 700, 1000, 37, 260])]
+    at = tables(spark, tmp_path_factory, texts)
+    df = entry.queries()["page_redactions"](spark, at)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() > 100 and same_rows(spark, at, "page_redactions")
+
+
 @pytest.fixture(scope="module")
 def short_rows(spark, tmp_path_factory):
     """A table whose rows are one task to read."""
