@@ -14,6 +14,7 @@ import __spark_entry__ as entry  # noqa: E402
 from spanforge.config import Config  # noqa: E402
 from spanforge.plans.engine import Engine  # noqa: E402
 from spanforge.plans.queries import customers  # noqa: E402
+from spanforge.sources import files  # noqa: E402
 
 OTHERS = 'token = "0641917ea4e9", CF RSSMRA80A01L219M, tel 3401234567, via Roma 12'
 TEXTS = [(1, "en", f"{OTHERS} from a@b.it to 10.0.0.42, then A@B.it"), (2, "it", OTHERS), (3, None, "c@d.org, then <8.8.8.8>"), (4, "it", None), (5, "en", "")]
@@ -78,6 +79,22 @@ def test_folder_query_reads_many_files_a_task(spark, tmp_path_factory):
     assert df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and df.count() == 300
 
 
+def test_folders_are_not_listed_by_the_driver(spark, tmp_path_factory):
+    """What reads files holds no list of them: neither those processed nor the audits of the query."""
+    at = tables(spark, tmp_path_factory, [(i, "en", f"to a{i}@b.it" * (i % 3)) for i in range(-20, 40)])
+    df = entry.queries()["folder_audits"](spark, at)
+    assert "FileScan" not in df._jdf.queryExecution().executedPlan().toString() and not df.inputFiles()
+    assert df.count() == 60
+    folder = tmp_path_factory.mktemp("some")
+    for name in ("a b.txt", "è%20.txt", "deep/er/c.txt", "deep/none.txt", ".hidden/x.txt", "_SUCCESS"):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text("" if "none" in name else name)
+    for recursive, names in ((True, {"a b.txt", "è%20.txt", "deep/er/c.txt", "deep/none.txt"}), (False, {"a b.txt", "è%20.txt"})):
+        held = files.files(spark, str(folder), recursive)
+        assert not held.inputFiles() and {(r.path, bytes(r.content).decode()) for r in held.collect()} == {(f"file:{folder}/{n}", "" if "none" in n else n) for n in names}
+    assert [tuple(r) for r in files.files(spark, str(folder / "a b.txt")).collect()] == [(f"file:{folder}/a b.txt", bytearray(b"a b.txt"))]
+
+
 def test_rules_by_label(spark):
     df = spark.createDataFrame([(OTHERS + " a@b.it",)], "text string")
     labels = lambda **c: [s.label for s in Engine(spark, Config(opf_enabled=False, gliner_enabled=False, **c)).detect(df).first().spans]
